@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .pii import op10_disclosure
 from .quality import op8_quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op8_quality_rules": op8_quality_rules,
+        "op10_disclosure": op10_disclosure,
     }
 
 
