@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .pii import op10_disclosure
 from .quality import op8_quality_rules
+from .token_counts import op7_token_counts
+from .token_output import op3_token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_token_output": op3_token_output,
+        "op7_token_counts": op7_token_counts,
         "op8_quality_rules": op8_quality_rules,
         "op10_disclosure": op10_disclosure,
     }
