@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import warc
+from .decontaminate import op4_decontaminate
 from .pii import op10_disclosure
 from .quality import op8_quality_rules
 from .token_counts import op7_token_counts
@@ -15,6 +17,8 @@ from .token_output import op3_token_output
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_output": op3_token_output,
+        "op4_decontaminate": op4_decontaminate,
+        "op5_warc_derivatives": warc.op5_warc_derivatives,
         "op7_token_counts": op7_token_counts,
         "op8_quality_rules": op8_quality_rules,
         "op10_disclosure": op10_disclosure,
@@ -22,4 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_warc_derivatives": warc.ORACLE,
+    }
