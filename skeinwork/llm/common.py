@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 SPACES = b" \t\n\x0b\x0c\r"
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 #: Text bytes that a task turns into arrays at once; bounds a task's memory whatever a batch holds.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,8 @@ _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
 _LOWER += 1
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_POWERS = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(2 * SLICE_BYTES, _BASE)]))
+_INVERSES = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(2 * SLICE_BYTES, np.uint64(pow(int(_BASE), -1, 1 << 64)))]))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -98,10 +100,14 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = _WOR
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words, with A-Z as a-z."""
+    """64-bit hashes of the words, with A-Z as a-z: a polynomial of the bytes, from running sums where the slice fits the table of powers."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lengths = ends - starts
+    if len(data) < len(_POWERS):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_LOWER[data] * _POWERS[: len(data)], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * _INVERSES[starts] + mix(lengths.astype(np.uint64)))
     first = np.cumsum(lengths) - lengths
     within = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
     powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(int(lengths.max()), _BASE)]))

@@ -10,12 +10,14 @@ from . import warc
 from .decontaminate import op4_decontaminate
 from .pii import op10_disclosure
 from .quality import op8_quality_rules
+from .suffix_dedup import op1_suffix_dedup
 from .token_counts import op7_token_counts
 from .token_output import op3_token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op3_token_output": op3_token_output,
         "op4_decontaminate": op4_decontaminate,
         "op5_warc_derivatives": warc.op5_warc_derivatives,
