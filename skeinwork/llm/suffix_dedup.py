@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from .common import _BASE, arrow_type, durable, mix, pack, partitions, small_batches, table, texts_of, unpack
 
 #: Length of a repeated string, and of the grams whose smallest hash routes it (a string has GRAM - KEY + 1 of them).
-GRAM, KEY = 50, 32
+GRAM, KEY = 50, 24
 #: Bytes of text in one block of documents, and start positions hashed at once.
-BLOCK_BYTES, CHUNK = 8 << 20, 1 << 16
+BLOCK_BYTES, CHUNK = 4 << 20, 1 << 16
+#: Bytes of pieces that a task sorts at once; equal strings are in the same share, as their hash says.
+SHARE_BYTES = 2 << 20
 #: Bits of a routing hash that travel beside its bucket; one more tells that a block has it in two rows.
 BITS = 39
 #: Stands for a null doc_id: before all others.
@@ -187,13 +189,32 @@ def _shared(keys: DataFrame) -> DataFrame:
     return keys.groupBy("bucket").applyInPandas(run, "block long, bucket int, values binary, later binary")
 
 
+def _portions(size: np.ndarray, limit: int = 1 << 20) -> Iterator[slice]:
+    """Successive runs of pieces with about limit bytes, so that working arrays stay small."""
+    total, a = np.cumsum(size), 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + limit, "right")))
+        yield slice(a, b)
+        a = b
+
+
 def _piece_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    longest = int(size.max())
-    powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(longest, _BASE)]))
-    first = np.cumsum(size) - size
-    at = _spread(start, size)
-    within = np.arange(len(at)) - np.repeat(first, size)
-    return mix(np.add.reduceat((data[at].astype(np.uint64) + np.uint64(1)) * powers[within], first) + mix(size.astype(np.uint64)))
+    powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(int(size.max()), _BASE)]))
+    out = np.zeros(len(size), np.uint64)
+    for part in _portions(size):
+        first = np.cumsum(size[part]) - size[part]
+        at = _spread(start[part], size[part])
+        within = np.arange(len(at)) - np.repeat(first, size[part])
+        out[part] = mix(np.add.reduceat((data[at].astype(np.uint64) + np.uint64(1)) * powers[within], first) + mix(size[part].astype(np.uint64)))
+    return out
+
+
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the pieces at a and b of the same sizes are equal."""
+    out = np.zeros(len(size), bool)
+    for p in _portions(size):
+        out[p] = np.logical_and.reduceat(data[_spread(a[p], size[p])] == data[_spread(b[p], size[p])], np.cumsum(size[p]) - size[p])
+    return out
 
 
 def _pieces(blocks: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
@@ -220,10 +241,11 @@ def _pieces(blocks: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
         if not len(keep):
             return none
         start, count, row, bucket = start[keep], count[keep], row[keep], (code[keep] >> np.uint64(BITS)).astype(np.int64)
+        share = (code[keep] & np.uint64(0xFFFF)).astype(np.uint16)
         size = count + GRAM - 1
         same = _piece_hashes(data, start, size)
         order = np.lexsort((start, same, bucket))
-        start, count, row, bucket, size, same = (x[order] for x in (start, count, row, bucket, size, same))
+        start, count, row, bucket, size, same, share = (x[order] for x in (start, count, row, bucket, size, same, share))
         new = np.concatenate([[True], (same[1:] != same[:-1]) | (bucket[1:] != bucket[:-1])])
         model = np.flatnonzero(new)[np.cumsum(new) - 1]
         # equal hashes are held against the text; a piece that only collides stands for itself
@@ -232,12 +254,11 @@ def _pieces(blocks: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
             differ = size[rest] != size[model[rest]]
             able = rest[~differ]
             if len(able):
-                equal = data[_spread(start[able], size[able])] == data[_spread(start[model[able]], size[able])]
-                differ[~differ] = ~np.logical_and.reduceat(equal, np.cumsum(size[able]) - size[able])
+                differ[~differ] = ~_equal(data, start[able], start[model[able]], size[able])
             if differ.any():
                 model[rest[differ]] = rest[differ]
                 order = np.argsort(model, kind="stable")
-                start, count, row, bucket, size, model = (x[order] for x in (start, count, row, bucket, size, model))
+                start, count, row, bucket, size, share, model = (x[order] for x in (start, count, row, bucket, size, share, model))
                 new = np.concatenate([[True], model[1:] != model[:-1]])
         first = np.flatnonzero(new)
         times = np.diff(np.append(first, len(start)))
@@ -247,7 +268,7 @@ def _pieces(blocks: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
             mine = first[cut[b] : cut[b + 1]]
             body = data[_spread(start[mine], size[mine])]
             low, high = first[cut[b]], first[cut[b + 1]] if cut[b + 1] < len(first) else len(start)
-            out.append((b, left["block"].iloc[0], pack(body), pack(count[mine].astype(np.int32), times[cut[b] : cut[b + 1]].astype(np.int32)), pack(ids[row[low:high]], start[low:high])))
+            out.append((b, left["block"].iloc[0], pack(body), pack(count[mine].astype(np.int32), times[cut[b] : cut[b + 1]].astype(np.int32), share[mine]), pack(ids[row[low:high]], start[low:high])))
         return pd.DataFrame(out, columns=none.columns)
 
     return blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(run, schema)
@@ -343,41 +364,58 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int = GRAM) -> n
 def _covers(pieces: DataFrame) -> DataFrame:
     """Per block the stretches that a string of an earlier document covers."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        bodies = [unpack(x, np.uint8)[0] for x in group["body"]]
-        counts = [unpack(x, np.int32, np.int32) for x in group["counts"]]
-        places = [unpack(x, np.int64, np.int64) for x in group["places"]]
-        data = np.concatenate([*bodies, np.zeros(8, np.uint8)])
-        count, times = (np.concatenate([c[i] for c in counts]).astype(np.int64) for i in (0, 1))
-        ids, start = (np.concatenate([p[i] for p in places]) for i in (0, 1))
-        block = np.repeat(group["block"].to_numpy(), [len(p[0]) for p in places])
+    def sort(data: np.ndarray, count: np.ndarray, least_id: np.ndarray) -> np.ndarray:
+        """For each byte of data where a wanted string begins, the smallest doc_id that has the string."""
         size = count + GRAM - 1
         begin = np.cumsum(size) - size
-        least_id = np.minimum.reduceat(ids, np.cumsum(times) - times)
         order = suffix_order(data, begin, size, count)
-        piece = np.repeat(np.arange(len(count)), size)
         new = common_prefixes(data, order) < GRAM
         new[:1] = True
-        member = np.cumsum(new) - 1
+        piece = np.repeat(np.arange(len(count), dtype=np.int32), size)
         least = np.full(len(data), NULL_ID)
-        least[order] = np.minimum.reduceat(least_id[piece[order]], np.flatnonzero(new))[member]
-        # each place of a piece: which of its strings an earlier document holds
-        owner = np.repeat(np.arange(len(count)), times)
-        n = count[owner]
-        string = _spread(begin[owner], n)
-        earlier = least[string] < np.repeat(ids, n)
-        first = np.zeros(len(string), bool)
-        first[np.cumsum(n) - n] = True
-        opens = np.flatnonzero(earlier & (first | ~np.concatenate([[False], earlier[:-1]])))
-        closes = np.flatnonzero(earlier & np.concatenate([first[1:] | ~earlier[1:], [True]]))
-        place = np.repeat(np.arange(len(ids)), n)[opens]
-        at = start[place] + (string[opens] - begin[owner[place]])
-        length = closes - opens + GRAM
-        at_block = block[place]
-        cut = np.argsort(at_block, kind="stable")
-        at, length, at_block = at[cut], length[cut], at_block[cut]
-        edge = np.append(np.flatnonzero(np.concatenate([[True], at_block[1:] != at_block[:-1]])[: len(at_block)]), len(at_block))
-        return pd.DataFrame([(at_block[a], pack(at[a:b], length[a:b])) for a, b in zip(edge[:-1], edge[1:], strict=True)], columns=["block", "covers"])
+        least[order] = np.minimum.reduceat(least_id[piece[order]], np.flatnonzero(new))[np.cumsum(new) - 1]
+        return least
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        body = np.concatenate([unpack(x, np.uint8)[0] for x in group["body"]])
+        counts = [unpack(x, np.int32, np.int32, np.uint16) for x in group["counts"]]
+        places = [unpack(x, np.int64, np.int64) for x in group["places"]]
+        count_all, times_all, share = (np.concatenate([c[i] for c in counts]).astype(np.int64) for i in (0, 1, 2))
+        ids_all, start_all = (np.concatenate([p[i] for p in places]) for i in (0, 1))
+        block_all = np.repeat(np.arange(len(group), dtype=np.int32), [len(p[0]) for p in places])
+        size_all = count_all + GRAM - 1
+        begin_all, occurs_all = np.cumsum(size_all) - size_all, np.cumsum(times_all) - times_all
+        share %= len(body) // SHARE_BYTES + 1
+        found: list[list[tuple]] = [[] for _ in range(len(group))]
+        for x in np.unique(share):
+            mine = np.flatnonzero(share == x)
+            count, times, size = count_all[mine], times_all[mine], size_all[mine]
+            occurs = _spread(occurs_all[mine], times)
+            ids, start, block = ids_all[occurs], start_all[occurs], block_all[occurs]
+            data = np.concatenate([body[_spread(begin_all[mine], size)], np.zeros(8, np.uint8)])
+            least = sort(data, count, np.minimum.reduceat(ids, np.cumsum(times) - times))
+            begin = np.cumsum(size) - size
+            # each place of a piece, about a million strings at once: which of its strings an earlier document holds
+            owner = np.repeat(np.arange(len(count)), times)
+            for part in _portions(count[owner]):
+                own = owner[part]
+                n = count[own]
+                string = _spread(begin[own], n)
+                earlier = least[string] < np.repeat(ids[part], n)
+                first = np.zeros(len(string), bool)
+                first[np.cumsum(n) - n] = True
+                opens = np.flatnonzero(earlier & (first | ~np.concatenate([[False], earlier[:-1]])))
+                closes = np.flatnonzero(earlier & np.concatenate([first[1:] | ~earlier[1:], [True]]))
+                place = np.repeat(np.arange(len(n)), n)[opens]
+                at = start[part][place] + (string[opens] - begin[own[place]])
+                length, where = closes - opens + GRAM, block[part][place]
+                cut = np.argsort(where, kind="stable")
+                at, length, where = at[cut], length[cut], where[cut]
+                edge = np.append(np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])[: len(where)]), len(where))
+                for a, b in zip(edge[:-1], edge[1:], strict=True):
+                    found[where[a]].append((at[a:b].astype(np.int32), length[a:b].astype(np.int32)))
+        rows = [(block, pack(*(np.concatenate(c) for c in zip(*got, strict=True)))) for block, got in zip(group["block"], found, strict=True) if got]
+        return pd.DataFrame(rows, columns=["block", "covers"])
 
     return pieces.groupBy("bucket").applyInPandas(run, "block long, covers binary")
 
@@ -390,15 +428,17 @@ def _removed(blocks: DataFrame, shared: DataFrame, covers: DataFrame, texts: boo
         if not len(left):
             return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
         ids, offsets, data = _read(left.iloc[0])
-        change = np.zeros(len(data) + 1, np.int64)
+        change = np.zeros(len(data) + 1, np.int32)
         for blob in right["covers"].dropna():
-            at, length = unpack(blob, np.int64, np.int64)
-            change += np.bincount(at, minlength=len(change)) - np.bincount(at + length, minlength=len(change))
-        gone = np.cumsum(change)[:-1] > 0
+            at, length = unpack(blob, np.int32, np.int32)
+            for a, step in ((at, 1), (at + length, -1)):
+                place, n = np.unique(a, return_counts=True)
+                change[place] += step * n.astype(np.int32)
+        gone = np.cumsum(change, dtype=np.int32)[:-1] > 0
         for blob in right["later"].dropna():
             for row in np.frombuffer(blob, np.int32):
                 gone[offsets[row] : offsets[row + 1]] = True
-        total = np.concatenate([[0], np.cumsum(gone)])[offsets]
+        total = np.concatenate([np.zeros(1, np.int32), np.cumsum(gone, dtype=np.int32)])[offsets].astype(np.int64)
         n_removed = np.diff(total)
         out = []
         for i, n in enumerate(n_removed):
@@ -421,7 +461,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document; with texts also the bytes kept.
 
     A byte goes if a 50-byte string over it also starts in a document with a smaller doc_id. Equal strings share the smallest
-    hash of their 32-byte grams, so a bucket of such hashes has every copy of its strings. First the hashes that two documents
+    hash of their 24-byte grams, so a bucket of such hashes has every copy of its strings. First the hashes that two documents
     have are found; only the text under those is sent to the buckets, each distinct piece of a block once, where suffix
     sorting and adjacent common prefixes find the equal strings and the smallest doc_id of each. A document that repeats a
     whole earlier one needs no sorting: all of it goes if it has 50 bytes.
