@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import warc
 from .decontaminate import op4_decontaminate
+from .ngram_join import op2_ngram_join
 from .pii import op10_disclosure
 from .quality import op8_quality_rules
 from .suffix_dedup import op1_suffix_dedup
@@ -18,6 +19,7 @@ from .token_output import op3_token_output
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
+        "op2_ngram_join": op2_ngram_join,
         "op3_token_output": op3_token_output,
         "op4_decontaminate": op4_decontaminate,
         "op5_warc_derivatives": warc.op5_warc_derivatives,
