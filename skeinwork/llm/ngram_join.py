@@ -294,11 +294,80 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _marks(texts: DataFrame) -> DataFrame:
+    """(sid, n, marks): a bit table of each set, as many bits as shingles and more; a shingle flips the bit of its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, marks = [], []
+            for s in shingle_sets(batch["text"]):
+                width = max(64, 1 << (len(s) - 1).bit_length())
+                flips = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+                sizes.append(len(s))
+                marks.append(np.packbits(flips.astype(np.uint8), bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch["sid"], pa.array(sizes, pa.int64()), pa.array(marks, pa.binary())], ["sid", "n", "marks"])
+
+    return durable(texts.mapInArrow(run, "sid long, n long, marks binary"), "join-marks")
+
+
+def close_pairs(sid: np.ndarray, component: np.ndarray, n: np.ndarray, marks: list[bytes]) -> np.ndarray:
+    """Pairs of sets in different components that can link.
+
+    The bits in which two tables differ are no more than the shingles that only one of the sets has; linked sets have no more
+    than (100 - SHARE) of (100 + SHARE) of both sizes of those.
+    """
+    found = []
+    names, of, times = np.unique(component, return_inverse=True, return_counts=True)
+    largest = of == times.argmax()
+    # a pair across components has an end outside the largest one: those rows come first, and meet what stands after them
+    order = np.argsort(largest, kind="stable")
+    width = np.array([len(marks[i]) for i in order])
+    tables = {}
+    for w in np.unique(width):
+        mine = order[width == w]
+        tables[w] = mine, int((~largest[mine]).sum()), np.frombuffer(b"".join(marks[i] for i in mine), np.uint64).reshape(-1, w // 8)
+    for w, (left, outside, a) in tables.items():
+        for v in (w, 2 * w):  # linked sets' widths are equal or one power apart
+            if v not in tables:
+                continue
+            right, _, b = tables[v]
+            if v > w:
+                b = b[:, : w // 8] ^ b[:, w // 8 :]
+            step = max(1, (1 << 17) // (len(right) * (w // 8)))
+            for at in range(0, outside if v == w else len(left), step):
+                some, from_ = left[at : at + step], at if v == w else 0
+                differ = np.bitwise_count(a[at : at + step, None, :] ^ b[None, from_:, :]).sum(axis=2, dtype=np.int32)
+                both = n[some][:, None] + n[right[from_:]][None, :]
+                i, j = np.nonzero((differ * (100 + SHARE) <= both * (100 - SHARE)) & (component[some][:, None] != component[right[from_:]][None, :]))
+                found.append(np.sort(np.stack([sid[some[i]], sid[right[from_ + j]]], axis=1), axis=1))
+    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+
+
+def _cross(members: DataFrame, marks: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs across components of the lists whose sets are in several components, without those that the bit tables rule out."""
+    placed = members.select("lid", "sid").join(known.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    mixed = placed.groupBy("lid").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("lid")
+    rows = placed.join(mixed, "lid", "left_semi").join(marks, "sid")
+    shares = 8 * partitions(members.sparkSession)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("lid", kind="stable")
+        lid, sid, component, n = (group[c].to_numpy() for c in ("lid", "sid", "component", "n"))
+        marks = group["marks"].tolist()
+        edge = np.append(np.flatnonzero(np.concatenate([[True], lid[1:] != lid[:-1]])), len(lid))
+        found = [close_pairs(sid[a:b], component[a:b], n[a:b], marks[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return rows.withColumn("share", F.pmod(F.xxhash64("lid"), F.lit(shares))).groupBy("share").applyInPandas(run, "a long, b long").distinct()
+
+
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sets, links): a row per document with its set id, and enough verified links between sets to give all components.
 
-    First each list's star is verified; then, of lists whose sets are still in different components, every pair of fitting
-    size across components. Pairs within a component would add no connection, so large groups of copies cost a star each.
+    First each list's star is verified; then, of lists whose sets are still in different components, every pair across
+    components that the sets' bit tables do not rule out. Pairs within a component would add no connection, so large groups
+    of copies cost a star each.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -306,19 +375,12 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes, rare = _classes(sets)
     lists = _lists(_postings(docs, classes, rare, partitions(spark)))
     stars = durable(_stars(lists), "join-stars")
-    members = durable(_members(lists), "join-members")
+    members = _members(lists)
     wanted = stars.select(F.col("a").alias("sid")).union(stars.select("b")).union(members.select("sid")).distinct()
     texts = _candidate_texts(docs, sets, wanted)
     links = durable(verify(stars, texts), "join-links")
-    known = connected(links)
-    placed = members.join(known.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    mixed = placed.groupBy("lid").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("lid")
-    open_lists = placed.join(mixed, "lid", "left_semi")
-    left = open_lists.select("lid", F.col("sid").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("ca"))
-    right = open_lists.select("lid", F.col("sid").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("cb"))
-    fits = (F.abs(F.col("size_a") - F.col("size_b")) <= SIZE_GAP) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-    rest = left.join(right, "lid").filter(fits).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    return sets, links.union(durable(verify(rest, texts), "join-more"))
+    rest = _cross(members, _marks(texts), connected(links)).join(stars, ["a", "b"], "left_anti")
+    return sets, links.union(durable(verify(durable(rest, "join-rest"), texts), "join-more"))
 
 
 def components(docs: DataFrame) -> DataFrame:

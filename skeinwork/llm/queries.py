@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import warc
 from .decontaminate import op4_decontaminate
+from .mixing import op6_mixing
 from .ngram_join import op2_ngram_join
 from .pii import op10_disclosure
 from .quality import op8_quality_rules
 from .suffix_dedup import op1_suffix_dedup
 from .token_counts import op7_token_counts
 from .token_output import op3_token_output
+from .toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,8 +25,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_output": op3_token_output,
         "op4_decontaminate": op4_decontaminate,
         "op5_warc_derivatives": warc.op5_warc_derivatives,
+        "op6_mixing": op6_mixing,
         "op7_token_counts": op7_token_counts,
         "op8_quality_rules": op8_quality_rules,
+        "op9_toxicity": op9_toxicity,
         "op10_disclosure": op10_disclosure,
     }
 
