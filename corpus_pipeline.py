@@ -14,8 +14,8 @@ from skeinwork.llm.token_output import token_files
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules(docs, table(spark, sf_dir, "labels")).filter("kept").select("row.*")
+    """Documents that the quality rules keep. The verdicts are written first: a filter above them would work them out anew."""
+    return durable(quality_rules(docs, table(spark, sf_dir, "labels")).select("row", "kept"), "verdicts").filter("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
