@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Z = 1.96
@@ -44,3 +44,21 @@ def mcnemar(outcomes: DataFrame, base: str, variant: str) -> DataFrame:
         ),
     )
     return n.select("won", "lost", F.round(F.when(total == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * logs["p"])), 8).alias("p"))
+
+
+def paired_bootstrap(deltas: DataFrame, pick: str, resamples: int = 10_000) -> DataFrame:
+    """One row (pairs, mean, low, high): the mean delta and the bounds of its bootstrap; nulls where there is no pair.
+
+    deltas: task_id, delta, one row a task. `pick` is an expression over b (the resample), j (the draw) and n (the pairs) that
+    gives the position drawn. Positions follow task_id. `resamples` bounds what is gathered for the bounds; draws are dealt out.
+    Tasks are numbered in one partition, one short row each: their number is that of an evaluation set, not of a corpus.
+    """
+    order = Window.orderBy("task_id")
+    placed = deltas.filter("delta is not null").select("delta", (F.row_number().over(order) - 1).cast("long").alias("j"), F.count("*").over(Window.partitionBy()).alias("n"))
+    drawn = placed.select("j", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("b")).select("b", F.expr(pick).alias("k"))
+    means = drawn.join(placed.select(F.col("j").alias("k"), "delta"), "k").groupBy("b").agg(F.avg("delta").alias("mean"))
+    bounds = means.agg(F.sort_array(F.collect_list("mean")).alias("s"))
+    low, high = int(0.025 * resamples) + 1, int(0.975 * resamples)
+    all_pairs = placed.agg(F.count("*").alias("pairs"), F.round(F.avg("delta"), 8).alias("mean"))
+    reach = lambda i: F.when(F.size("s") > 0, F.round(F.get("s", F.lit(i - 1)), 8))
+    return bounds.select(*(all_pairs.select(c).scalar().alias(c) for c in ("pairs", "mean")), reach(low).alias("low"), reach(high).alias("high"))
