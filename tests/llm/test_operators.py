@@ -1,9 +1,10 @@
 """The corpus operators against brute force on small tables, with nulls, empty texts, repeated rows and clashing columns."""
 
 import hashlib
+import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
@@ -114,6 +115,30 @@ def test_quality_and_pii_and_toxicity(spark, odd):
     assert [s.k for s in spans][:4] == [0, 1, 2, 3]
 
 
+def test_quality_scores_leave_the_document_out(spark, odd):
+    labels = spark.createDataFrame([(1, 1, 0), (9, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    buckets = 64
+    rows = [(r.doc_id, list(r.f)) for r in quality.base_rules(odd).select("row.doc_id", quality._features(F.col("h"), buckets).alias("f")).collect()]
+    want = []
+    for k, (i, f) in enumerate(rows):
+        rest = [x for j, x in enumerate(rows) if j != k]
+        raw, good = Counter(b for _, g in rest for b in g), Counter(b for j, g in rest if j in (1, 9) for b in g)
+        p_raw = {b: (raw[b] + 1) / (raw.total() + buckets) for b in f}
+        want.append((i, sum(math.log((good[b] + buckets * p_raw[b]) / (good.total() + buckets) / p_raw[b]) for b in f) / len(f) if f else 0.0))
+    got = sorted((r[0], r.score) for r in quality.quality_rules(odd, labels, buckets=buckets).select("row.doc_id", "score").collect())
+    assert [i for i, _ in got] == sorted(i for i, _ in want)
+    assert [x for _, x in got] == pytest.approx([x for _, x in sorted(want)])
+
+
+def test_quality_keeps_good_documents_without_a_label(spark, sf_dir, documents):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    fit = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
+    hidden = {r.doc_id for r in labels.join(fit, "doc_id", "left_anti").filter("quality = 1").collect()}
+    judged = quality.quality_rules(documents, fit).select("row.doc_id", "base_failed", "kept").collect()
+    held = [r.kept for r in judged if r.doc_id in hidden and not r.base_failed]
+    assert len(held) > 20 and sum(held) >= 0.9 * len(held)
+
+
 def test_warc_round_trip(spark, sf_dir, tmp_path):
     records = warc.derive(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet").limit(5)))
     warc.write_warc(records, f"file://{tmp_path}")
