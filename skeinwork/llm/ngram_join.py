@@ -147,7 +147,7 @@ def _postings(docs: DataFrame, classes: np.ndarray, rare: int, buckets: int) ->
         def flush() -> pa.RecordBatch:
             key = np.concatenate([k for k, _, _ in held])
             count = [len(k) for k, _, _ in held]
-            sid, size = np.repeat(np.array([s for _, s, _ in held], np.int64), count), np.repeat(np.array([z for _, _, z in held], np.uint8), count)
+            sid, size = np.repeat(np.array([s for _, s, _ in held], np.int64), count), np.repeat(np.array([z for _, _, z in held], np.uint16), count)
             bucket = (key % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             value = (key // np.uint64(buckets))[order]
@@ -179,7 +179,7 @@ def _lists(postings: DataFrame) -> DataFrame:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         value = np.frombuffer(b"".join(group["low"]), np.uint32).astype(np.uint64) | (np.frombuffer(b"".join(group["high"]), np.uint8).astype(np.uint64) << np.uint64(32))
-        sid, size = np.frombuffer(b"".join(group["sids"]), np.int64), np.frombuffer(b"".join(group["sizes"]), np.uint8)
+        sid, size = np.frombuffer(b"".join(group["sids"]), np.int64), np.frombuffer(b"".join(group["sizes"]), np.uint16)
         order = np.argsort(value)
         first = np.flatnonzero(np.concatenate([[True], value[order][1:] != value[order][:-1]]))
         several = np.diff(np.append(first, len(order))) > 1
@@ -203,7 +203,7 @@ def _lists(postings: DataFrame) -> DataFrame:
 
 
 def _read_lists(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return unpack(row["counts"], np.int32)[0].astype(np.int64), unpack(row["sids"], np.int64)[0], unpack(row["sizes"], np.uint8)[0].astype(np.int64)
+    return unpack(row["counts"], np.int32)[0].astype(np.int64), unpack(row["sids"], np.int64)[0], unpack(row["sizes"], np.uint16)[0].astype(np.int64)
 
 
 def _stars(lists: DataFrame) -> DataFrame:

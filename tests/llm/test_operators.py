@@ -82,6 +82,13 @@ def test_ngram_join(which, request):
     assert sorted(map(tuple, ngram_join.components(docs).collect())) == linked(rows)
 
 
+def test_ngram_join_over_65536_shingles(spark):
+    words = [f"w{i}" for i in range(70_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-1])), (3, " ".join(words[:20_000])), (4, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.components(docs).collect())) == [(1, 69_996, 1), (2, 69_995, 1), (3, 19_996, 3), (4, 1, 4)]
+
+
 def test_tokens(spark, odd, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
