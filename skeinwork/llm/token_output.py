@@ -57,21 +57,19 @@ class _Shard:
             self._flush_index()
 
     def _flush(self, last: bool) -> None:
+        """Write whole batches of what is held, and keep the rest; at the end, write that too. Thus only the last batch is short."""
         flat = np.concatenate(self.held) if self.held else np.zeros(0, self.dtype)
-        whole = len(flat) // self.length * self.length
-        rest = flat[whole:]
-        if last and len(rest):
-            flat = np.concatenate([flat, np.zeros(self.length - len(rest), self.dtype)])
-        elif not last:
-            flat = flat[:whole]
-        mask = np.ones(len(flat), bool)
-        if last and len(rest):
-            mask[whole + len(rest) :] = False
         step = BATCH * self.length
+        rest, n = np.zeros(0, self.dtype), len(flat)
+        if last:
+            flat = np.concatenate([flat, np.zeros(-n % self.length, self.dtype)])
+        else:
+            flat, rest = flat[: n // step * step], flat[n // step * step :]
+        mask = np.arange(len(flat)) < n
         for a in range(0, len(flat), step):
             ids, on = pa.array(flat[a : a + step], self.kind), pa.array(mask[a : a + step])
             self.writer.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(x, self.length) for x in (ids, on)], schema=self.schema))
-        self.held, self.n_held = ([], 0) if last else ([rest], len(rest))
+        self.held, self.n_held = [rest], len(rest)
 
     def _flush_index(self) -> None:
         if self.bounds:
@@ -121,10 +119,12 @@ def write_token_files(docs: DataFrame, folder: str, path: str, length: int = 204
 
 
 def sequence(shard_path: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, mask) of the n-th sequence of a shard: a view of the mapped file for ids."""
+    """(ids, mask) of the n-th sequence of a shard, which must have it: a view of the mapped file for ids."""
     reader = pa.ipc.open_file(_open(shard_path, False)[2])
-    batch = reader.get_batch(n // BATCH) if reader.num_record_batches else None
+    batch = reader.get_batch(n // BATCH) if 0 <= n // BATCH < reader.num_record_batches else None
     row = n % BATCH
+    if batch is None or row >= batch.num_rows:
+        raise IndexError(f"{shard_path} has no sequence {n}")
     return batch["ids"].slice(row, 1).flatten().to_numpy(), batch["mask"].slice(row, 1).flatten().to_numpy(zero_copy_only=False)
 
 

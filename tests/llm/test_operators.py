@@ -6,7 +6,9 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -153,6 +155,24 @@ def test_warc_round_trip(spark, sf_dir, tmp_path):
     assert sorted(r.block for r in back.collect()) == sorted(r.block for r in records.collect())
 
 
+def test_sequence_of_a_shard_with_long_documents(tmp_path):
+    length, kind = 2048, pa.uint16()
+    shard = token_output._Shard(f"file://{tmp_path}/shard.arrow", length, kind)
+    sizes = [token_output.BATCH * length - 10, 7_000, 3, 600_000, 2_049, 1_200_000, 5_000]
+    ids = np.random.default_rng(1).integers(2, 49_000, sum(sizes)).astype(np.uint16)
+    for k, part in enumerate(np.split(ids, np.cumsum(sizes)[:-1])):
+        shard.add(k, part)
+    shard.close()
+    n = -(-len(ids) // length)
+    for k in range(n):
+        want = ids[k * length : (k + 1) * length]
+        got, mask = token_output.sequence(shard.path, k)
+        assert len(got) == len(mask) == length and mask.sum() == len(want)
+        assert (got[: len(want)] == want).all() and not got[len(want) :].any() and mask[: len(want)].all()
+    with pytest.raises(IndexError):
+        token_output.sequence(shard.path, n)
+
+
 @pytest.mark.parametrize("name", ["op1_suffix_dedup", "op2_ngram_join", "op3_token_output", "op7_token_counts", "op9_toxicity"])
 def test_empty_tables(spark, sf_dir, name, tmp_path):
     for t in ("documents", "labels"):
