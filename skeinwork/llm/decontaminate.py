@@ -70,7 +70,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, min
     Words are runs of letters and digits, without case. Every seed of every document is held against the seeds of the
     benchmark; around a hit the document's and the item's words are aligned on the hit's diagonal, and the best run (a
     match counts 1, a differing word -2) decides: it must have min_words words, or be the whole of a shorter item, and
-    min_match of them equal. Words may be substituted, not inserted; an inserted word starts another diagonal, of which each
+    min_match of them equal; where the best run has fewer equal, any min_words consecutive words with min_match equal do. Words may be substituted, not inserted; an inserted word starts another diagonal, of which each
     is judged. One row per document and item, the longest run's; a benchmark item of fewer than 8 words, null or empty text
     never match. Repeated documents give equal rows once; extra columns are ignored.
     """
@@ -123,7 +123,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, min
                 end = int(np.argmax(total - least))
                 begin = int(np.argmax(total[: end + 1] == least[end]))
                 n, equal = end - begin, int(same[begin:end].sum())
-                if n >= min(min_words, len(item)) and equal >= min_match * n:
+                need = min(min_words, len(item))
+                if equal < min_match * n and len(same) >= need:
+                    # a poorer stretch beside a good one: of the runs of as many words as needed, the first of the most equal ones decides
+                    sums = np.concatenate([[0], np.cumsum(same)])
+                    begin = int(np.argmax(sums[need:] - sums[:-need]))
+                    n, equal = need, int(sums[begin + need] - sums[begin])
+                if n >= need and equal >= min_match * n:
                     rows.append((r["doc_id"], r["item_id"], n, equal, r["at"] - r["n_before"] + low + shift + begin))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in range(5)], schema=arrow_type(out_schema))
 

@@ -114,6 +114,15 @@ def test_decontaminate(spark):
     assert {r.doc_id for r in decontaminate.contaminated(docs, items).collect()} == {1, 2}
 
 
+def test_decontaminate_passage_before_a_poorer_stretch(spark):
+    item = [f"w{i}" for i in range(64)]
+    copy = [w if i < 12 or i % 4 else f"x{i}" for i, w in enumerate(item)]
+    poor = [w if i % 3 else f"x{i}" for i, w in enumerate(item)]
+    docs = spark.createDataFrame([(1, " ".join(["before", *copy])), (2, " ".join(poor))], "doc_id long, text string")
+    found = decontaminate.contaminated(docs, spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")).collect()
+    assert [tuple(r) for r in found] == [(1, 9, 12, 12, 1)]
+
+
 def test_quality_and_pii_and_toxicity(spark, odd):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
     assert quality.quality_rules(odd, labels).count() == len(ODD)
