@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ SPACES = b" \t\n\x0b\x0c\r"
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 #: Text bytes that a task turns into arrays at once; bounds a task's memory whatever a batch holds.
 SLICE_BYTES = 1 << 18
+#: Stands for a null doc_id: before all others.
+NULL_ID = np.iinfo(np.int64).min
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +49,24 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """A folder in the shared one for the tables that one run of an operator writes and reads; drop() frees them all."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/skeinwork/{name}-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """df written under name and read back: lineage ends there, and a lost executor loses nothing of it."""
+        path = f"{self.path}/{name}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, name: str = "") -> None:
+        """Delete the table of that name, or all; what reads them must have been written before."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most this many rows between the JVM and Python, so long texts do not fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -63,8 +84,12 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.
         return
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
     raw = texts.buffers()[2]
-    data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
-    first = 0
+    yield from cut(np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8), offsets, limit)
+
+
+def cut(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """slices() of rows that are bytes and offsets already."""
+    first, n = 0, len(offsets) - 1
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
         yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
@@ -141,6 +166,39 @@ def unpack(blob: bytes, *types: object) -> list[np.ndarray]:
     return out
 
 
+def text_blocks(docs: DataFrame, limit: int) -> DataFrame:
+    """(block, ids, body): whole documents in blocks of about limit bytes, compressed. read_block() gives their arrays."""
+    schema = "block long, ids binary, body binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, ids, texts, n = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def done() -> pa.RecordBatch:
+            offsets = np.cumsum([0, *map(len, texts)])
+            keys = np.array([NULL_ID if i is None else i for i in ids], np.int64)
+            return pa.RecordBatch.from_pydict({"block": [number], "ids": [pack(keys, offsets)], "body": [pack(np.frombuffer(b"".join(texts), np.uint8))]}, schema=arrow_type(schema))
+
+        for batch in batches:
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.large_binary()), strict=True):
+                text = text.as_py()
+                if texts and n + len(text) > limit:
+                    yield done()
+                    number, ids, texts, n = number + 1, [], [], 0
+                ids.append(doc_id)
+                texts.append(text)
+                n += len(text)
+        if texts:
+            yield done()
+
+    return texts_of(docs).mapInArrow(run, schema)
+
+
+def read_block(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc_ids, with NULL_ID for null; byte offsets; bytes) of a block's documents."""
+    ids, offsets = unpack(row["ids"], np.int64, np.int64)
+    return ids, offsets, unpack(row["body"], np.uint8)[0]
+
+
 def arrow_type(schema: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
     return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(",")])

@@ -8,11 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BASE, arrow_type, durable, mix, pack, partitions, small_batches, table, texts_of, unpack
+from .common import _BASE, NULL_ID, Scratch, arrow_type, durable, mix, pack, partitions, read_block, small_batches, table, text_blocks, unpack
 
 #: Length of a repeated string, and of the grams whose smallest hash routes it (a string has GRAM - KEY + 1 of them).
 GRAM, KEY = 50, 24
@@ -22,8 +21,6 @@ BLOCK_BYTES, CHUNK = 4 << 20, 1 << 16
 SHARE_BYTES = 2 << 20
 #: Bits of a routing hash that travel beside its bucket; one more tells that a block has it in two rows.
 BITS = 39
-#: Stands for a null doc_id: before all others.
-NULL_ID = np.iinfo(np.int64).min
 
 
 def _smallest(data: np.ndarray) -> np.ndarray:
@@ -91,38 +88,6 @@ def _spread(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(int(counts.sum())) + np.repeat(first - (np.cumsum(counts) - counts), counts)
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """Whole documents in blocks of about BLOCK_BYTES, compressed, in the shared folder."""
-    schema = "block long, ids binary, body binary"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, ids, texts, n = TaskContext.get().partitionId() << 32, [], [], 0
-
-        def done() -> pa.RecordBatch:
-            offsets = np.cumsum([0, *map(len, texts)])
-            keys = np.array([NULL_ID if i is None else i for i in ids], np.int64)
-            return pa.RecordBatch.from_pydict({"block": [number], "ids": [pack(keys, offsets)], "body": [pack(np.frombuffer(b"".join(texts), np.uint8))]}, schema=arrow_type(schema))
-
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.large_binary()), strict=True):
-                text = text.as_py()
-                if texts and n + len(text) > BLOCK_BYTES:
-                    yield done()
-                    number, ids, texts, n = number + 1, [], [], 0
-                ids.append(doc_id)
-                texts.append(text)
-                n += len(text)
-        if texts:
-            yield done()
-
-    return durable(texts_of(docs).mapInArrow(run, schema), "suffix-blocks")
-
-
-def _read(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids, offsets = unpack(row["ids"], np.int64, np.int64)
-    return ids, offsets, unpack(row["body"], np.uint8)[0]
-
-
 def _keys(blocks: DataFrame, buckets: int) -> DataFrame:
     """Per block and bucket the distinct routing hashes, and digests of the documents."""
     schema = "bucket int, block long, low binary, high binary, digests binary, ids binary, rows binary"
@@ -130,7 +95,7 @@ def _keys(blocks: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ids, offsets, data = _read(r)
+                ids, offsets, data = read_block(r)
                 start, _, key = _runs(data, offsets)
                 row = np.searchsorted(offsets, start, "right") - 1
                 code = _coded(key, buckets)
@@ -228,7 +193,7 @@ def _pieces(blocks: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
         none = pd.DataFrame(columns=["bucket", "block", "body", "counts", "places"])
         if not len(left) or not len(right):
             return none
-        ids, offsets, data = _read(left.iloc[0])
+        ids, offsets, data = read_block(left.iloc[0])
         values, n = _joined(right["values"], np.uint64)
         wanted = np.sort((np.repeat(right["bucket"].to_numpy().astype(np.uint64), n) << np.uint64(BITS)) | values)
         later = np.zeros(len(ids), bool)
@@ -427,7 +392,7 @@ def _removed(blocks: DataFrame, shared: DataFrame, covers: DataFrame, texts: boo
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
-        ids, offsets, data = _read(left.iloc[0])
+        ids, offsets, data = read_block(left.iloc[0])
         change = np.zeros(len(data) + 1, np.int32)
         for blob in right["covers"].dropna():
             at, length = unpack(blob, np.int32, np.int32)
@@ -472,9 +437,12 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     buckets = partitions(spark)
-    blocks = _blocks(docs)
-    shared = durable(_shared(_keys(blocks, buckets)), "suffix-shared")
-    return _removed(blocks, shared, _covers(_pieces(blocks, shared, buckets)), texts)
+    scratch = Scratch(spark, "suffix")
+    blocks = scratch.write(text_blocks(docs, BLOCK_BYTES), "blocks")
+    shared = scratch.write(_shared(_keys(blocks, buckets)), "shared")
+    out = durable(_removed(blocks, shared, _covers(_pieces(blocks, shared, buckets)), texts), "suffix-removed")
+    scratch.drop()
+    return out
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
