@@ -39,7 +39,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(path)
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() * 0x10001  # 65,536 blocks a task at most, dealt to all buckets
 
         def block(rows: list[tuple], number: int) -> pa.RecordBatch:
             where: dict[str, list[int]] = defaultdict(list)
@@ -57,15 +57,16 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             out = {c: [] for c in arrow_type(dealt).names}
+            home = number % buckets
             for b in range(buckets):
                 mine = [words[i] for i in order[edges[b] : edges[b + 1]]]
-                if not mine and b:
+                if not mine and b != home:
                     continue
                 lists = [where[w] for w in mine]
                 flat = np.fromiter((x for one in lists for x in one), np.int32)
                 counts = np.fromiter((len(one) // 2 for one in lists), np.int32)
-                # the documents themselves go with bucket 0, whatever words it has
-                known = pack(np.array([i or 0 for i, _ in rows], np.int64), np.array([i is None for i, _ in rows]), sizes, whole) if not b else None
+                # the documents themselves go with one bucket, another one for each block
+                known = pack(np.array([i or 0 for i, _ in rows], np.int64), np.array([i is None for i, _ in rows]), sizes, whole) if b == home else None
                 for c, x in zip(out, (b, number, len(rows), known, pack(np.frombuffer("\n".join(mine).encode(), np.uint8)), pack(flat[::2], flat[1::2], counts)), strict=True):
                     out[c].append(x)
             return pa.RecordBatch.from_pydict(out, schema=arrow_type(dealt))
