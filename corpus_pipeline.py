@@ -1,4 +1,8 @@
-"""The corpus pipeline: documents through five operators, each stage written and read again."""
+"""The corpus pipeline: documents through five operators, each stage written and read again.
+
+Every stage carries a document's columns as one struct where it adds its own, so no name of the input can clash. An empty table
+gives an empty one, null text counts as empty, and extra columns travel unchanged up to the mixture.
+"""
 
 from __future__ import annotations
 
@@ -6,37 +10,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.llm.common import durable, table
-from skeinwork.llm.decontaminate import contaminated
+from skeinwork.llm.decontaminate import without_passages
 from skeinwork.llm.mixing import mix, mixture
 from skeinwork.llm.ngram_join import components
 from skeinwork.llm.quality import quality_rules
 from skeinwork.llm.token_output import token_files
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows of the doc_ids in gone (gone); rows of one doc_id go or stay together, rows without one stay."""
+    return docs.select(F.struct(*docs.columns).alias("row")).join(gone, F.col("row.doc_id") == F.col("gone"), "left_anti").select("row.*")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. The verdicts are written first: a filter above them would work them out anew."""
-    return durable(quality_rules(docs, table(spark, sf_dir, "labels")).select("row", "kept"), "verdicts").filter("kept").select("row.*")
+    """Documents that the quality rules keep: null, empty and short texts go. Repeated rows are judged each, and alike."""
+    return quality_rules(docs, table(spark, sf_dir, "labels")).filter("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component of near duplicates; rows without a doc_id stay."""
-    later = components(docs).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("later"))
-    return docs.join(later, F.col("doc_id") == F.col("later"), "left_anti")
+    """The document with the smallest doc_id of each component of near duplicates; empty texts have none and stay.
+
+    Rows without a doc_id stay, as do repeated rows of the doc_id that stays. A doc_id with several texts goes with all of its
+    rows if one of them has an earlier near duplicate.
+    """
+    later = components(docs).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone"))
+    return _without(docs, later)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    bad = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("bad"), "left_anti")
+    """Documents without a passage of the benchmark. The verdict is on the text: repeated rows share it, null and empty texts stay."""
+    return without_passages(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mixture asks for, and once at least: the mixture raises domains, it loses no document."""
-    return mixture(mix(docs, table(spark, sf_dir, "labels")), docs.columns, least=1)
+    """Every document as often as the mixture asks for. Rates are 1 at least, so the mixture raises domains and loses no document."""
+    return mixture(mix(docs, table(spark, sf_dir, "labels"), least=1.0))
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mixture, and what they hold of each document."""
+    """Token files of the mixture, and what they hold of each document: copies are written each, null doc_ids first."""
     return token_files(docs)
 
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, slices, small_batches, table, word_spans
+from .common import Scratch, slices, small_batches, table, word_spans
 
 DIMS = 1024
 _GAP = np.uint32(0x9E3779B1)
@@ -35,14 +36,14 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: str, sample: int, st
     """Domain names and softmax weights, fitted on the `sample` labelled documents with the smallest hash: a bounded sample."""
     known = labels.select(F.col("doc_id").alias("labelled")).filter("labelled is not null").distinct().orderBy(F.xxhash64("labelled"), "labelled").limit(sample)
     rows = docs.filter(F.col(domain).isNotNull()).select("doc_id", F.col(domain).cast("string").alias("domain"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.join(F.broadcast(known), F.col("doc_id") == F.col("labelled")).select("domain", "text")
+    rows = rows.join(F.broadcast(known), F.col("doc_id") == F.col("labelled")).groupBy("doc_id").agg(F.min(F.struct("domain", "text")).alias("r")).select("r.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, x, _ in _trigrams(batch["text"]):
                 yield pa.RecordBatch.from_arrays([batch["domain"].slice(first, len(x)), pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary())], ["domain", "x"])
 
-    got = sorted((r.domain, bytes(r.x)) for r in rows.mapInArrow(run, "domain string, x binary").limit(2 * sample).collect())
+    got = sorted((r.domain, bytes(r.x)) for r in rows.mapInArrow(run, "domain string, x binary").collect())
     names = sorted({d for d, _ in got})
     if not names:
         return [], np.zeros((DIMS + 1, 0))
@@ -62,27 +63,29 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def posteriors(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """docs' columns, n_tokens (words) and p (array of domain posteriors) of every document."""
-    names = docs.columns
-    fields = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in docs.schema] + ["n_tokens long", "p array<double>"])
+    """row (docs' columns as a struct), n_tokens (words) and p (array of domain posteriors) of every document."""
+    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # the names of docs cannot clash with the new ones
+    text, names = f"c{docs.columns.index('text')}", named.columns
+    fields = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in named.schema] + ["n_tokens long", "p array<double>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, x, words in _trigrams(batch["text"]):
+            for first, x, words in _trigrams(batch[text]):
                 p = _softmax(np.hstack([x, np.ones((len(x), 1))]) @ weights)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
                 part = batch.slice(first, len(x))
                 yield pa.RecordBatch.from_arrays([*[part[c] for c in names], pa.array(words.astype(np.int64)), lists], [*names, "n_tokens", "p"])
 
-    return docs.mapInArrow(run, fields)
+    row = F.struct(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    return named.mapInArrow(run, fields).select(row.alias("row"), "n_tokens", "p")
 
 
-def fit_rates(soft: DataFrame, k: int, target: np.ndarray, total: float | None = None, tolerance: float = 1e-5, most: int = 40) -> DataFrame:
-    """soft (n_tokens, p) with `rate` >= 0 such that the sums of rate * n_tokens * p come to total * target.
+def fit_moves(soft: DataFrame, k: int, target: np.ndarray, least: float = 0.0, total: float | None = None, tolerance: float = 1e-5, most: int = 100) -> list[list[float]]:
+    """Steps of the rates (see rate()) with which the sums of rate * n_tokens * p come to total * target, over soft (n_tokens, p).
 
     Each step sums k numbers over all documents, and moves every rate against its gradient, scaled by the k x k moment
-    matrix of the posteriors, then back to 0 where it fell below. A rate is a fold over the few step vectors, so no step
-    keeps a table. total defaults to the least at which no domain must shrink.
+    matrix of the posteriors, then back to `least` where it fell below. total defaults to the least at which no domain must
+    shrink. Where `most` steps don't reach the targets, as none can if the posteriors say nothing, a warning gives what is off.
     """
     tokens = F.col("n_tokens")
     sums = [F.sum(tokens * F.col("p")[i]) for i in range(k)] + [F.sum(tokens * F.col("p")[i] * F.col("p")[j]) for i in range(k) for j in range(k)]
@@ -92,49 +95,60 @@ def fit_rates(soft: DataFrame, k: int, target: np.ndarray, total: float | None =
         total = max((have[i] / target[i] for i in range(k) if target[i] > 0), default=0.0)
     want, scale = total * target, np.linalg.pinv(moment)
     moves: list[list[float]] = []
-
-    def rate():
-        if not moves:
-            return F.lit(1.0)
-        steps = F.array(*[F.array(*map(F.lit, m)) for m in moves])
-        return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with(F.col("p"), g, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)))
-
     for _ in range(most):
         if np.abs(have - want).max(initial=0) <= tolerance * max(total, 1.0):
-            break
+            return moves
         moves.append([float(x) for x in scale @ (have - want)])
-        have = np.array([float(x or 0) for x in soft.withColumn("rate", rate()).agg(*[F.sum(tokens * F.col("rate") * F.col("p")[i]) for i in range(k)]).first()])
-    return soft.withColumn("rate", rate())
+        have = np.array([float(x or 0) for x in soft.select("n_tokens", "p", rate(moves, least).alias("rate")).agg(*[F.sum(tokens * F.col("rate") * F.col("p")[i]) for i in range(k)]).first()])
+    off = np.abs(have - want).max(initial=0) / max(total, 1.0)
+    if off > tolerance:
+        warnings.warn(f"the mixture's largest domain error is {off:.2g} of all tokens after {most} steps", stacklevel=2)
+    return moves
+
+
+def rate(moves: list[list[float]], least: float = 0.0) -> Column:
+    """A document's rate: the steps folded over its posteriors p, never under least. So no step keeps a table."""
+    if not moves:
+        return F.lit(1.0)
+    steps = F.array(*[F.array(*map(F.lit, m)) for m in moves])
+    return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(least), r - F.aggregate(F.zip_with(F.col("p"), g, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)))
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, domain: str = "lang", sample: int = 2000, temper: float = 0.7, total: float | None = None) -> DataFrame:
-    """docs' columns with n_tokens, p, rate and copies: how often each document belongs in the mixture.
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, domain: str = "lang", sample: int = 2000, temper: float = 0.7, total: float | None = None, least: float = 0.0) -> DataFrame:
+    """row (docs' columns as a struct), n_tokens, p, rate and copies: how often each document belongs in the mixture.
 
     A softmax classifier fitted on a bounded sample of the labelled rows predicts each document's domain posteriors; no
     document's own domain column is used beyond that sample. weights (normalised) default to the corpus shares to the power
-    `temper`. copies = floor(rate + u) with u a hash of doc_id, so its mean is the rate. Null text is empty and counts no
-    tokens; a null domain trains nothing; without any labelled row there is one domain of all; repeated rows are rated each.
+    `temper`. Rates are `least` at least: with 1 every document stays, and the targets are met by what is repeated.
+    copies = floor(rate + u) with u a hash of doc_id, so its mean is the rate. Null text is empty and counts no tokens; a null
+    domain trains nothing; without any labelled row there is one domain of all; repeated rows are rated each, and copied alike;
+    of rows with one doc_id, one trains; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     names, w = fit_domains(docs, labels, domain, sample)
     if not names:
         names, w = ["all"], np.zeros((DIMS + 1, 1))
-    soft = durable(posteriors(docs, w), "mix")
+    scratch = Scratch(spark, "mix")
+    soft = scratch.write(posteriors(docs, w).select("n_tokens", "p"), "posteriors")
     if weights is None:
         row = soft.agg(*[F.sum(F.col("n_tokens") * F.col("p")[i]) for i in range(len(names))]).first()
         share = np.array([float(x or 0) for x in row]) ** temper
     else:
         share = np.array([float(weights.get(n, 0.0)) for n in names])
     target = share / share.sum() if share.sum() > 0 else np.full(len(names), 1 / len(names))
-    u = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return fit_rates(soft, len(names), target, total).withColumn("copies", F.floor(F.col("rate") + u).cast("int"))
+    moves = fit_moves(soft, len(names), target, least, total)
+    scratch.drop()
+    u = F.pmod(F.xxhash64("row.doc_id", F.lit("mix")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    # the posteriors are worked out again beside the texts, which are not written for it
+    return posteriors(docs, w).withColumn("rate", rate(moves, least)).withColumn("copies", F.floor(F.col("rate") + u).cast("int"))
 
 
-def mixture(mixed: DataFrame, columns: list[str], least: int = 0) -> DataFrame:
-    """The documents of a mixture, each `copies` times and `least` times at least."""
-    return mixed.withColumn("n", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(least), F.lit(1))))).filter(F.greatest("copies", F.lit(least)) > 0).select(*columns)
+def mixture(mixed: DataFrame) -> DataFrame:
+    """The documents of a mixture, each `copies` times; those of 0 copies are left out."""
+    return mixed.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return mix(docs, table(spark, sf_dir, "labels")).select("doc_id", "n_tokens", "p", F.round("rate", 6).alias("rate"), "copies")
+    return mix(docs, table(spark, sf_dir, "labels")).select("row.doc_id", "n_tokens", "p", F.round("rate", 6).alias("rate"), "copies")
