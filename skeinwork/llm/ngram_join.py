@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,26 +11,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BASE, arrow_type, durable, mix, pack, partitions, slices, small_batches, table, texts_of, unpack, word_hashes, word_spans
+from .common import _BASE, NULL_ID, Scratch, arrow_type, cut, durable, mix, pack, partitions, read_block, small_batches, table, text_blocks, unpack, word_hashes, word_spans
 from .components import connected
 
 SHINGLE = 5
 #: Two sets link from this share of their union on, in hundredths.
 SHARE = 75
-#: Cells of the table that estimates how many documents have a shingle; its size is fixed, more text only makes it coarser.
-CELL_BITS, PART_BITS = 22, 16
-#: Postings that a task holds before it deals them to the buckets.
-HELD = 1 << 20
-#: Sizes travel as 16 times their logarithm; sets further apart than this cannot link.
-SIZE_STEPS, SIZE_GAP = 16, math.ceil(16 * math.log2(100 / SHARE)) + 1
-SIEVE_BITS = 26
+#: Bytes of text in one block of documents, of which the distinct shingles are counted together.
+BLOCK_BYTES = 16 << 20
+#: A shingle in so many sets at most is rare: a key by itself. The classes of frequent ones make keys in pairs.
+RARE = 64
+#: Shingles and sets of one block of a candidate cluster: what a task compares at once with another such block.
+CLUSTER_SHINGLES, CLUSTER_SETS = 2_000_000, 4_000
 
 
-def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     """Each text's distinct shingle hashes, sorted. Fewer words than SHINGLE are one shingle; no word is an empty set."""
-    for _, data, offsets in slices(texts):
-        starts, ends, bounds = word_spans(data, offsets)
-        words = word_hashes(data, starts, ends)
+    for _, part, bounds_of in cut(data, offsets):
+        starts, ends, bounds = word_spans(part, bounds_of)
+        words = word_hashes(part, starts, ends)
         n = max(len(words) - SHINGLE + 1, 0)
         h = words[:n].copy()
         for i in range(1, SHINGLE):
@@ -49,77 +47,108 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def set_id(shingles: np.ndarray) -> int | None:
-    """64-bit digest of a set: documents with equal sets are one node of the join."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True) if len(shingles) else None
+def set_id(shingles: np.ndarray) -> int:
+    """64-bit digest of a set: documents with equal sets are one node of the join. 0 is the empty set."""
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True) or 1 if len(shingles) else 0
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """One row per document (doc_id, key of its text, n, sid), and the tasks' counts of documents per cell in parts."""
-    schema = "doc_id long, tkey long, n long, sid long, part int, counts binary"
+def _block_sets(row) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """(doc_ids, sets, set ids, rows of the first document of each set that can link) of a block."""
+    ids, offsets, data = read_block(row)
+    sets = list(shingle_sets(data, offsets))
+    sids = np.array([set_id(s) for s in sets], np.int64)
+    _, first = np.unique(sids, return_index=True)
+    return ids, sets, sids, np.sort(first[[len(sets[i]) > 1 for i in first]]) if len(first) else first
+
+
+def _codes(sets: list[np.ndarray], buckets: int) -> np.ndarray:
+    """Bucket in the high half, 32 bits of the hash in the low half: a shingle's print."""
+    h = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    return ((h % np.uint64(buckets)) << np.uint64(32)) | ((h // np.uint64(buckets)) & np.uint64(0xFFFFFFFF))
+
+
+def _prints(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Per block and bucket the distinct prints, sorted, and in how many of the block's distinct sets each is.
+
+    The block's documents (doc_id, size, set id) ride with the bucket of the block's number.
+    """
+    schema = "bucket int, block long, prints binary, docs binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, held, n = np.zeros(1 << CELL_BITS, np.uint32), [], 0
         for batch in batches:
-            sizes, sids = [], []
-            for s in shingle_sets(batch["text"]):
-                sizes.append(len(s))
-                sids.append(set_id(s))
-                held.append((s & np.uint64((1 << CELL_BITS) - 1)).astype(np.uint32))
-                n += len(s)
-                if n >= HELD:
-                    at, times = np.unique(np.concatenate(held), return_counts=True)
-                    cells[at] += times.astype(np.uint32)
-                    held, n = [], 0
-            none = len(batch)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tkey"], pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], schema=arrow_type(schema))
-        if held:
-            at, times = np.unique(np.concatenate(held), return_counts=True)
-            cells[at] += times.astype(np.uint32)
-        for p in range(1 << (CELL_BITS - PART_BITS)):
-            part = cells[p << PART_BITS : (p + 1) << PART_BITS]
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"doc_id": [None], "tkey": [None], "n": [None], "sid": [None], "part": [p], "counts": [pack(part)]}, schema=arrow_type(schema))
-
-    return durable(texts_of(docs).withColumn("tkey", F.xxhash64("text")).select("doc_id", "text", "tkey").mapInArrow(run, schema), "join-sets")
-
-
-def _classes(sets: DataFrame) -> tuple[np.ndarray, int]:
-    """For each cell twice the logarithm of its count, and the largest class that counts as rare."""
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(1 << PART_BITS, np.int64)
-        for blob in group["counts"]:
-            total += unpack(blob, np.uint32)[0]
-        return pd.DataFrame({"part": group["part"].iloc[:1], "sum": [float(total.sum())], "classes": [pack(np.floor(2 * np.log2(total + 1.0)).astype(np.uint8))]})
-
-    found = sets.filter(F.col("part").isNotNull()).select("part", "counts").groupBy("part").applyInPandas(add, "part int, sum double, classes binary").collect()
-    classes, total = np.zeros(1 << CELL_BITS, np.uint8), 0.0
-    for r in found:
-        classes[r.part << PART_BITS : (r.part + 1) << PART_BITS] = unpack(bytes(r.classes), np.uint8)[0]
-        total += r.sum
-    return classes, int(2 * math.log2(3 * total / len(classes) + 50))
-
-
-def prefix_keys(shingles: np.ndarray, classes: np.ndarray, rare: int) -> np.ndarray:
-    """Index keys of a set: two sets that link share one at least.
+            for r in batch.to_pylist():
+                ids, sets, sids, first = _block_sets(r)
+                code, times = np.unique(_codes([sets[i] for i in first], buckets), return_counts=True)
+                low, edge = (code & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.searchsorted(code, np.arange(buckets + 1).astype(np.uint64) << np.uint64(32))
+                mine = r["block"] % buckets
+                docs = pack(ids, np.array([len(s) for s in sets], np.int64), sids)
+                out = []
+                for b in range(buckets):
+                    part, n = low[edge[b] : edge[b + 1]], np.minimum(times[edge[b] : edge[b + 1]], 0xFFFF)
+                    if len(part) or b == mine:
+                        step = np.diff(part, prepend=np.uint32(0))  # small where the block has many; its bytes by weight compress
+                        out.append((b, r["block"], pack(np.ascontiguousarray(step.view(np.uint8).reshape(-1, 4).T).ravel(), n.astype(np.uint16)), docs if b == mine else None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow_type(schema).types, strict=True)], schema=arrow_type(schema))
+
+    return blocks.mapInArrow(run, schema)
+
+
+def _classes(prints: DataFrame) -> DataFrame:
+    """Per block and bucket the classes of its prints in their order: 0 for a print in one set of the corpus, else by its count's logarithm."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        values, counts = [], []
+        for blob in group["prints"]:
+            planes, n = unpack(blob, np.uint8, np.uint16)
+            values.append(np.cumsum(np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32))
+            counts.append(n)
+        value, n = np.concatenate(values), np.concatenate(counts).astype(np.int64)
+        order = np.argsort(value)
+        new = np.concatenate([[True], value[order][1:] != value[order][:-1]])[: len(order)]
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(n[order], first) if len(first) else n
+        kind = np.where(total > 1, 1 + np.floor(2 * np.log2(np.maximum(total, 2))), 0).astype(np.uint8)
+        out = np.zeros(len(value), np.uint8)
+        out[order] = kind[np.cumsum(new) - 1] if len(first) else out
+        edge = np.cumsum([0, *map(len, values)])
+        return pd.DataFrame({"block": group["block"], "bucket": group["bucket"], "classes": [pack(out[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)], "docs": group["docs"]})
+
+    return prints.groupBy("bucket").applyInPandas(run, "block long, bucket int, classes binary, docs binary")
+
+
+def _documents(classes: DataFrame) -> DataFrame:
+    """(doc_id, n, sid, block, row) of every document; sid is null for an empty set."""
+    schema = "doc_id long, n long, sid long, block long, row long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, n, sid = unpack(r["docs"], np.int64, np.int64, np.int64)
+                rows = [pa.array(ids, mask=ids == NULL_ID), pa.array(n), pa.array(sid, mask=sid == 0), pa.array(np.full(len(ids), r["block"])), pa.array(np.arange(len(ids)))]
+                yield pa.RecordBatch.from_arrays(rows, schema=arrow_type(schema))
+
+    return classes.filter("docs is not null").select("block", "docs").mapInArrow(run, schema)
+
+
+def prefix_keys(shingles: np.ndarray, kind: np.ndarray, rare: int) -> np.ndarray:
+    """Index keys of a set, kind being its shingles' classes: two sets that link share one at least.
 
     Shingles are ordered from rare to frequent classes, then by hash. With x of them, no more than x - o may be missing from a
-    partner, o = ceil(0.75 x); so the first x - o + 1 include a shared one. Where those are all rare, each is a key. Otherwise
-    the frequent ones are split by hash into groups, and the prefix is extended by one shingle a group: then a partner that
-    shares no rare one shares two of one group, so the pairs within the groups are keys. The number of groups follows the
-    size's power of two; a set has keys for its own power and the next, as a smaller partner may be one power below.
+    partner, o = ceil(0.75 x); so the first x - o + 1 include a shared one. Where those are all rare, each is a key, but for
+    those of class 0, which no other set has. Otherwise the frequent ones are split by hash into groups, and the prefix is
+    extended by one shingle a group: then a partner that shares no rare one shares two of one group, so the pairs within the
+    groups are keys. The number of groups follows the size's power of two; a set has keys for its own power and the next, as a
+    smaller partner may be one power below.
     """
     x = len(shingles)
-    if x < 2:
-        return np.zeros(0, np.uint64)
     need = x - -(-SHARE * x // 100) + 1
-    kind = classes[shingles & np.uint64((1 << CELL_BITS) - 1)]
-    order = np.argsort((kind.astype(np.uint64) << np.uint64(56)) | (shingles >> np.uint64(8)), kind="stable")
-    n_rare = int((kind <= rare).sum())
-    keys = [mix(shingles[order[: min(need, n_rare)]])]
+    order = np.lexsort((shingles, kind))
+    shingles, kind = shingles[order], kind[order]
+    n_rare = int(np.searchsorted(kind, rare, "right"))
+    first = int(np.searchsorted(kind, 0, "right"))
+    keys = [mix(shingles[first : max(first, min(need, n_rare))])]
     if n_rare < need:
-        often = shingles[order[n_rare:]]
+        often = shingles[n_rare:]
         for power in (x.bit_length() - 1, x.bit_length()):
             groups = max(1, (1 << power) // 4)
             group = (mix(often + np.uint64(power)) % np.uint64(groups)).astype(np.int64)
@@ -136,251 +165,178 @@ def prefix_keys(shingles: np.ndarray, classes: np.ndarray, rare: int) -> np.ndar
     return np.concatenate(keys)
 
 
-def _postings(docs: DataFrame, classes: np.ndarray, rare: int, buckets: int) -> DataFrame:
-    """Per task and bucket the keys (40 bits), set ids and sizes; equal sets of a task once."""
+def _postings(blocks: DataFrame, classes: DataFrame, buckets: int) -> DataFrame:
+    """Per block and bucket the keys (40 bits), set ids and sizes."""
     schema = "bucket int, low binary, high binary, sids binary, sizes binary"
-    sent = docs.sparkSession.sparkContext.broadcast(classes)
+    rare = 1 + int(2 * np.log2(RARE))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_of, seen, held, n = sent.value, set(), [], 0
-
-        def flush() -> pa.RecordBatch:
-            key = np.concatenate([k for k, _, _ in held])
-            count = [len(k) for k, _, _ in held]
-            sid, size = np.repeat(np.array([s for _, s, _ in held], np.int64), count), np.repeat(np.array([z for _, _, z in held], np.uint16), count)
-            bucket = (key % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            value = (key // np.uint64(buckets))[order]
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            columns = [value.astype(np.uint32), (value >> np.uint64(32)).astype(np.uint8), sid[order], size[order]]
-            return pa.RecordBatch.from_pydict({"bucket": np.arange(buckets, dtype=np.int32)} | {c: [v[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)] for c, v in zip(("low", "high", "sids", "sizes"), columns, strict=True)}, schema=arrow_type(schema)).take(pa.array(np.flatnonzero(np.diff(cut))))
-
-        for batch in batches:
-            for s in shingle_sets(batch["text"]):
-                if len(s) < 2 or (sid := set_id(s)) in seen:
-                    continue
-                if len(seen) >= HELD:
-                    seen.clear()
-                seen.add(sid)
-                keys = prefix_keys(s, table_of, rare)
-                held.append((keys, sid, int(SIZE_STEPS * math.log2(len(s)))))
-                n += len(keys)
-                if n >= HELD:
-                    yield flush()
-                    held, n = [], 0
-        if held:
-            yield flush()
-
-    return texts_of(docs).mapInArrow(run, schema)
-
-
-def _lists(postings: DataFrame) -> DataFrame:
-    """The distinct lists of two or more sets under one key: (lid, sids, sizes) with sids sorted, as arrays in binaries."""
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        if not len(left):
+            return none
+        _, sets, sids, first = _block_sets(left.iloc[0])
+        if not len(first):
+            return none
+        right = right.sort_values("bucket")
+        kind = np.concatenate([unpack(x, np.uint8)[0] for x in right["classes"]])
+        kind = kind[np.unique(_codes([sets[i] for i in first], buckets), return_inverse=True)[1]]
+        size = np.array([len(sets[i]) for i in first], np.int64)
+        begin = np.cumsum(size) - size
+        alone = np.add.reduceat(kind == 0, begin, dtype=np.int64)
+        held = []
+        for k in np.flatnonzero(alone < size - -(-SHARE * size // 100) + 1):
+            key = prefix_keys(sets[first[k]], kind[begin[k] : begin[k] + size[k]], rare)
+            held.append((key, sids[first[k]], size[k]))
+        if not held:
+            return none
+        key, count = np.concatenate([k for k, _, _ in held]), [len(k) for k, _, _ in held]
+        sid, size = np.repeat(np.array([s for _, s, _ in held], np.int64), count), np.repeat(np.array([z for _, _, z in held], np.int32), count)
+        bucket = (key % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        value = (key // np.uint64(buckets))[order]
+        edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        columns = value.astype(np.uint32), (value >> np.uint64(32)).astype(np.uint8), sid[order], size[order]
+        return pd.DataFrame([(b, *(v[edge[b] : edge[b + 1]].tobytes() for v in columns)) for b in np.flatnonzero(np.diff(edge))], columns=none.columns)
+
+    return blocks.groupBy("block").cogroup(classes.groupBy("block")).applyInPandas(run, schema)
+
+
+def _candidates(postings: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all sets of a key's list whose sizes allow a link.
+
+    A list is sorted by size and parted where the next size is too large for the one before. A bucket joins the runs of all its
+    lists that have a set in common, and gives each set's edge to the smallest set id: no more edges than it has sets.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         value = np.frombuffer(b"".join(group["low"]), np.uint32).astype(np.uint64) | (np.frombuffer(b"".join(group["high"]), np.uint8).astype(np.uint64) << np.uint64(32))
-        sid, size = np.frombuffer(b"".join(group["sids"]), np.int64), np.frombuffer(b"".join(group["sizes"]), np.uint16)
-        order = np.argsort(value)
-        first = np.flatnonzero(np.concatenate([[True], value[order][1:] != value[order][:-1]]))
-        several = np.diff(np.append(first, len(order))) > 1
-        order = order[np.repeat(several, np.diff(np.append(first, len(order))))]
+        sid, size = np.frombuffer(b"".join(group["sids"]), np.int64), np.frombuffer(b"".join(group["sizes"]), np.int32).astype(np.int64)
+        order = np.lexsort((size, value))
         value, sid, size = value[order], sid[order], size[order]
-        order = np.lexsort((sid, value))
-        value, sid, size = value[order], sid[order], size[order]
-        fresh = np.concatenate([[True], (value[1:] != value[:-1]) | (sid[1:] != sid[:-1])])[: len(value)]
-        value, sid, size = value[fresh], sid[fresh], size[fresh]
-        first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])[: len(value)])
-        n = np.diff(np.append(first, len(value)))
-        if not len(first):
-            return pd.DataFrame(columns=["bucket", "counts", "sids", "sizes"])
-        digest = mix(np.add.reduceat(mix(sid.view(np.uint64)), first) + n.astype(np.uint64))
-        _, one = np.unique(digest, return_index=True)
-        one = one[n[one] > 1]
-        at = np.arange(int(n[one].sum())) + np.repeat(first[one] - (np.cumsum(n[one]) - n[one]), n[one])
-        return pd.DataFrame({"bucket": group["bucket"].iloc[:1], "counts": [pack(n[one].astype(np.int32))], "sids": [pack(sid[at])], "sizes": [pack(size[at])]})
-
-    return durable(postings.groupBy("bucket").applyInPandas(run, "bucket int, counts binary, sids binary, sizes binary"), "join-lists")
-
+        new = np.concatenate([[True], (value[1:] != value[:-1]) | (SHARE * size[1:] > 100 * size[:-1])])
+        run_of = np.cumsum(new) - 1
+        least = np.minimum.reduceat(sid, np.flatnonzero(new))[run_of]
+        on = sid != least
+        pairs = np.unique(np.stack([least[on], sid[on]], axis=1), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-def _read_lists(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return unpack(row["counts"], np.int32)[0].astype(np.int64), unpack(row["sids"], np.int64)[0], unpack(row["sizes"], np.uint16)[0].astype(np.int64)
+    return postings.groupBy("bucket").applyInPandas(run, "a long, b long").distinct()
 
 
-def _stars(lists: DataFrame) -> DataFrame:
-    """Each list's first set with every other of a fitting size."""
+def spanning_links(sets: list[np.ndarray], sides: np.ndarray) -> list[tuple[int, int]]:
+    """Positions of linked pairs that connect all sets which links connect: as many as sets less components.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                n, sid, size = _read_lists(row)
-                first = np.repeat(np.cumsum(n) - n, n)
-                fits = (np.abs(size - size[first]) <= SIZE_GAP) & (np.arange(len(sid)) != first)
-                pairs = np.unique(np.stack([sid[first[fits]], sid[fits]], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], ["a", "b"])
-
-    return lists.mapInArrow(run, "a long, b long").distinct()
+    With two sides only pairs across them count, as those of one side are compared elsewhere. A hub's shingles are marked in a
+    table of the shingles that two sets have, and counted in all sets of other components that fit its size.
+    """
+    size = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(size, kind="stable")
+    size, sides = size[order], sides[order]
+    _, code, times = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
+    shared = times > 1
+    keep = shared[code]
+    count = np.add.reduceat(keep, np.cumsum(size) - size, dtype=np.int64)
+    code = (np.cumsum(shared) - 1)[code[keep]].astype(np.int32)
+    edge = np.concatenate([[0], np.cumsum(count)])
+    both = sides.min() != sides.max()
+    root, on, found = np.arange(len(sets)), np.zeros(int(shared.sum()), np.uint8), []
+    fits = np.searchsorted(size, 100 * size // SHARE, "right")
+    for hub in range(len(sets) - 1):
+        other = np.arange(hub + 1, fits[hub])
+        other = other[(root[other] != root[hub]) & ((100 + SHARE) * np.minimum(count[other], count[hub]) >= SHARE * (size[other] + size[hub]))]
+        if both:
+            other = other[sides[other] != sides[hub]]
+        if not len(other):
+            continue
+        mine = code[edge[hub] : edge[hub + 1]]
+        on[mine] = 1
+        n = count[other]
+        begin = np.cumsum(n) - n
+        at = np.arange(int(n.sum())) + np.repeat(edge[other] - begin, n) if len(other) < other[-1] - other[0] + 1 else slice(edge[other[0]], edge[other[-1] + 1])
+        common = np.add.reduceat(on[code[at]], begin, dtype=np.int64)
+        on[mine] = 0
+        linked = other[(100 + SHARE) * common >= SHARE * (size[other] + size[hub])]
+        if len(linked):
+            roots, one = np.unique(root[linked], return_index=True)
+            found += [(int(order[hub]), int(order[t])) for t in linked[one]]
+            root[np.isin(root, np.append(roots, root[hub]))] = min(int(roots[0]), int(root[hub]))
+    return found
+
+
+def _tasks(clusters: DataFrame, sets: DataFrame) -> DataFrame:
+    """(sid, block, row, cluster, i, j, side): where each set of a cluster is compared.
+
+    A cluster within the bounds is one block of its own (i = j = 0). A larger one is dealt to blocks by a hash, and every pair
+    of its blocks is a task of its own, whatever the cluster's size.
+    """
+    placed = clusters.withColumnRenamed("node", "sid").join(sets, "sid")
+    total = placed.groupBy("component").agg(F.ceil(F.greatest(F.sum("n") / CLUSTER_SHINGLES, F.count("*") / CLUSTER_SETS)).alias("blocks"))
+    own = F.pmod(F.xxhash64("sid"), F.col("blocks"))
+    rows = placed.join(total, "component").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return rows.select("sid", "block", "row", F.col("component").alias("cluster"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
 
 
-def _members(lists: DataFrame) -> DataFrame:
-    """(lid, sid, size) of the lists of three sets and more; a list of two is done with its star."""
+def _texts(blocks: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(cluster, i, j, side, sid, body): the texts of the tasks' sets."""
+    schema = "cluster long, i long, j long, side int, sid long, body binary"
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                n, sid, size = _read_lists(row)
-                lid = np.repeat((np.int64(row["bucket"]) << 36) + np.arange(len(n)), n)
-                long = np.repeat(n > 2, n)
-                yield pa.RecordBatch.from_arrays([pa.array(lid[long]), pa.array(sid[long]), pa.array(size[long].astype(np.int32))], ["lid", "sid", "size"])
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=names)
+        _, offsets, data = read_block(left.iloc[0])
+        row = right["row"].to_numpy()
+        return right.assign(body=[data[a:b].tobytes() for a, b in zip(offsets[row], offsets[row + 1], strict=True)])[names]
 
-    return lists.mapInArrow(run, "lid long, sid long, size int")
+    return blocks.groupBy("block").cogroup(tasks.groupBy("block")).applyInPandas(run, schema)
 
 
-def _candidate_texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, text) of the wanted sets, one text each. A bit table of fixed size spares most other texts the shuffle."""
-    spark = docs.sparkSession
-    chosen = durable(sets.filter(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("tkey").alias("tkey")).join(wanted, "sid", "left_semi"), "join-wanted")
-    parts = 1 << (SIEVE_BITS - 19)
-
-    def bits(group: pd.DataFrame) -> pd.DataFrame:
-        on = np.zeros(1 << 19, bool)
-        on[group["at"].to_numpy()] = True
-        return pd.DataFrame({"part": group["part"].iloc[:1], "bits": [np.packbits(on).tobytes()]})
-
-    place = F.col("tkey").bitwiseAND(F.lit((1 << SIEVE_BITS) - 1))
-    cells = chosen.select(F.shiftright(place, 19).cast("int").alias("part"), place.bitwiseAND(F.lit((1 << 19) - 1)).cast("int").alias("at")).distinct()
-    sieve = np.zeros((parts, 1 << 16), np.uint8)
-    for r in cells.groupBy("part").applyInPandas(bits, "part int, bits binary").collect():
-        sieve[r.part] = np.frombuffer(bytes(r.bits), np.uint8)
-    sent = spark.sparkContext.broadcast(sieve.ravel())
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on, seen = sent.value, set()
-        for batch in batches:
-            key = batch["tkey"].to_numpy()
-            at = key & ((1 << SIEVE_BITS) - 1)
-            some = np.flatnonzero((on[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
-            fresh = []
-            for i, k in zip(some, key[some].tolist(), strict=True):
-                if k not in seen:
-                    seen.add(k)
-                    fresh.append(i)
-            if len(seen) >= HELD:
-                seen.clear()
-            yield batch.take(pa.array(fresh, pa.int64()))
-
-    texts = texts_of(docs).select(F.xxhash64("text").alias("tkey"), "text").mapInArrow(keep, "tkey long, text string")
-    found = chosen.join(texts, "tkey").select("sid", "text")
-    return durable(found.dropDuplicates(["sid"]), "join-texts")
-
-
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets really have the share, from their texts."""
-    right = texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
-    left = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+def _links(texts: DataFrame, width: int) -> DataFrame:
+    """(a, b): linked sets, enough of them to connect what links connect within each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, at = None, None
-        for batch in batches:
-            ids, keep = batch["a"].to_pylist(), []
-            for i, b in enumerate(shingle_sets(batch["text_b"])):
-                if at != ids[i]:
-                    at, known = ids[i], next(shingle_sets(batch["text_a"].slice(i, 1)))
-                place = np.minimum(np.searchsorted(known, b), len(known) - 1)
-                common = int((known[place] == b).sum())
-                keep.append(100 * common >= SHARE * (len(known) + len(b) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
-
+        at, sids, sides, sets = None, [], [], []
 
-def _marks(texts: DataFrame) -> DataFrame:
-    """(sid, n, marks): a bit table of each set, as many bits as shingles and more; a shingle flips the bit of its hash."""
+        def done() -> pa.RecordBatch:
+            found = spanning_links(sets, np.array(sides)) if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([sids[p[k]] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, marks = [], []
-            for s in shingle_sets(batch["text"]):
-                width = max(64, 1 << (len(s) - 1).bit_length())
-                flips = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
-                sizes.append(len(s))
-                marks.append(np.packbits(flips.astype(np.uint8), bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch["sid"], pa.array(sizes, pa.int64()), pa.array(marks, pa.binary())], ["sid", "n", "marks"])
-
-    return durable(texts.mapInArrow(run, "sid long, n long, marks binary"), "join-marks")
-
-
-def close_pairs(sid: np.ndarray, component: np.ndarray, n: np.ndarray, marks: list[bytes]) -> np.ndarray:
-    """Pairs of sets in different components that can link.
-
-    The bits in which two tables differ are no more than the shingles that only one of the sets has; linked sets have no more
-    than (100 - SHARE) of (100 + SHARE) of both sizes of those.
-    """
-    found = []
-    names, of, times = np.unique(component, return_inverse=True, return_counts=True)
-    largest = of == times.argmax()
-    # a pair across components has an end outside the largest one: those rows come first, and meet what stands after them
-    order = np.argsort(largest, kind="stable")
-    width = np.array([len(marks[i]) for i in order])
-    tables = {}
-    for w in np.unique(width):
-        mine = order[width == w]
-        tables[w] = mine, int((~largest[mine]).sum()), np.frombuffer(b"".join(marks[i] for i in mine), np.uint64).reshape(-1, w // 8)
-    for w, (left, outside, a) in tables.items():
-        for v in (w, 2 * w):  # linked sets' widths are equal or one power apart
-            if v not in tables:
-                continue
-            right, _, b = tables[v]
-            if v > w:
-                b = b[:, : w // 8] ^ b[:, w // 8 :]
-            step = max(1, (1 << 17) // (len(right) * (w // 8)))
-            for at in range(0, outside if v == w else len(left), step):
-                some, from_ = left[at : at + step], at if v == w else 0
-                differ = np.bitwise_count(a[at : at + step, None, :] ^ b[None, from_:, :]).sum(axis=2, dtype=np.int32)
-                both = n[some][:, None] + n[right[from_:]][None, :]
-                i, j = np.nonzero((differ * (100 + SHARE) <= both * (100 - SHARE)) & (component[some][:, None] != component[right[from_:]][None, :]))
-                found.append(np.sort(np.stack([sid[some[i]], sid[right[from_ + j]]], axis=1), axis=1))
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-
-
-def _cross(members: DataFrame, marks: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs across components of the lists whose sets are in several components, without those that the bit tables rule out."""
-    placed = members.select("lid", "sid").join(known.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    mixed = placed.groupBy("lid").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("lid")
-    rows = placed.join(mixed, "lid", "left_semi").join(marks, "sid")
-    shares = 8 * partitions(members.sparkSession)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("lid", kind="stable")
-        lid, sid, component, n = (group[c].to_numpy() for c in ("lid", "sid", "component", "n"))
-        marks = group["marks"].tolist()
-        edge = np.append(np.flatnonzero(np.concatenate([[True], lid[1:] != lid[:-1]])), len(lid))
-        found = [close_pairs(sid[a:b], component[a:b], n[a:b], marks[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return rows.withColumn("share", F.pmod(F.xxhash64("lid"), F.lit(shares))).groupBy("share").applyInPandas(run, "a long, b long").distinct()
-
-
-def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sets, links): a row per document with its set id, and enough verified links between sets to give all components.
-
-    First each list's star is verified; then, of lists whose sets are still in different components, every pair across
-    components that the sets' bit tables do not rule out. Pairs within a component would add no connection, so large groups
-    of copies cost a star each.
+            keys = zip(*(batch[c].to_pylist() for c in ("cluster", "i", "j", "side", "sid")), strict=True)
+            for (*key, side, sid), body in zip(keys, batch["body"], strict=True):
+                if key != at:
+                    if sets:
+                        yield done()
+                    at, sids, sides, sets = key, [], [], []
+                data = np.frombuffer(body.as_buffer(), np.uint8) if len(body.as_buffer()) else np.zeros(0, np.uint8)
+                sids.append(sid)
+                sides.append(side)
+                sets.append(next(shingle_sets(data, np.array([0, len(data)]))))
+        if sets:
+            yield done()
+
+    dealt = texts.repartition(width, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def link(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(documents, links): doc_id, n and set id of every document, and enough verified links between sets to give all components.
+
+    First every shingle's number of sets is counted, so that a set's prefix begins with the shingles that no other has. Sets
+    that share a key are candidates; a cluster that candidates connect is compared where its texts meet, exactly, and gives
+    spanning links alone, never its pairs.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    sets = _sets(docs)
-    classes, rare = _classes(sets)
-    lists = _lists(_postings(docs, classes, rare, partitions(spark)))
-    stars = durable(_stars(lists), "join-stars")
-    members = _members(lists)
-    wanted = stars.select(F.col("a").alias("sid")).union(stars.select("b")).union(members.select("sid")).distinct()
-    texts = _candidate_texts(docs, sets, wanted)
-    links = durable(verify(stars, texts), "join-links")
-    rest = _cross(members, _marks(texts), connected(links)).join(stars, ["a", "b"], "left_anti")
-    return sets, links.union(durable(verify(durable(rest, "join-rest"), texts), "join-more"))
+    buckets = partitions(spark)
+    blocks = scratch.write(text_blocks(docs, BLOCK_BYTES), "blocks")
+    classes = scratch.write(_classes(_prints(blocks, buckets)), "classes")
+    documents = scratch.write(_documents(classes), "documents")
+    candidates = scratch.write(_candidates(_postings(blocks, classes, buckets)), "candidates")
+    clusters = connected(candidates, scratch, "clusters")
+    first = documents.groupBy("sid").agg(F.min(F.struct("block", "row", "n")).alias("at")).select("sid", "at.*")
+    links = scratch.write(_links(_texts(blocks, _tasks(clusters, first)), buckets), "links")
+    return documents, links
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -389,14 +345,16 @@ def components(docs: DataFrame) -> DataFrame:
     Null or empty text has an empty set and links with nothing; equal sets are linked; repeated rows are rows each; rows with a
     null doc_id link like others but never name a component; an empty table gives no rows.
     """
-    sets, links = link(docs)
-    rows = sets.filter(F.col("part").isNull()).select("doc_id", F.col("n").alias("n_shingles"), "sid")
+    scratch = Scratch(docs.sparkSession, "join")
+    rows, links = link(docs, scratch)
     named = rows.filter(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("first"))
-    placed = named.join(connected(links).withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    placed = durable(placed, "join-placed")
+    placed = named.join(connected(links, scratch, "linked").withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    placed = scratch.write(placed, "placed")
     lowest = placed.groupBy("component").agg(F.min("first").alias("component_id"))
     by_set = placed.join(lowest, "component").select("sid", "component_id")
-    return rows.join(by_set, "sid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = durable(rows.join(by_set, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "join-components")
+    scratch.drop()
+    return out
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

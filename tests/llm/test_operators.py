@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skeinwork.llm import common, decontaminate, mixing, ngram_join, pii, quality, queries, suffix_dedup, token_counts, token_output, toxicity, warc
+from skeinwork.llm import decontaminate, mixing, ngram_join, pii, quality, queries, suffix_dedup, token_counts, token_output, toxicity, vocab, warc
 
 PASSAGE = "the quick brown fox jumps over the lazy dog near the river bank while seven small birds sing above old stones"
 ODD = [
@@ -126,6 +126,7 @@ def test_decontaminate_passage_before_a_poorer_stretch(spark):
 def test_quality_and_pii_and_toxicity(spark, odd):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
     assert quality.quality_rules(odd, labels).count() == len(ODD)
+    assert quality.quality_rules(odd, labels).filter("not base_failed and n_dup_lines = 0 and score < 99").count() == 0
     assert toxicity.toxicity(odd, labels).count() == len(ODD)
     assert mixing.mix(odd.select("doc_id", "text", F.lit("en").alias("lang")), labels).count() == len(ODD)
     text = spark.createDataFrame([(1, "mail a@b.co, ip 10.0.0.1, card 4111 1111 1111 1111, tel +44 20 7946 0958")], "doc_id long, text string")
@@ -167,15 +168,17 @@ def test_warc_round_trip(spark, sf_dir, tmp_path):
 def test_sequence_of_a_shard_with_long_documents(tmp_path):
     length, kind = 2048, pa.uint16()
     shard = token_output._Shard(f"file://{tmp_path}/shard.arrow", length, kind)
-    sizes = [token_output.BATCH * length - 10, 7_000, 3, 600_000, 2_049, 1_200_000, 5_000]
-    ids = np.random.default_rng(1).integers(2, 49_000, sum(sizes)).astype(np.uint16)
-    for k, part in enumerate(np.split(ids, np.cumsum(sizes)[:-1])):
-        shard.add(k, part)
+    sizes = np.array([token_output.BATCH * length - 10, 7_000, 3, 600_000, 2_049, 1_200_000, 5_000])
+    ids = np.random.default_rng(1).integers(2, 49_000, sizes.sum()).astype(np.uint16)
+    for part in (slice(0, 1), slice(1, 4), slice(4, 7)):
+        shard.add(list(range(7))[part], ids[sizes[: part.start].sum() : sizes[: part.stop].sum()], sizes[part])
     shard.close()
     n = -(-len(ids) // length)
     for k in range(n):
         want = ids[k * length : (k + 1) * length]
         got, mask = token_output.sequence(shard.path, k)
+        assert not got.flags.owndata and not mask.flags.owndata  # views of the file
+        mask = token_output.unpack_mask(mask)
         assert len(got) == len(mask) == length and mask.sum() == len(want)
         assert (got[: len(want)] == want).all() and not got[len(want) :].any() and mask[: len(want)].all()
     with pytest.raises(IndexError):
@@ -187,3 +190,39 @@ def test_empty_tables(spark, sf_dir, name, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries.queries()[name](spark, str(tmp_path)).count() == 0
+
+
+def clustered(spark, seed, bases, copies, share, words=120):
+    """Documents about bases: copies with `share` of the words changed, so that many pairs lie about the limit."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for b in range(bases):
+        base = [f"b{b}w{i}" for i in range(words)]
+        for _ in range(copies):
+            gone = rng.random(words) < share
+            rows.append((len(rows), " ".join(f"x{rng.integers(40)}" if g else w for w, g in zip(base, gone, strict=True))))
+    return rows
+
+
+@pytest.mark.parametrize("share", [0.01, 0.03, 0.05])
+def test_ngram_join_of_groups_about_the_limit(spark, share, monkeypatch):
+    rows = clustered(spark, 3, 4, 25, share) + [(1000 + i, f"common passage of some ten words that all of these have {i} own{i}") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = linked(rows)
+    assert sorted(map(tuple, ngram_join.components(docs).collect())) == want
+    # the same where shingles count as frequent from two sets on, and where clusters are split into blocks
+    monkeypatch.setattr(ngram_join, "RARE", 1)
+    monkeypatch.setattr(ngram_join, "CLUSTER_SETS", 7)
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 4000)
+    assert sorted(map(tuple, ngram_join.components(docs).collect())) == want
+
+
+def test_vocabulary_cuts_as_the_library(spark, sf_dir):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    vocabulary = vocab.Vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["", " ", "'", "it's", "'s", "''s", "don't'll", "we'RE 'r 'v 'vex 'l 'll'd", "a'", "'t", "x²3½ 12'34", "¡Hola! niño's straße", "a\tb\r\nc", "end's"]
+    texts += [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()] + ["x" * 300_000, "日本語 text", "<|endoftext|> b"]
+    ids, sizes = vocabulary.encode(texts)
+    parts = np.split(ids, np.cumsum(sizes)[:-1])
+    for text, part in zip(texts, parts, strict=True):
+        assert part.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text[:80]
