@@ -217,8 +217,16 @@ def _candidates(postings: DataFrame) -> DataFrame:
         run_of = np.cumsum(new) - 1
         least = np.minimum.reduceat(sid, np.flatnonzero(new))[run_of]
         on = sid != least
-        pairs = np.unique(np.stack([least[on], sid[on]], axis=1), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        nodes, ends = np.unique(np.concatenate([least[on], sid[on]]), return_inverse=True)
+        a, b = ends[: len(ends) // 2], ends[len(ends) // 2 :]
+        low, before = np.arange(len(nodes)), None
+        while before is None or (low != before).any():
+            before, m = low.copy(), np.minimum(low[a], low[b])
+            np.minimum.at(low, a, m)
+            np.minimum.at(low, b, m)
+            low = low[low]
+        joined = np.flatnonzero(low != np.arange(len(nodes)))
+        return pd.DataFrame({"a": nodes[low[joined]], "b": nodes[joined]})
 
     return postings.groupBy("bucket").applyInPandas(run, "a long, b long").distinct()
 
