@@ -38,7 +38,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     dealt = "bucket int, block long, n_docs int, docs binary, words binary, pairs binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(path)
+        vocabulary = Vocabulary.of(path)
         number = TaskContext.get().partitionId() * 0x10001  # 65,536 blocks a task at most, dealt to all buckets
 
         def block(rows: list[tuple], number: int) -> pa.RecordBatch:
@@ -84,12 +84,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
             yield block(held, number)
 
     summed = "block long, docs binary, part binary"
-    loaded: list[Vocabulary] = []  # one for all the buckets of a task
-
     def count(group: pd.DataFrame) -> pd.DataFrame:
-        if not loaded:
-            loaded.append(Vocabulary(path))
-        vocabulary = loaded[0]
+        vocabulary = Vocabulary.of(path)
         lists = [x.decode().split("\n") if (x := unpack(w, np.uint8)[0].tobytes()) else [] for w in group["words"]]
         distinct = sorted(set().union(*lists))
         pieces: dict[str, int] = {}

@@ -19,8 +19,8 @@ from .vocab import Vocabulary
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 MANIFEST = "shard int, path string, n_ids long, n_docs long"
-#: Sequences in one record batch of a file.
-BATCH = 256
+#: Sequences in one record batch of a file, and documents that are encoded at once.
+BATCH, ENCODED = 256, 128
 
 
 def _open(path: str, write: bool):
@@ -36,7 +36,9 @@ class _Shard:
 
     def __init__(self, path: str, length: int, kind: pa.DataType):
         self.path, self.length, self.kind, self.dtype = path, length, kind, kind.to_pandas_dtype()
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+        if length % 8:
+            raise ValueError("length must be a multiple of 8, as masks are bits in whole bytes")
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length // 8))])
         self.index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.fs, self.inner, self.stream = _open(f"{path}.part", True)
         self.index_stream = _open(f"{path}.index.part", True)[2]
@@ -45,12 +47,14 @@ class _Shard:
         self.n_held = self.n_ids = self.n_docs = 0
         self.bounds: list[tuple] = []
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.bounds.append((doc_id, self.n_ids, len(ids)))
-        self.held.append(ids)
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Documents in their order: ids has all of theirs, one after the other."""
+        starts = self.n_ids + np.cumsum(sizes) - sizes
+        self.bounds += zip(doc_ids, starts.tolist(), sizes.tolist(), strict=True)
+        self.held.append(ids.astype(self.dtype))
         self.n_held += len(ids)
         self.n_ids += len(ids)
-        self.n_docs += 1
+        self.n_docs += len(doc_ids)
         if self.n_held >= BATCH * self.length:
             self._flush(False)
         if len(self.bounds) >= 4096:
@@ -65,10 +69,10 @@ class _Shard:
             flat = np.concatenate([flat, np.zeros(-n % self.length, self.dtype)])
         else:
             flat, rest = flat[: n // step * step], flat[n // step * step :]
-        mask = np.arange(len(flat)) < n
+        mask = np.packbits(np.arange(len(flat)) < n, bitorder="little")
         for a in range(0, len(flat), step):
-            ids, on = pa.array(flat[a : a + step], self.kind), pa.array(mask[a : a + step])
-            self.writer.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(x, self.length) for x in (ids, on)], schema=self.schema))
+            ids, on = pa.array(flat[a : a + step], self.kind), pa.array(mask[a // 8 : (a + step) // 8], pa.uint8())
+            self.writer.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(x, k) for x, k in ((ids, self.length), (on, self.length // 8))], schema=self.schema))
         self.held, self.n_held = [rest], len(rest)
 
     def _flush_index(self) -> None:
@@ -90,7 +94,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, length: int = 204
     """Encode docs (doc_id, text) in ascending doc_id into files under folder; returns the manifest (shard, path, n_ids, n_docs).
 
     A shard holds a range of doc_ids as one stream of ids cut in sequences of `length`; only its last sequence is padded,
-    where mask is false. ids are 16-bit where the vocabulary allows. Null text is empty and leaves the end id alone; null
+    where the bits of mask are 0. ids are 16-bit where the vocabulary allows. Null text is empty and leaves the end id alone; null
     doc_ids come first, repeated rows are written each; an empty table writes no file.
     """
     from tokenizers import Tokenizer
@@ -103,12 +107,12 @@ def write_token_files(docs: DataFrame, folder: str, path: str, length: int = 204
         vocabulary, shard, number = None, None, TaskContext.get().partitionId()
         for batch in batches:
             if shard is None:
-                vocabulary = Vocabulary(path)
+                vocabulary = Vocabulary.of(path)
                 shard = _Shard(f"{folder}/shard-{number:06d}-{TaskContext.get().taskAttemptId()}.arrow", length, width)
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids = vocabulary.encode(text.as_py())
-                ids.append(end_id)
-                shard.add(doc_id, np.array(ids, shard.dtype))
+            for a in range(0, len(batch), ENCODED):
+                part = batch.slice(a, ENCODED)
+                ids, sizes = vocabulary.encode(part["text"].to_pylist())
+                shard.add(part["doc_id"].to_pylist(), np.insert(ids, np.cumsum(sizes), end_id), sizes + 1)
         if shard is not None:
             shard.close()
             yield pa.RecordBatch.from_pydict({"shard": [number], "path": [shard.path], "n_ids": [shard.n_ids], "n_docs": [shard.n_docs]}, schema=arrow_type(MANIFEST))
@@ -119,18 +123,25 @@ def write_token_files(docs: DataFrame, folder: str, path: str, length: int = 204
 
 
 def sequence(shard_path: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, mask) of the n-th sequence of a shard, which must have it: a view of the mapped file for ids."""
+    """(ids, mask) of the n-th sequence of a shard, which must have it: views of the mapped file, nothing is copied.
+
+    The mask has a bit a token, the first in the lowest bit of the first byte; unpack_mask() makes booleans of it.
+    """
     reader = pa.ipc.open_file(_open(shard_path, False)[2])
     batch = reader.get_batch(n // BATCH) if 0 <= n // BATCH < reader.num_record_batches else None
     row = n % BATCH
     if batch is None or row >= batch.num_rows:
         raise IndexError(f"{shard_path} has no sequence {n}")
-    return batch["ids"].slice(row, 1).flatten().to_numpy(), batch["mask"].slice(row, 1).flatten().to_numpy(zero_copy_only=False)
+    return batch["ids"].slice(row, 1).flatten().to_numpy(), batch["mask"].slice(row, 1).flatten().to_numpy()
+
+
+def unpack_mask(mask: np.ndarray) -> np.ndarray:
+    return np.unpackbits(mask, bitorder="little").view(bool)
 
 
 def _stream(reader: pa.RecordBatchFileReader, column: str) -> Iterator[np.ndarray]:
     for i in range(reader.num_record_batches):
-        yield reader.get_batch(i).column(column).flatten().to_numpy(zero_copy_only=column == "ids")
+        yield reader.get_batch(i).column(column).flatten().to_numpy()
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
