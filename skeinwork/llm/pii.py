@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import Scratch, durable, table
 
 #: The contract's patterns, written so that Java's matcher needs no backtracking, recursion or rescanning; they find the
 #: same leftmost matches. A run of digits and single separators is one card match, so only runs of 16 to 19 digits count.
@@ -15,15 +15,17 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-KINDS = (*PATTERNS, "term")
+#: Protected besides the contract's kinds: runs of 20 or more letters, digits and _ with a letter and three digits, as keys have.
+SECRET = r"(?<![A-Za-z0-9_])(?=[0-9_]*+[A-Za-z])(?=(?:[A-Za-z_]*+[0-9]){3})[A-Za-z0-9_]{20,}+"
+KINDS = (*PATTERNS, "secret", "term")
 IP_PARTS = r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"
-WORD = r"(?<!\p{L})\p{L}{3,}+"
 SPAN = "array<struct<k:int,s:int,e:int,v:string>>"
 
 
-def _found(text: Column, pattern: str, k: int, keep) -> Column:
+def _found(text: Column, pattern: str | Column, k: int, keep) -> Column:
     """Spans of the matches that keep() accepts: what lies between the matches gives their places, in code points."""
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
@@ -32,7 +34,7 @@ def _found(text: Column, pattern: str, k: int, keep) -> Column:
         return F.struct(end.alias("at"), F.when(x["hit"].isNotNull() & keep(x["hit"]), F.concat(acc["got"], F.array(span))).otherwise(acc["got"]).alias("got"))
 
     begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("got"))
-    return F.when(text.rlike(pattern), F.aggregate(parts, begin, step, lambda a: a["got"])).otherwise(F.array().cast(SPAN))
+    return F.when(F.rlike(text, pattern), F.aggregate(parts, begin, step, lambda a: a["got"])).otherwise(F.array().cast(SPAN))
 
 
 def _luhn(value: Column) -> Column:
@@ -54,85 +56,83 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[F.when(guard[kind], _found(text, pattern, k, keep[kind])).otherwise(none) for k, (kind, pattern) in enumerate(PATTERNS.items())])
 
 
-def _context(text: Column, spans: Column, reach: int) -> Column:
-    """Words that lie within reach characters of a span and touch no span: array<struct<entity,term,s,e>>."""
+def _words(text: Column) -> Column:
+    """The distinct words of three letters and more, in lower case."""
+    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda w: F.length(w) >= 3)
 
-    def words(part: Column, shift: Column, inside, span: Column) -> Column:
-        entity = F.concat_ws(":", span["k"].cast("string"), F.lower(span["v"])).alias("entity")
-        found = F.filter(_found(part, WORD, 0, lambda v: F.lit(True)), inside)
-        return F.transform(found, lambda w: F.struct(entity, F.lower(w["v"]).alias("term"), (w["s"] + shift).alias("s"), (w["e"] + shift).alias("e")))
 
-    def around(span: Column) -> Column:
-        left = F.greatest(span["s"] - reach, F.lit(0))
-        cut = F.when(left > 0, 1).otherwise(0)  # one character more, to see a word that begins before the reach
-        before = F.substring(text, left + 1 - cut, span["s"] - left + cut)
-        after = F.substring(text, span["e"] + 1, F.lit(reach))
-        return F.concat(
-            words(before, left - cut, lambda w: (left == 0) | (w["s"] > 0), span),
-            words(after, span["e"], lambda w: (w["e"] < reach) | (F.length(after) < reach), span),
-        )
+def disclosing_terms(texts: DataFrame, entities: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(entity, term, disclosure): terms that give away at least `threshold` of an entity's information.
 
-    return F.filter(F.flatten(F.transform(spans, around)), lambda w: ~F.exists(spans, lambda b: (b["s"] < w["e"]) & (b["e"] > w["s"])))
+    disclosure = ln((co - 1) N / (df(entity) df(term))) / ln(N / df(entity)): the pair's pointwise mutual information over the
+    entity's information. All counts are over distinct texts, whole ones, so copies are no evidence; one text is taken off co, as
+    a single meeting says nothing of either. That a term is in so many texts with any entity bounds df(term) from below: pairs
+    that fail with the bound can never pass and are dropped before the words of all texts are counted.
+    """
+    n = texts.agg(F.count("*").alias("n"))
+    df_entity = entities.groupBy("entity").agg(F.count("*").alias("df_entity"))
+    inside = pairs.select("tkey", "term").distinct().groupBy("term").agg(F.count("*").alias("inside"))
+    met = pairs.groupBy("entity", "term").agg(F.count("*").alias("co")).filter("co > 1").join(df_entity, "entity").join(inside, "term").withColumn("n", n.scalar())
 
+    def disclosure(df_term: str) -> Column:
+        information = F.log(F.col("n") / F.col("df_entity"))
+        return F.when(information > 0, F.log((F.col("co") - 1) * F.col("n") / (F.col("df_entity") * F.col(df_term))) / information)
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, min_support: int, threshold: float, sieve: int = 1 << 16) -> DataFrame:
-    """(entity, term, disclosure): pairs whose pointwise mutual information is at least threshold of the entity's information.
+    met = met.withColumn("most", disclosure("inside")).filter(F.col("most") >= threshold)
+    counted = texts.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df_term"))
+    return met.join(counted, "term").withColumn("disclosure", disclosure("df_term")).filter(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
-    disclosure = ln(co N / (df(entity) df(term))) / ln(N / df(entity)). Entities and pairs count over distinct texts, so that
-    exact copies are no evidence; df(term) and N count every document. Pairs in fewer than min_support distinct texts say
-    nothing. The count of terms reads every document; a fixed-size sieve of hash bits spares the shuffle words that are no
-    candidate, and the join after it decides.
-    """
-    pairs = found.select("tkey", F.explode("ctx").alias("c")).select("tkey", "c.entity", "c.term").distinct()
-    support = pairs.groupBy("entity", "term").agg(F.count("*").alias("co")).filter(F.col("co") >= min_support)
-    entities = found.select("tkey", F.explode("spans").alias("x")).select("tkey", F.concat_ws(":", F.col("x.k").cast("string"), F.lower("x.v")).alias("entity"))
-    support = durable(support.join(entities.distinct().groupBy("entity").agg(F.count("*").alias("df_entity")), "entity"), "pii-support")
-    terms = support.select("term").distinct()
-    bit = F.pmod(F.xxhash64("term"), F.lit(sieve))
-    marks = docs.sparkSession.range(sieve).join(terms.select(bit.alias("id"), F.lit(True).alias("on")).distinct(), "id", "left")
-    marks = marks.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", F.coalesce("on", F.lit(False)).alias("on")))), lambda x: x["on"]).alias("m"))
-    words = docs.select(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[^\p{L}]+").alias("w")).withColumn("m", marks.scalar())
-    words = words.select(F.explode(F.array_distinct(F.filter("w", lambda w: F.element_at(F.col("m"), F.pmod(F.xxhash64(w), F.lit(sieve)).cast("int") + 1)))).alias("term"))
-    counted = words.groupBy("term").agg(F.count("*").alias("df_term"))
-    scored = support.join(counted, "term").withColumn("n", docs.agg(F.count("*").alias("n")).scalar())
-    info = F.log(F.col("n") / F.col("df_entity"))
-    shared = F.log(F.col("co") * F.col("n") / (F.col("df_entity") * F.col("df_term")))
-    return scored.withColumn("disclosure", F.when(info > 0, shared / info)).filter(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
-
-
-def sanitise(docs: DataFrame, reach: int = 80, min_support: int = 3, threshold: float = 0.75) -> DataFrame:
-    """doc_id, tkey (hash of the text) and spans (array<struct<k,s,e>>, by kind, then start) of every document.
-
-    Base spans always stay. A word within reach characters of an entity becomes a span of kind "term" where its disclosure
-    of that entity reaches the threshold (see disclosing_terms). Null and empty texts have no span; repeated rows get the
-    same spans each; an empty table gives no rows.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select("doc_id", text.alias("text")).withColumn("spans", base_spans(F.col("text")))
-    found = found.withColumn("ctx", F.when(F.size("spans") > 0, _context(F.col("text"), F.col("spans"), reach)))
-    found = durable(found.select("doc_id", F.xxhash64("text").alias("tkey"), "spans", "ctx"), "pii-found")
-    bad = disclosing_terms(found, docs, min_support, threshold)
-    hits = found.select("doc_id", "tkey", F.explode("ctx").alias("c")).select("doc_id", "tkey", "c.*").join(bad, ["entity", "term"], "left_semi")
-    term = F.struct(F.lit(KINDS.index("term")).alias("k"), "s", "e")
-    hits = hits.groupBy("doc_id", "tkey").agg(F.sort_array(F.collect_set(term)).alias("terms"))
-    out = found.drop("ctx").join(hits.withColumnRenamed("doc_id", "d").withColumnRenamed("tkey", "t"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("t")), "left")
-    base = F.transform("spans", lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
-    return out.select("doc_id", "tkey", F.concat(base, F.coalesce("terms", F.array().cast("array<struct<k:int,s:int,e:int>>"))).alias("spans"))
-
-
-def redact(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with each span's text generalised to its kind in brackets; of spans that overlap, the first by start."""
-    found = spans.select(F.col("doc_id").alias("d"), F.col("tkey").alias("t"), F.sort_array(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k")))).alias("x"))
-    text = F.coalesce(F.col("text"), F.lit(""))
+
+def _clean(text: Column, spans: Column) -> Column:
+    """text with each span generalised to its kind in brackets; of spans that overlap, the first by start."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    joined = docs.join(found.dropDuplicates(["d", "t"]), F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64(text) == F.col("t")), "left")
+    ordered = F.sort_array(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
 
     def step(acc: Column, x: Column) -> Column:
         new = F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.element_at(names, x["k"] + 1)).alias("out"), x["e"].alias("at"))
         return F.when(x["s"] >= acc["at"], new).otherwise(acc)
 
-    clean = F.aggregate("x", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.lit(2**31 - 1))))
-    return joined.select(*[F.when(F.size("x") > 0, clean).otherwise(F.col("text")).alias("text") if c == "text" else c for c in docs.columns])
+    whole = F.aggregate(ordered, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.lit(2**31 - 1))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+
+def sanitise(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """tkey (xxhash64 of the text, null as empty), spans (array<struct<k,s,e>>, by kind, then start) and clean, of every distinct text.
+
+    Base spans always stay, and so do secrets. Entities are the spans' lower-case values by kind, and the hosts of addresses. A word anywhere in a text that
+    holds an entity becomes spans of kind "term", each time it stands there outside other spans, where it discloses that entity
+    (see disclosing_terms). clean is the text with every span generalised to its kind. Null and empty texts are one text without
+    a span; repeated rows are one text; an empty table gives no rows; other columns are ignored.
+    """
+    scratch = Scratch(docs.sparkSession, "pii")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    texts = scratch.write(docs.select(F.xxhash64(text).alias("tkey"), text.alias("text")).dropDuplicates(["tkey"]), "texts")
+    secret = F.when(F.col("text").rlike("[A-Za-z0-9_]{20}"), _found(F.col("text"), SECRET, KINDS.index("secret"), lambda v: F.lit(True))).otherwise(F.array().cast(SPAN))
+    found = scratch.write(texts.select("tkey", F.concat(base_spans(F.col("text")), secret).alias("spans")).filter(F.size("spans") > 0), "found")
+    value, host = F.concat_ws(":", F.col("x.k").cast("string"), F.lower("x.v")), F.concat(F.lit("host:"), F.lower(F.substring_index("x.v", "@", -1)))
+    named = F.when(F.col("x.k") == KINDS.index("email"), F.array(value, host)).otherwise(F.array(value))
+    entities = found.select("tkey", F.explode("spans").alias("x")).select("tkey", F.explode(named).alias("entity")).distinct()
+    # an entity of one text meets every word of it once, which says nothing: the pairs of others alone are made
+    several = entities.groupBy("entity").agg(F.count("*").alias("df")).filter("df > 1").select("entity")
+    entities = scratch.write(entities.join(several, "entity"), "entities")
+    inside = texts.join(entities.select("tkey").distinct(), "tkey", "left_semi").select("tkey", F.explode(_words(F.col("text"))).alias("term"))
+    pairs = scratch.write(inside.join(entities, "tkey").select("tkey", "entity", "term"), "pairs")
+    bad = scratch.write(disclosing_terms(texts, entities, pairs, threshold), "terms")
+    terms = scratch.write(pairs.join(bad.select("entity", "term"), ["entity", "term"], "left_semi").groupBy("tkey").agg(F.collect_set("term").alias("terms")), "hits")
+    rows = texts.join(found, "tkey", "left").join(terms, "tkey", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
+    hits = F.when(F.size("terms") > 0, _found(F.col("text"), pattern, KINDS.index("term"), lambda v: F.lit(True))).otherwise(F.array().cast(SPAN))
+    free = F.filter(hits, lambda w: ~F.exists(F.col("spans"), lambda b: (b["s"] < w["e"]) & (b["e"] > w["s"])))
+    rows = rows.select("tkey", "text", F.transform(F.concat("spans", free), lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"))).alias("spans"))
+    out = durable(rows.select("tkey", "spans", _clean(F.col("text"), F.col("spans")).alias("clean")), "pii-clean")
+    scratch.drop()
+    return out
+
+
+def redact(docs: DataFrame, clean: DataFrame) -> DataFrame:
+    """docs with the clean texts that sanitise() gives; null texts stay null, all other columns as they are."""
+    rows = docs.select(F.struct(*docs.columns).alias("row")).join(clean.select("tkey", "clean"), F.xxhash64(F.coalesce("row.text", F.lit(""))) == F.col("tkey"))
+    return rows.select(*[F.when(F.col("row.text").isNotNull(), F.col("clean")).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def _joined(spans: Column) -> Column:
@@ -141,12 +141,16 @@ def _joined(spans: Column) -> Column:
 
 
 def op10_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    term = KINDS.index("term")
+    """Counts of the base kinds, and besides n_secret, n_term, n_spans (of all kinds) and clean_sha256 of the sanitised text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
 
     def count(k: int) -> Column:
         return F.size(F.filter("spans", lambda x: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
 
-    counts = [count(k) for k in range(term)]
-    base = F.filter("spans", lambda x: x["k"] < term)
-    return out.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    base = F.filter("spans", lambda x: x["k"] < len(PATTERNS))
+    each = sanitise(docs).select(
+        "tkey", *[count(k) for k in range(len(KINDS))], F.size("spans").cast("long").alias("n_spans"), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"),
+        _joined(F.col("spans")).alias("spans"), F.sha2(F.col("clean").cast("binary"), 256).alias("clean_sha256"),
+    )
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey")).join(each, "tkey")
+    return rows.select("doc_id", *[f"n_{k}" for k in PATTERNS], "base_sha256", "spans", "n_secret", "n_term", "n_spans", "clean_sha256")

@@ -131,7 +131,7 @@ def test_quality_and_pii_and_toxicity(spark, odd):
     assert mixing.mix(odd.select("doc_id", "text", F.lit("en").alias("lang")), labels).count() == len(ODD)
     text = spark.createDataFrame([(1, "mail a@b.co, ip 10.0.0.1, card 4111 1111 1111 1111, tel +44 20 7946 0958")], "doc_id long, text string")
     spans = pii.sanitise(text).first().spans
-    assert [s.k for s in spans][:4] == [0, 1, 2, 3]
+    assert [s.k for s in spans] == [0, 1, 2, 3]
 
 
 def test_quality_scores_leave_the_document_out(spark, odd):
@@ -226,3 +226,45 @@ def test_vocabulary_cuts_as_the_library(spark, sf_dir):
     parts = np.split(ids, np.cumsum(sizes)[:-1])
     for text, part in zip(texts, parts, strict=True):
         assert part.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text[:80]
+
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def base_spans(text):
+    def luhn(d):
+        return sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+    out = {k: [] for k in BASE}
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else True, "card": 16 <= len(digits) <= 19 and luhn(digits), "phone": 8 <= len(digits) <= 15}[kind]
+            if ok:
+                out[kind].append((m.start(), m.end()))
+    return out
+
+
+def test_disclosure_base_spans_and_terms(spark, tmp_path, sf_dir):
+    odd = ["", None, "a@b.co.", "1.2.3.4.5 and 999.1.1.1 x1.2.3.4", "4111-1111-1111-1111 4111 1111 1111 1112", "+1 (415) 555-2671, +12", "é a@b.c-d.e ü", "key 0123456789abcdef0123456789abcdef", "a@b.co"]
+    held = [f"write to jane.doe@corp.example about the zorblat matter number {w}" for w in ("one", "two", "three")]
+    other = [f"nothing to see about the matter number {i} {i * 7919}" for i in range(60)]
+    texts = odd + held + held[:1] * 40 + other + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("spans", F.lit(2))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in pii.op10_disclosure(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        want = base_spans(text or "")
+        line = ",".join(f"{k}:{a}:{b}" for k in BASE for a, b in want[k])
+        assert [got[i][f"n_{k}"] for k in BASE] == [len(want[k]) for k in BASE], text
+        assert got[i].base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+        assert got[i].spans.startswith(line)
+    at = held[0].index("zorblat")
+    assert f"term:{at}:{at + 7}" in got[len(odd)].spans  # the word that only texts with that address have
+    assert "term" not in got[len(odd) + len(held) + 41].spans and got[7].n_secret == 1
+    clean = {r.doc_id: r.text for r in pii.redact(docs, pii.sanitise(docs)).select("doc_id", "text").collect()}
+    assert "jane" not in clean[len(odd)] and "zorblat" not in clean[len(odd)] and clean[1] is None and clean[8] == "[EMAIL]"
