@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, slices, small_batches, table, word_spans
 
 DIMS = 1024
+#: Room above the least total of a mixture that may shrink no document.
+SLACK = 1.02
 _GAP = np.uint32(0x9E3779B1)
 
 
@@ -80,38 +82,52 @@ def posteriors(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     return named.mapInArrow(run, fields).select(row.alias("row"), "n_tokens", "p")
 
 
-def fit_moves(soft: DataFrame, k: int, target: np.ndarray, least: float = 0.0, total: float | None = None, tolerance: float = 1e-5, most: int = 100) -> list[list[float]]:
-    """Steps of the rates (see rate()) with which the sums of rate * n_tokens * p come to total * target, over soft (n_tokens, p).
+def fit_step(soft: DataFrame, k: int, target: np.ndarray, least: float = 0.0, total: float | None = None, tolerance: float = 1e-5, most: int = 60) -> list[float]:
+    """The summed step of the rates (see rate()) with which the sums of rate * n_tokens * p come to total * target, over soft (n_tokens, p).
 
-    Each step sums k numbers over all documents, and moves every rate against its gradient, scaled by the k x k moment
-    matrix of the posteriors, then back to `least` where it fell below. total defaults to the least at which no domain must
-    shrink. Where `most` steps don't reach the targets, as none can if the posteriors say nothing, a warning gives what is off.
+    Projected gradient: every round sums the domains' totals over all documents at the projected rates, and the k x k moment
+    matrix of the documents that are not held at the bound; the gradient, scaled by that matrix, is added to the step, half of
+    it where all would bring the totals no nearer. total defaults to the least at which no domain must shrink, times SLACK where
+    rates have a bound above 0: raising one domain's documents raises what they hold of others a little. Where `most` rounds don't reach the targets, as none can if the posteriors say nothing, a warning gives what is off.
     """
     tokens = F.col("n_tokens")
-    sums = [F.sum(tokens * F.col("p")[i]) for i in range(k)] + [F.sum(tokens * F.col("p")[i] * F.col("p")[j]) for i in range(k) for j in range(k)]
-    first = np.array([float(x or 0) for x in soft.agg(*sums).first()])
-    have, moment = first[:k], first[k:].reshape(k, k)
+
+    def sums(step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        free = F.when(_moved(list(step)) >= least, tokens).otherwise(0)
+        found = [F.sum(tokens * rate(list(step), least) * F.col("p")[i]) for i in range(k)] + [F.sum(free * F.col("p")[i] * F.col("p")[j]) for i in range(k) for j in range(k)]
+        row = np.array([float(x or 0) for x in soft.agg(*found).first()])
+        return row[:k], row[k:].reshape(k, k)
+
+    step, size = np.zeros(k), 1.0
+    have, moment = sums(step)
     if total is None:
-        total = max((have[i] / target[i] for i in range(k) if target[i] > 0), default=0.0)
-    want, scale = total * target, np.linalg.pinv(moment)
-    moves: list[list[float]] = []
+        total = (SLACK if least > 0 else 1.0) * max((have[i] / target[i] for i in range(k) if target[i] > 0), default=0.0)
+    want = total * target
+    move = np.linalg.pinv(moment, rcond=1e-9) @ (want - have)
     for _ in range(most):
         if np.abs(have - want).max(initial=0) <= tolerance * max(total, 1.0):
-            return moves
-        moves.append([float(x) for x in scale @ (have - want)])
-        have = np.array([float(x or 0) for x in soft.select("n_tokens", "p", rate(moves, least).alias("rate")).agg(*[F.sum(tokens * F.col("rate") * F.col("p")[i]) for i in range(k)]).first()])
+            break
+        now, then = sums(step + size * move)
+        if np.linalg.norm(now - want) < np.linalg.norm(have - want):
+            step, have, size = step + size * move, now, 1.0
+            move = np.linalg.pinv(then, rcond=1e-9) @ (want - have)
+        elif size > 1e-3:
+            size /= 2
+        else:
+            break
     off = np.abs(have - want).max(initial=0) / max(total, 1.0)
     if off > tolerance:
-        warnings.warn(f"the mixture's largest domain error is {off:.2g} of all tokens after {most} steps", stacklevel=2)
-    return moves
+        warnings.warn(f"the mixture's largest domain error is {off:.2g} of all tokens", stacklevel=2)
+    return [float(x) for x in step]
+
+
+def _moved(step: list[float]) -> Column:
+    return sum((F.lit(float(x)) * F.col("p")[i] for i, x in enumerate(step)), F.lit(1.0))
 
 
-def rate(moves: list[list[float]], least: float = 0.0) -> Column:
-    """A document's rate: the steps folded over its posteriors p, never under least. So no step keeps a table."""
-    if not moves:
-        return F.lit(1.0)
-    steps = F.array(*[F.array(*map(F.lit, m)) for m in moves])
-    return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(least), r - F.aggregate(F.zip_with(F.col("p"), g, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)))
+def rate(step: list[float], least: float = 0.0) -> Column:
+    """A document's rate: 1 and the step along its posteriors p, projected to `least` and above. So no round keeps a table."""
+    return F.greatest(F.lit(float(least)), _moved(step))
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, domain: str = "lang", sample: int = 2000, temper: float = 0.7, total: float | None = None, least: float = 0.0) -> DataFrame:
@@ -137,11 +153,11 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     else:
         share = np.array([float(weights.get(n, 0.0)) for n in names])
     target = share / share.sum() if share.sum() > 0 else np.full(len(names), 1 / len(names))
-    moves = fit_moves(soft, len(names), target, least, total)
+    step = fit_step(soft, len(names), target, least, total)
     scratch.drop()
     u = F.pmod(F.xxhash64("row.doc_id", F.lit("mix")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     # the posteriors are worked out again beside the texts, which are not written for it
-    return posteriors(docs, w).withColumn("rate", rate(moves, least)).withColumn("copies", F.floor(F.col("rate") + u).cast("int"))
+    return posteriors(docs, w).withColumn("rate", rate(step, least)).withColumn("copies", F.floor(F.col("rate") + u).cast("int"))
 
 
 def mixture(mixed: DataFrame) -> DataFrame:
