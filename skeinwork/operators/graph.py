@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,27 +25,49 @@ def neighbours(edges: DataFrame, node_id: int, reverse: bool = False) -> DataFra
     return edges.filter(F.col("dst" if reverse else "src") == node_id).orderBy("kind", "src", "dst")
 
 
-def traverse(edges: DataFrame, start: DataFrame, depth: int = 1, reverse: bool = False, kinds: list[str] | None = None) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
+    """df checkpointed in spark.checkpoint.dir: a loop's plan stays as long as one round's, and a lost executor loses nothing."""
+    spark: SparkSession = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='skeinwork-')}")
+    return df.checkpoint()
+
+
+def traverse(edges: DataFrame, start: DataFrame, depth: int = 1, reverse: bool = False, kinds: list[str] | None = None, ranks: list[int] | None = None) -> DataFrame:
     """(node_id, depth, rank, via): every node within depth hops once, at its shortest depth.
 
     rank is the least over paths of that depth of the weakest hop's rank; via is the kind of the last hop of that path, the
-    first by name of equals. start has node_id; its rows have depth 0, rank 0 and no via.
+    first by name of equals. start has node_id; its rows have depth 0, rank 0 and no via. kinds and ranks name the edges that
+    count. Each level is written, so a plan has one level; an empty one ends the walk.
     """
     if not 0 < depth <= 6:
         raise ValueError("depth must be from 1 to 6")
     here, there = ("dst", "src") if reverse else ("src", "dst")
     if kinds:
         edges = edges.filter(F.col("kind").isin(kinds))
-    frontier = start.select("node_id", F.lit(0).alias("depth"), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("via")).distinct()
+    if ranks:
+        edges = edges.filter(F.col("rank").isin(ranks))
+    frontier = settled(start.select("node_id", F.lit(0).alias("depth"), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("via")).distinct())
     found = frontier
     for level in range(1, depth + 1):
         step = edges.join(frontier.select(F.col("node_id").alias(here), F.col("rank").alias("so_far")), here)
         best = step.groupBy(F.col(there).alias("node_id")).agg(F.min(F.struct(F.greatest("rank", "so_far").alias("rank"), F.col("kind").alias("via"))).alias("b"))
-        frontier = best.join(found.select("node_id"), "node_id", "left_anti").select("node_id", F.lit(level).alias("depth"), "b.rank", "b.via")
+        frontier = settled(best.join(found.select("node_id"), "node_id", "left_anti").select("node_id", F.lit(level).alias("depth"), "b.rank", "b.via"))
+        if frontier.isEmpty():
+            break
         found = found.unionByName(frontier)
     return found
 
 
+def capped(reached: DataFrame, limit: int) -> DataFrame:
+    """The first `limit` nodes by depth, then node_id, with truncated: whether there are more. limit bounds what is gathered."""
+    more = reached.limit(limit + 1).agg((F.count("*") > limit).alias("more"))
+    return reached.orderBy("depth", "node_id").limit(limit).withColumn("truncated", more.scalar())
+
+
 def impact(edges: DataFrame, nodes: DataFrame, start: DataFrame, change: str, depth: int = 3) -> DataFrame:
     """Consumers of the start nodes with a verdict; evidence weaker than declared leaves it undetermined."""
     if change not in DEFAULTS:
@@ -53,25 +77,19 @@ def impact(edges: DataFrame, nodes: DataFrame, start: DataFrame, change: str, de
     return reached.join(nodes, "node_id").select("node_id", "kind", "fqn", "depth", "rank", "via", verdict.alias("verdict"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 40, damping: float = 0.85, cut: int = 10) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 40, damping: float = 0.85) -> DataFrame:
     """(node_id, score) after a fixed number of rounds; the mass of nodes without out-edges is spread evenly.
 
-    Every `cut` rounds the scores are checkpointed where the session has a checkpoint folder, so that plans stay short.
+    Each round's scores are written, so that plans stay short; one number of it, the idle mass, comes to the driver.
     """
-    spark: SparkSession = nodes.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
     degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    n = nodes.agg(F.count("*").alias("n"))
-    base = nodes.select("node_id").join(degree, F.col("node_id") == F.col("src"), "left").select("node_id", F.coalesce("degree", F.lit(0)).alias("degree"))
-    base = base.withColumn("n", n.scalar())
-    scores = base.withColumn("score", 1.0 / F.col("n"))
-    for i in range(rounds):
-        sent = edges.join(scores.select(F.col("node_id").alias("src"), (F.col("score") / F.col("degree")).alias("part")), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum("part").alias("got"))
-        idle = scores.agg(F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("score"))), F.lit(0.0)).alias("idle"))
-        new = (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("idle") / F.col("n"))
-        scores = base.join(sent, "node_id", "left").withColumn("idle", idle.scalar()).select("node_id", "degree", "n", new.alias("score"))
-        if folder and (i + 1) % cut == 0 and i + 1 < rounds:
-            scores = scores.checkpoint()
+    n = nodes.count()
+    base = settled(nodes.select("node_id").join(degree, F.col("node_id") == F.col("src"), "left").select("node_id", F.coalesce("degree", F.lit(0)).alias("degree")))
+    links = settled(edges.select("src", "dst"))
+    scores = base.withColumn("score", F.lit(1.0 / max(n, 1)))
+    for _ in range(rounds):
+        idle = scores.filter("degree = 0").agg(F.sum("score")).first()[0] or 0.0
+        sent = links.join(scores.select(F.col("node_id").alias("src"), (F.col("score") / F.col("degree")).alias("part")), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum("part").alias("got"))
+        new = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + idle / n)
+        scores = settled(base.join(sent, "node_id", "left").select("node_id", "degree", new.alias("score")))
     return scores.select("node_id", "score")

@@ -82,10 +82,10 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def narrow_commits(touched: DataFrame, indexed: DataFrame, most: int = 40) -> DataFrame:
-    """(commit_id, path) of indexed paths, for commits that touch `most` of them at most."""
-    kept = touched.select("commit_id", "path").distinct().join(indexed.select("path"), "path", "left_semi")
-    few = kept.groupBy("commit_id").agg(F.count("*").alias("n")).filter(F.col("n") <= most)
-    return kept.join(few.select("commit_id"), "commit_id", "left_semi").select("commit_id", "path")
+    """(commit_id, path) of indexed paths, for commits that touch `most` files at most, indexed or not."""
+    every = touched.select("commit_id", "path").distinct()
+    few = every.groupBy("commit_id").agg(F.count("*").alias("n")).filter(F.col("n") <= most)
+    return every.join(few.select("commit_id"), "commit_id", "left_semi").join(indexed.select("path"), "path", "left_semi").select("commit_id", "path")
 
 
 def covered_lines(spans: DataFrame, length: DataFrame, margin: int = 3) -> DataFrame:

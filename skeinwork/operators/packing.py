@@ -35,9 +35,9 @@ def greedy_fill(items: DataFrame, budget: int) -> DataFrame:
 
 
 def newest_within(items: DataFrame, budget: int) -> DataFrame:
-    """(packet, seq, cost): the newest items of each packet whose costs, with all newer ones, stay within the budget."""
-    newer = Window.partitionBy("packet").orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return items.withColumn("upto", F.sum("cost").over(newer)).filter(F.col("upto") <= budget).select("packet", "seq", "cost")
+    """(packet, seq, cost): each packet's items from the newest on that fit the budget; one over it is passed and an older one tried."""
+    kept = greedy_fill(items.withColumn("seq", -F.col("seq")), budget)
+    return kept.select("packet", (-F.col("seq")).alias("seq"), "cost")
 
 
 def head_tail(text: Column, head: int = 60, tail: int = 40, limit: int = 103) -> Column:

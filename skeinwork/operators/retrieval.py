@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score) of every document with a query term. docs: doc_id, text; queries: query_id, term.
+def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, most: int = 20) -> DataFrame:
+    """(query_id, doc_id, score): each query's `most` best documents by score, the smallest doc_id first of equals.
 
-    Terms are lower-case runs of letters and digits. Only the queries' terms travel: one semi join cuts the postings.
+    docs: doc_id, text; queries: query_id, term, a short list. Terms are lower-case runs of letters and digits. A term that
+    half of the documents have, or more, weighs 1e-6. A document is counted in its row: of its words only the queries' terms
+    leave it, with their times.
     """
-    words = docs.select("doc_id", F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"), lambda w: w != "").alias("w"))
-    sizes = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avg_size"))
-    postings = words.select("doc_id", F.size("w").alias("size"), F.explode("w").alias("term")).join(queries.select("term").distinct(), "term", "left_semi")
-    tf = postings.groupBy("term", "doc_id", "size").agg(F.count("*").alias("tf"))
+    terms = queries.agg(F.collect_set("term").alias("t")).scalar()
+    words = docs.select("doc_id", F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"), lambda w: w != "").alias("w")).withColumn("terms", terms)
+    rows = words.select("doc_id", F.size("w").alias("size"), F.filter("w", lambda w: F.array_contains("terms", w)).alias("hits"))
+    sizes = rows.agg(F.count("*").alias("n"), F.avg("size").alias("avg_size"))
+    tf = rows.select("doc_id", "size", "hits", F.explode(F.array_distinct("hits")).alias("term"))
+    tf = tf.select("doc_id", "size", "term", F.size(F.filter("hits", lambda h: h == F.col("term"))).alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     scored = tf.join(df, "term").withColumn("n", sizes.select("n").scalar()).withColumn("avg_size", sizes.select("avg_size").scalar())
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("avg_size")))
-    return scored.withColumn("part", part).join(queries, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.when(idf > 0, idf).otherwise(1e-6) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("avg_size")))
+    total = scored.withColumn("part", part).join(queries, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return total.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= most).drop("k")
 
 
 def top_vectors(vectors: DataFrame, queries: DataFrame) -> DataFrame:

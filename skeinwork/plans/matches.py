@@ -76,8 +76,8 @@ def diff_outer(spark, sf_dir):
     return matching.snapshot_diff(before, T.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("path"), F.col("s_nationkey").alias("digest")))
 
 
-@query("commit_semi", """WITH k AS (SELECT DISTINCT l_orderkey AS commit_id, l_partkey AS path FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 25)
-  SELECT * FROM k WHERE commit_id IN (SELECT commit_id FROM k GROUP BY commit_id HAVING count(*) <= 3)""")
+@query("commit_semi", """WITH k AS (SELECT DISTINCT l_orderkey AS commit_id, l_partkey AS path FROM lineitem)
+  SELECT * FROM k WHERE commit_id IN (SELECT commit_id FROM k GROUP BY commit_id HAVING count(*) <= 3) AND path IN (SELECT p_partkey FROM part WHERE p_size <= 25)""")
 def commit_semi(spark, sf_dir):
     touched = T.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("path"))
     return matching.narrow_commits(touched, T.table(spark, sf_dir, "part").filter("p_size <= 25").select(F.col("p_partkey").alias("path")), 3)
@@ -124,9 +124,12 @@ def packet_fill(spark, sf_dir):
     return packing.greedy_fill(_turns(spark, sf_dir), 400)
 
 
-@query("notes_cap", f"WITH {_TURNS} SELECT packet, seq, cost FROM (SELECT *, sum(cost) OVER (PARTITION BY packet ORDER BY seq DESC) AS upto FROM t) WHERE upto <= 300")
+@query("notes_cap", f"""WITH RECURSIVE {_TURNS}, n AS (SELECT *, row_number() OVER (PARTITION BY packet ORDER BY seq DESC) AS k FROM t),
+  f AS (SELECT packet, seq, cost, k, cost <= 120 AS fits, CAST(CASE WHEN cost <= 120 THEN cost ELSE 0 END AS BIGINT) AS used FROM n WHERE k = 1
+  UNION ALL SELECT n.packet, n.seq, n.cost, n.k, f.used + n.cost <= 120, CAST(CASE WHEN f.used + n.cost <= 120 THEN f.used + n.cost ELSE f.used END AS BIGINT) FROM f JOIN n ON n.packet = f.packet AND n.k = f.k + 1)
+  SELECT packet, seq, cost FROM f WHERE fits""")
 def notes_cap(spark, sf_dir):
-    return packing.newest_within(_turns(spark, sf_dir), 300)
+    return packing.newest_within(_turns(spark, sf_dir), 120)
 
 
 @query("chunks_60", """WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), s AS (SELECT *, unnest(range(0, (len(lines) - 1) // 60 + 1)) AS i FROM l)

@@ -16,13 +16,13 @@ def _start(spark: SparkSession, node: int = START) -> DataFrame:
     return spark.range(1).select(F.lit(node).cast("long").alias("node_id"))
 
 
-def _levels(depth: int, reverse: bool) -> str:
+def _levels(depth: int, reverse: bool, start: int = START, where: str = "true") -> str:
     here, there = ("dst", "src") if reverse else ("src", "dst")
-    out = f"l0 AS (SELECT CAST({START} AS BIGINT) AS node_id, 0 AS depth, 0 AS rank, CAST(NULL AS VARCHAR) AS via)"
+    out = f"l0 AS (SELECT CAST({start} AS BIGINT) AS node_id, 0 AS depth, 0 AS rank, CAST(NULL AS VARCHAR) AS via)"
     for d in range(1, depth + 1):
         seen = " UNION ALL ".join(f"SELECT node_id FROM l{i}" for i in range(d))
         out += f""", c{d} AS (SELECT e.{there} AS node_id, greatest(e.rank, f.rank) AS rank, e.kind AS via FROM edges e JOIN l{d - 1} f ON e.{here} = f.node_id
-            WHERE e.{there} NOT IN ({seen})), l{d} AS (SELECT node_id, {d} AS depth, rank, via FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY rank, via) AS k FROM c{d}) WHERE k = 1)"""
+            WHERE {where} AND e.{there} NOT IN ({seen})), l{d} AS (SELECT node_id, {d} AS depth, rank, via FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY rank, via) AS k FROM c{d}) WHERE k = 1)"""
     return out + ", reached AS (" + " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(depth + 1)) + ")"
 
 
@@ -57,16 +57,35 @@ def impact_counts(spark, sf_dir):
 
 
 def _rank_sql(rounds: int) -> str:
-    out = ", deg AS (SELECT src, count(*) AS degree FROM edges GROUP BY src), base AS (SELECT node_id, coalesce(degree, 0) AS degree, (SELECT count(*) FROM nodes) AS n FROM nodes LEFT JOIN deg ON node_id = src), s0 AS (SELECT *, 1.0::DOUBLE / n AS score FROM base)"
+    m = "AS MATERIALIZED"
+    out = f", deg {m} (SELECT src, count(*) AS degree FROM edges GROUP BY src), base {m} (SELECT node_id, coalesce(degree, 0) AS degree, (SELECT count(*) FROM nodes) AS n FROM nodes LEFT JOIN deg ON node_id = src), s0 {m} (SELECT *, 1.0::DOUBLE / n AS score FROM base)"
     for i in range(rounds):
-        out += f""", g{i} AS (SELECT e.dst AS node_id, sum(s.score / s.degree) AS got FROM edges e JOIN s{i} s ON e.src = s.node_id GROUP BY e.dst),
-          s{i + 1} AS (SELECT b.*, 0.15::DOUBLE / b.n + 0.85::DOUBLE * (coalesce(got, 0) + (SELECT sum(CASE WHEN degree = 0 THEN score ELSE 0 END) FROM s{i}) / b.n) AS score FROM base b LEFT JOIN g{i} g ON b.node_id = g.node_id)"""
+        out += f""", g{i} {m} (SELECT e.dst AS node_id, sum(s.score / s.degree) AS got FROM edges e JOIN s{i} s ON e.src = s.node_id GROUP BY e.dst),
+          s{i + 1} {m} (SELECT b.*, 0.15::DOUBLE / b.n + 0.85::DOUBLE * (coalesce(got, 0) + (SELECT sum(CASE WHEN degree = 0 THEN score ELSE 0 END) FROM s{i}) / b.n) AS score FROM base b LEFT JOIN g{i} g ON b.node_id = g.node_id)"""
     return f"WITH {T.GRAPH_SQL}{out} SELECT node_id, round(score, 9) AS score FROM s{rounds}"
 
 
-@query("pagerank", _rank_sql(4))
+@query("pagerank", _rank_sql(40))
 def pagerank(spark, sf_dir):
-    return graph.pagerank(T.nodes(spark, sf_dir), T.edges(spark, sf_dir), rounds=4).select("node_id", F.round("score", 9).alias("score"))
+    return graph.pagerank(T.nodes(spark, sf_dir), T.edges(spark, sf_dir)).select("node_id", F.round("score", 9).alias("score"))
+
+
+@query("graph_traverse_fwd", f"WITH {T.GRAPH_SQL}, {_levels(3, False, 5_000_000_001)} SELECT * FROM reached")
+def graph_traverse_fwd(spark, sf_dir):
+    return graph.traverse(T.edges(spark, sf_dir), _start(spark, 5_000_000_001), 3)
+
+
+_SOME = "e.kind IN ('uses_type', 'calls') AND e.rank IN (0, 1, 2)"
+
+
+@query("graph_traverse_kinds", f"WITH {T.GRAPH_SQL}, {_levels(3, True, where="e.kind IN ('uses_type', 'calls') AND e.rank IN (0, 1, 2)")} SELECT * FROM reached")
+def graph_traverse_kinds(spark, sf_dir):
+    return graph.traverse(T.edges(spark, sf_dir), _start(spark), 3, reverse=True, kinds=["uses_type", "calls"], ranks=[0, 1, 2])
+
+
+@query("graph_capped", f"WITH {T.GRAPH_SQL}, {_levels(3, True)} SELECT *, (SELECT count(*) FROM reached) > 25 AS truncated FROM reached ORDER BY depth, node_id LIMIT 25")
+def graph_capped(spark, sf_dir):
+    return graph.capped(graph.traverse(T.edges(spark, sf_dir), _start(spark), 3, reverse=True), 25)
 
 
 @query("telemetry_daily", f"WITH {T.TELEMETRY_SQL} SELECT workspace_id, strftime(ts, '%Y-%m-%d') AS day, kind, name, CAST(sum(n) AS BIGINT) AS n, CAST(sum(duration_ms) AS BIGINT) AS total_ms FROM telemetry GROUP BY ALL")
@@ -133,12 +152,13 @@ def vector_top1(spark, sf_dir):
     return retrieval.top_vectors(vectors, queries).withColumn("dot", F.round("dot", 6))
 
 
-TERMS = ((1, "user"), (1, "data"), (2, "time"), (2, "system"), (2, "the"))
+TERMS = ((1, "trash"), (1, "license"), (2, "clown"), (2, "moron"), (2, "the"))
 
 
 @query("bm25", f"""WITH q(query_id, term) AS (VALUES {', '.join(map(str, TERMS))}), w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
-  z AS (SELECT count(*) AS n, avg(len(w)) AS a FROM w), t AS (SELECT doc_id, len(w) AS size, unnest(w) AS term FROM w), tf AS (SELECT term, doc_id, size, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
-  SELECT query_id, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / a))), 6) AS score FROM tf JOIN df USING (term) JOIN q USING (term), z GROUP BY query_id, doc_id""")
+  z AS (SELECT count(*) AS n, avg(len(w)) AS a FROM w), t AS (SELECT doc_id, len(w) AS size, unnest(w) AS term FROM w), tf AS (SELECT term, doc_id, size, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+  s AS (SELECT query_id, doc_id, round(sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / a))), 6) AS score FROM tf JOIN df USING (term) JOIN q USING (term), z GROUP BY query_id, doc_id)
+  SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS k FROM s) WHERE k <= 20""")
 def bm25(spark, sf_dir):
     queries = spark.createDataFrame(list(TERMS), "query_id int, term string")
-    return retrieval.bm25(T.table(spark, sf_dir, "documents").select("doc_id", "text"), queries).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return retrieval.bm25(T.table(spark, sf_dir, "documents").select("doc_id", "text"), queries)
