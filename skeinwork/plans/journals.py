@@ -266,10 +266,10 @@ def match_query(spark, sf_dir):
     return T.table(spark, sf_dir, "conversations").select("conv_id", "turn", checks.match_query(F.coalesce("text", F.lit(""))).alias("q"))
 
 
-@query("obligations", f"WITH {T.GRAPH_SQL} SELECT src AS consumer FROM edges WHERE kind = 'uses_type' AND src NOT IN (SELECT 3000000000 + o_custkey FROM orders)")
+@query("obligations", f"WITH {T.GRAPH_SQL} SELECT src AS consumer FROM edges WHERE kind = 'uses_type' AND src NOT IN (SELECT 3000000000 + o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def obligations(spark, sf_dir):
     """Consumers of a change that no resolution names."""
-    done = T.table(spark, sf_dir, "orders").select((F.lit(3_000_000_000) + F.col("o_custkey")).alias("consumer"))
+    done = T.table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select((F.lit(3_000_000_000) + F.col("o_custkey")).alias("consumer"))
     return T.edges(spark, sf_dir).filter("kind = 'uses_type'").select(F.col("src").alias("consumer")).join(done, "consumer", "left_anti")
 
 
