@@ -185,9 +185,9 @@ def test_sequence_of_a_shard_with_long_documents(tmp_path):
         token_output.sequence(shard.path, n)
 
 
-@pytest.mark.parametrize("name", ["op1_suffix_dedup", "op2_ngram_join", "op3_token_output", "op7_token_counts", "op9_toxicity"])
+@pytest.mark.parametrize("name", ["op1_suffix_dedup", "op2_ngram_join", "op3_token_output", "op4_decontaminate", "op6_mixing", "op7_token_counts", "op8_quality_rules", "op9_toxicity", "op10_disclosure"])
 def test_empty_tables(spark, sf_dir, name, tmp_path):
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries.queries()[name](spark, str(tmp_path)).count() == 0
 
@@ -268,3 +268,36 @@ def test_disclosure_base_spans_and_terms(spark, tmp_path, sf_dir):
     assert "term" not in got[len(odd) + len(held) + 41].spans and got[7].n_secret == 1
     clean = {r.doc_id: r.text for r in pii.redact(docs, pii.sanitise(docs)).select("doc_id", "text").collect()}
     assert "jane" not in clean[len(odd)] and "zorblat" not in clean[len(odd)] and clean[1] is None and clean[8] == "[EMAIL]"
+
+
+def test_mixture_meets_its_targets_and_keeps_clashing_names(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", F.lit(7).alias("n"), F.lit(0.5).alias("rate"), F.lit(1).alias("p"), F.lit(3).alias("copies"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    want = {"de": 0.25, "en": 0.25, "es": 0.25, "fr": 0.25}
+    for least in (0.0, 1.0):
+        mixed = mixing.mix(docs, labels, weights=want, least=least).collect()
+        total = sum(np.array(r.p) * r.n_tokens * r.rate for r in mixed)
+        assert total / total.sum() == pytest.approx([0.25] * 4, abs=1e-4)
+        assert min(r.rate for r in mixed) >= least
+        assert {tuple(r.row)[3:] for r in mixed} == {(7, 0.5, 1, 3)}
+
+
+def test_decontaminate_finds_substituted_short_and_unnamed(spark):
+    rng = np.random.default_rng(5)
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(60))) for i in range(20)] + [(50, "seven words of an item stand here"), (51, "the")]
+    rows, sure = [], set()
+    for i in range(200):
+        words = items[i % 20][1].split()
+        gone = rng.random(60) < (0.0, 0.1, 0.15)[i % 3]
+        rows.append((i, " ".join([f"a{rng.integers(99)}" for _ in range(30)] + [f"s{rng.integers(999)}" if g else w for w, g in zip(words, gone, strict=True)])))
+        best = max(int((~gone[a : a + 12]).sum()) for a in range(49))
+        sure |= {i} if best >= 11 else set()
+    rows += [(300, "we say: Seven words, of an item stand here!"), (301, "seven words of an item stand there"), (None, items[0][1]), (302, None), (303, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tkey", F.lit(1)).withColumn("row", F.lit(2))
+    benchmark = spark.createDataFrame(items[:-1], "item_id long, text string")
+    found = {r.doc_id for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert found >= sure | {300, None} and not found & {301, 302, 303}
+    kept = {r.doc_id for r in decontaminate.without_passages(docs, benchmark).collect()}
+    assert kept == {i for i, _ in rows} - found
+    assert decontaminate.without_passages(docs, benchmark).columns == docs.columns
+    assert decontaminate.contaminated(docs.limit(0), benchmark).count() == decontaminate.contaminated(docs, benchmark.limit(0)).count() == 0
