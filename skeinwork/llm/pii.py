@@ -97,29 +97,30 @@ def _clean(text: Column, spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """tkey (xxhash64 of the text, null as empty), spans (array<struct<k,s,e>>, by kind, then start) and clean, of every distinct text.
+    """tkey (xxhash64 of the text, null as empty), spans (array<struct<k,s,e>>, by kind, then start) and clean, of every distinct text that holds a span.
 
     Base spans always stay, and so do secrets. Entities are the spans' lower-case values by kind, and the hosts of addresses. A word anywhere in a text that
     holds an entity becomes spans of kind "term", each time it stands there outside other spans, where it discloses that entity
-    (see disclosing_terms). clean is the text with every span generalised to its kind. Null and empty texts are one text without
-    a span; repeated rows are one text; an empty table gives no rows; other columns are ignored.
+    (see disclosing_terms). clean is the text with every span generalised to its kind. Null and empty texts hold none;
+    repeated rows are one text; an empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     text = F.coalesce(F.col("text"), F.lit(""))
-    texts = scratch.write(docs.select(F.xxhash64(text).alias("tkey"), text.alias("text")).dropDuplicates(["tkey"]), "texts")
     secret = F.when(F.col("text").rlike("[A-Za-z0-9_]{20}"), _found(F.col("text"), SECRET, KINDS.index("secret"), lambda v: F.lit(True))).otherwise(F.array().cast(SPAN))
-    found = scratch.write(texts.select("tkey", F.concat(base_spans(F.col("text")), secret).alias("spans")).filter(F.size("spans") > 0), "found")
+    texts = docs.select(F.xxhash64(text).alias("tkey"), text.alias("text")).dropDuplicates(["tkey"])
+    texts = scratch.write(texts.withColumn("spans", F.concat(base_spans(F.col("text")), secret)), "texts")
+    found = texts.filter(F.size("spans") > 0)  # from here on no text without a span is shuffled
     value, host = F.concat_ws(":", F.col("x.k").cast("string"), F.lower("x.v")), F.concat(F.lit("host:"), F.lower(F.substring_index("x.v", "@", -1)))
     named = F.when(F.col("x.k") == KINDS.index("email"), F.array(value, host)).otherwise(F.array(value))
     entities = found.select("tkey", F.explode("spans").alias("x")).select("tkey", F.explode(named).alias("entity")).distinct()
     # an entity of one text meets every word of it once, which says nothing: the pairs of others alone are made
     several = entities.groupBy("entity").agg(F.count("*").alias("df")).filter("df > 1").select("entity")
     entities = scratch.write(entities.join(several, "entity"), "entities")
-    inside = texts.join(entities.select("tkey").distinct(), "tkey", "left_semi").select("tkey", F.explode(_words(F.col("text"))).alias("term"))
+    inside = found.join(entities.select("tkey").distinct(), "tkey", "left_semi").select("tkey", F.explode(_words(F.col("text"))).alias("term"))
     pairs = scratch.write(inside.join(entities, "tkey").select("tkey", "entity", "term"), "pairs")
     bad = scratch.write(disclosing_terms(texts, entities, pairs, threshold), "terms")
     terms = scratch.write(pairs.join(bad.select("entity", "term"), ["entity", "term"], "left_semi").groupBy("tkey").agg(F.collect_set("term").alias("terms")), "hits")
-    rows = texts.join(found, "tkey", "left").join(terms, "tkey", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
+    rows = found.join(terms, "tkey", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
     hits = F.when(F.size("terms") > 0, _found(F.col("text"), pattern, KINDS.index("term"), lambda v: F.lit(True))).otherwise(F.array().cast(SPAN))
     free = F.filter(hits, lambda w: ~F.exists(F.col("spans"), lambda b: (b["s"] < w["e"]) & (b["e"] > w["s"])))
@@ -130,9 +131,9 @@ def sanitise(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
 
 
 def redact(docs: DataFrame, clean: DataFrame) -> DataFrame:
-    """docs with the clean texts that sanitise() gives; null texts stay null, all other columns as they are."""
-    rows = docs.select(F.struct(*docs.columns).alias("row")).join(clean.select("tkey", "clean"), F.xxhash64(F.coalesce("row.text", F.lit(""))) == F.col("tkey"))
-    return rows.select(*[F.when(F.col("row.text").isNotNull(), F.col("clean")).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+    """docs with the clean texts that sanitise() gives; null texts stay null, all other texts and columns as they are."""
+    rows = docs.select(F.struct(*docs.columns).alias("row")).join(clean.select("tkey", "clean"), F.xxhash64(F.coalesce("row.text", F.lit(""))) == F.col("tkey"), "left")
+    return rows.select(*[F.coalesce("clean", "row.text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def _joined(spans: Column) -> Column:
@@ -152,5 +153,8 @@ def op10_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
         "tkey", *[count(k) for k in range(len(KINDS))], F.size("spans").cast("long").alias("n_spans"), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"),
         _joined(F.col("spans")).alias("spans"), F.sha2(F.col("clean").cast("binary"), 256).alias("clean_sha256"),
     )
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey")).join(each, "tkey")
-    return rows.select("doc_id", *[f"n_{k}" for k in PATTERNS], "base_sha256", "spans", "n_secret", "n_term", "n_spans", "clean_sha256")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("tkey"), F.sha2(text.cast("binary"), 256).alias("same")).join(each, "tkey", "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in (*[f"n_{k}" for k in KINDS], "n_spans")]
+    lines = F.coalesce("base_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans")
+    return rows.select("doc_id", *counts[: len(PATTERNS)], *lines, *counts[len(PATTERNS) :], F.coalesce("clean_sha256", "same").alias("clean_sha256"))
