@@ -66,21 +66,21 @@ def _by_row(row: np.ndarray, h: np.ndarray, n: int) -> list[list[int]]:
     return [np.unique(h[order[a:b]]).tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def label_model(row: np.ndarray, voter: np.ndarray, n: int, sens: np.ndarray, fals: np.ndarray, prior: float, rounds: int = 25) -> np.ndarray:
+def label_model(row: np.ndarray, voter: np.ndarray, n: int, sens: np.ndarray, fals: np.ndarray, prior: float, core: int, rounds: int = 25) -> np.ndarray:
     """Posteriors of label 1 of n rows from hits (row, voter), by EM over each voter's hit rates in either class.
 
     A voter that does not hit abstains; one whose rate is higher in class 0 votes for that. Voters that still agree when the
     label is given repeat one another: those whose residual correlation exceeds 0.5 form a cluster (linked ones join), and each
     one's evidence is divided by the cluster's size. sens and fals are where EM starts, prior is the share of label 1, which the
-    posteriors keep; no row's label is given.
+    posteriors keep; no row's label is given. Correlations are looked for among the first `core` voters, in the rows where one
+    of them hits, some thousand rows at a time.
     """
     j = len(sens)
     weight = np.ones(j)
-    hit = np.unique(row)
-    place = np.zeros(n, np.int64)
-    place[hit] = np.arange(len(hit))
-    dense = np.zeros((len(hit), j), np.float32)
-    dense[place[row], voter] = 1
+    some = np.flatnonzero(voter < core)
+    some = some[np.argsort(row[some], kind="stable")]
+    core_row, core_voter = row[some], voter[some]
+    hit = np.unique(core_row)
     times = np.bincount(voter, minlength=j)
     for step in range(rounds):
         s, f = np.clip(sens, 1e-4, 0.99), np.clip(fals, 1e-4, 0.99)
@@ -96,17 +96,23 @@ def label_model(row: np.ndarray, voter: np.ndarray, n: int, sens: np.ndarray, fa
         rate = (times + 0.5) / (n + 1)
         sens, fals = (toxic + 2 * rate) / (a + 2), (times - toxic + 2 * rate) / (n - a + 2)
         if step in (0, 5, 10):
-            residual = dense - (post[hit, None] * sens + (1 - post[hit, None]) * fals).astype(np.float32)
-            spread = np.sqrt((residual**2).sum(0)) + 1e-9
-            linked = (residual.T @ residual) / spread[:, None] / spread[None, :] > 0.5
+            together = np.zeros((core, core), np.float32)
+            for at in range(0, len(hit), 2000):
+                ids = hit[at : at + 2000]
+                here = slice(np.searchsorted(core_row, ids[0]), np.searchsorted(core_row, ids[-1], "right"))
+                x = -(post[ids, None] * sens[:core] + (1 - post[ids, None]) * fals[:core]).astype(np.float32)
+                x[np.searchsorted(ids, core_row[here]), core_voter[here]] += 1
+                together += x.T @ x
+            spread = np.sqrt(np.diag(together)) + 1e-9
+            linked = together / spread[:, None] / spread[None, :] > 0.5
             np.fill_diagonal(linked, True)
-            cluster = np.arange(j)
-            for _ in range(j):
-                new = np.where(linked, cluster[None, :], j).min(1)
+            cluster = np.arange(core)
+            for _ in range(core):
+                new = np.where(linked, cluster[None, :], core).min(1)
                 if (new == cluster).all():
                     break
                 cluster = new
-            weight = 1 / np.bincount(cluster, minlength=j)[cluster]
+            weight[:core] = 1 / np.bincount(cluster, minlength=core)[cluster]
     return post
 
 
@@ -153,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
         sure = (belief * weight)[votes_row], ((1 - belief) * weight)[votes_row]
         a, b = (belief * weight).sum(), ((1 - belief) * weight).sum()
         sens, fals = ((np.bincount(voter, x, len(words) + patterns.shape[1] + 1) + 0.5) / (k + 1) for x, k in zip(sure, (a, b), strict=True))
-        belief, weight = label_model(votes_row, voter, n, sens, fals, prior), np.ones(n)
+        belief, weight = label_model(votes_row, voter, n, sens, fals, prior, len(words)), np.ones(n)
     scratch.drop()
     w, b, vw, vb = np.zeros(len(words)), 0.0, np.zeros(len(words)), 0.0
     for _ in range(600):
