@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .matching import prefixes
@@ -120,3 +120,79 @@ def match_query(text: Column) -> Column:
     """The text's terms of two signs or more, quoted and joined by OR; terms are runs of A-Z a-z 0-9 _ . / -."""
     terms = F.filter(F.split(text, r"[^A-Za-z0-9_./-]+"), lambda t: F.length(t) >= 2)
     return F.array_join(F.transform(terms, lambda t: F.concat(F.lit('"'), t, F.lit('"'))), " OR ")
+
+
+def clean_path(path: Column) -> Column:
+    """The path trimmed, without empty and `.` parts, and with `..` taken up; empty stays empty, `.` is what nothing is left of."""
+    raw = F.trim(path)
+    rooted = raw.startswith("/")
+    parts = F.filter(F.split(raw, "/", -1), lambda p: (p != "") & (p != "."))
+    up = lambda out, p: F.when((p == "..") & (F.size(out) > 0) & (F.coalesce(F.element_at(out, -1), F.lit("")) != ".."), F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).when((p == "..") & rooted, out).otherwise(F.concat(out, F.array(p)))
+    joined = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), up), "/")
+    return F.when(raw == "", "").when(rooted, F.concat(F.lit("/"), joined)).when(joined == "", ".").otherwise(joined)
+
+
+def derived_id(*parts: Column) -> Column:
+    """sha256 of the parts, each after its length in bytes, so no two lists of parts are the same text. Parts under 128 bytes."""
+    return F.sha2(F.concat(*[F.concat(F.unhex(F.lpad(F.hex(F.octet_length(p)), 2, "0")), F.encode(p, "utf-8")) for p in parts]), 256)
+
+
+_VERBS = ("SELECT", "INSERT", "UPDATE", "DELETE", "WITH")  # fixed values
+
+
+def sql_verb(text: Column) -> Column:
+    """The verb that the text begins with after comments and space, upper case; null where it does not look like SQL."""
+    bare = F.regexp_replace(text, r"^(?:\s+|--[^\n]*(?:\n|$)|/\*(?s:.*?)\*/)+", "")
+    return F.nullif(F.upper(F.regexp_extract(bare, f"^(?i)({'|'.join(_VERBS)}) ", 1)), F.lit(""))
+
+
+def sql_tables(text: Column) -> Column:
+    """Distinct names after FROM, JOIN, INTO and UPDATE, sorted; empty where the text does not look like SQL."""
+    names = F.regexp_extract_all(text, F.lit(r"(?i)\b(?:FROM|JOIN|INTO|UPDATE)\s+([a-zA-Z_][a-zA-Z0-9_]*(?:\.[a-zA-Z_][a-zA-Z0-9_]*)?)"), F.lit(1))
+    return F.when(sql_verb(text).isNotNull(), F.array_sort(F.array_distinct(names))).otherwise(F.array().cast("array<string>"))
+
+
+def diagnostics(lines: DataFrame) -> DataFrame:
+    """(log, file, line, col, message): distinct compiler findings of lines (log, line_no, text); col is 0 where it has none."""
+    form = r"^(\S+?\.go):(\d+)(?::(\d+))?:\s+(.*)$"
+    part = lambda i: F.regexp_extract(F.trim("text"), form, i)
+    found = lines.filter(F.trim("text").rlike(form))
+    return found.select("log", part(1).alias("file"), part(2).cast("long").alias("line"), F.coalesce(F.expr("try_cast(nullif(" + f"regexp_extract(trim(text), r'{form}', 3), '') as long)"), F.lit(0)).alias("col"), part(4).alias("message")).distinct()
+
+
+def failed_tests(lines: DataFrame) -> DataFrame:
+    """(log, test, file, line): every failed test of lines (log, line_no, text) with the first place named after it, null if none.
+
+    A place belongs to the failed test last named before it in the log. A log is ordered in one task; a line is a short row there.
+    """
+    name, place = r"^\s*--- FAIL: (\S+)", r"^\s+(\S+?\.go):(\d+):"
+    order = Window.partitionBy("log").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    said = F.when(F.col("text").rlike(name), F.struct("line_no", F.regexp_extract("text", name, 1).alias("test")))
+    tagged = lines.filter(F.col("text").rlike(name) | F.col("text").rlike(place)).withColumn("now", F.last(said, ignorenulls=True).over(order)).filter("now is not null")
+    at = F.when(F.col("text").rlike(place), F.struct("line_no", F.regexp_extract("text", place, 1).alias("file"), F.regexp_extract("text", place, 2).cast("long").alias("line")))
+    return tagged.groupBy("log", "now").agg(F.min(at).alias("at")).select("log", "now.test", "at.file", "at.line")
+
+
+def event_statuses(lines: DataFrame) -> DataFrame:
+    """(log, test, status): the last pass, fail or skip of each test in JSON lines (log, line_no, text); other lines are left out."""
+    e = F.from_json("text", "Action string, Package string, Test string")
+    rows = lines.select("log", "line_no", e.alias("e")).filter("e.Test <> '' and e.Action in ('pass', 'fail', 'skip')")
+    return rows.groupBy("log", F.concat("e.Package", F.lit("/"), "e.Test").alias("test")).agg(F.max_by("e.Action", "line_no").alias("status"))
+
+
+def schema_after(statements: DataFrame) -> DataFrame:
+    """(table, column, type, file): columns as a run of DDL statements leaves them, names in lower case.
+
+    statements: file, stmt, kind (create_table, alter_table, drop_table), table, column, type, dropped (boolean); a row per column,
+    column null for drop_table. Files and statements are in order; the last writer of a column wins, what drops it or its table ends it.
+    """
+    rows = statements.select(F.lower("table").alias("table"), F.lower("column").alias("column"), "type", "file", "kind", "dropped", F.struct("file", "stmt").alias("at"))
+    gone = rows.filter("kind = 'drop_table'").groupBy("table").agg(F.max("at").alias("gone"))
+    last = rows.filter("column is not null").groupBy("table", "column").agg(F.max_by(F.struct("type", "file", "dropped"), F.struct("at", "dropped")).alias("c"), F.max("at").alias("at"))
+    return last.join(gone, "table", "left").filter("not c.dropped and (gone is null or at > gone)").select("table", "column", "c.type", "c.file")
+
+
+def changed_signatures(before: DataFrame, after: DataFrame, symmetric: bool = False) -> DataFrame:
+    """Names (name) whose signature is another or gone in after (name, signature); with symmetric, those that are new too."""
+    both = before.select("name", F.col("signature").alias("old")).join(after.select("name", F.col("signature").alias("new")), "name", "full" if symmetric else "left")
+    return both.filter(~F.col("old").eqNullSafe(F.col("new"))).select("name")

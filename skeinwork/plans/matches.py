@@ -185,9 +185,9 @@ def _pick(b: str, j: str, n: str) -> str:
 
 
 @query("paired_bootstrap", f"""WITH {T.OUTCOMES_SQL}, r AS (SELECT task_id, avg(CASE WHEN solved THEN 1.0 ELSE 0.0 END) FILTER (WHERE arm = 'en') - avg(CASE WHEN solved THEN 1.0 ELSE 0.0 END) FILTER (WHERE arm = 'de') AS delta FROM outcomes GROUP BY task_id),
-  p AS (SELECT delta, row_number() OVER (ORDER BY task_id) - 1 AS j, count(*) OVER () AS n FROM r WHERE delta IS NOT NULL), d AS (SELECT b, {_pick('b', 'p.j', 'n')} AS k FROM p, range(0, 1000) t(b)),
+  p AS (SELECT delta, row_number() OVER (ORDER BY task_id) - 1 AS j, count(*) OVER () AS n FROM r WHERE delta IS NOT NULL), d AS (SELECT b, {_pick('b', 'p.j', 'n')} AS k FROM p, range(0, 10000) t(b)),
   m AS (SELECT b, avg(delta) AS mean FROM d JOIN p ON k = p.j GROUP BY b), s AS (SELECT list_sort(list(mean)) AS s FROM m)
-  SELECT (SELECT count(*) FROM p) AS pairs, round((SELECT avg(delta) FROM p), 8) AS mean, round(s[26], 8) AS low, round(s[975], 8) AS high FROM s""")
+  SELECT (SELECT count(*) FROM p) AS pairs, round((SELECT avg(delta) FROM p), 8) AS mean, round(s[251], 8) AS low, round(s[9750], 8) AS high FROM s""")
 def paired_bootstrap(spark, sf_dir):
     tasks = T.outcomes(spark, sf_dir).groupBy("task_id").agg(*(F.avg(F.when(F.col("arm") == a, F.col("solved").cast("double"))).alias(a) for a in ("en", "de")))
-    return evalstats.paired_bootstrap(tasks.select("task_id", (F.col("en") - F.col("de")).alias("delta")), _pick("b", "j", "n"), 1000)
+    return evalstats.paired_bootstrap(tasks.select("task_id", (F.col("en") - F.col("de")).alias("delta")), _pick("b", "j", "n"))
