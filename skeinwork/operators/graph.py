@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Verdicts of a change for each edge kind (fixed values); a kind that is not listed gets the change's default.
@@ -93,3 +93,30 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 40, damping: floa
         new = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + idle / n)
         scores = settled(base.join(sent, "node_id", "left").select("node_id", "degree", new.alias("score")))
     return scores.select("node_id", "score")
+
+
+def by_name(nodes: DataFrame, names: DataFrame, kinds: list[str], limit: int = 100) -> DataFrame:
+    """The first `limit` nodes (node_id, kind, fqn) of the kinds whose fqn is asked for (fqn), by kind and fqn."""
+    return nodes.filter(F.col("kind").isin(kinds)).join(names, "fqn", "left_semi").orderBy("kind", "fqn").limit(limit)
+
+
+def public_impact(report: DataFrame, hidden: Column) -> DataFrame:
+    """(verdict, n, truncated): consumers by verdict without those that are hidden; truncated where any consumer was."""
+    counts = report.groupBy("verdict").agg(F.count_if(~hidden).alias("n"), F.count_if(hidden).alias("dropped"))
+    return counts.withColumn("truncated", F.sum("dropped").over(Window.partitionBy()) > 0).filter("n > 0").select("verdict", "n", "truncated")
+
+
+def file_tree(files: DataFrame) -> DataFrame:
+    """(parent, child, kind): each directory in its parent and each file in its directory, once each; the root is the empty path."""
+    parts = F.split("path", "/", -1)
+    levels = files.select(parts.alias("p")).withColumn("i", F.explode(F.sequence(F.lit(1), F.size("p"))))
+    path = lambda n: F.array_join(F.slice("p", F.lit(1), n), "/")
+    return levels.select(path(F.col("i") - 1).alias("parent"), path(F.col("i")).alias("child"), F.when(F.col("i") == F.size("p"), "file").otherwise("directory").alias("kind")).distinct()
+
+
+def history(nodes: DataFrame, touches: DataFrame, commits: DataFrame, most_nodes: int = 5, most: int = 10) -> DataFrame:
+    """(node_id, commit_id, at): the newest commits that touch each of the first nodes. touches: commit_id, node_id; commits: commit_id, at."""
+    few = nodes.select("node_id").orderBy("node_id").limit(most_nodes)
+    rows = touches.join(few, "node_id", "left_semi").distinct().join(commits, "commit_id")
+    newest = Window.partitionBy("node_id").orderBy(F.desc("at"), F.desc("commit_id"))
+    return rows.withColumn("k", F.row_number().over(newest)).filter(F.col("k") <= most).select("node_id", "commit_id", "at")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,36 @@ def top_vectors(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     dot = F.aggregate(F.zip_with("embedding", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
     scored = vectors.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", dot.alias("dot"))
     return scored.groupBy("query_id").agg(F.max(F.struct("dot", (-F.col("vec_id")).alias("v"))).alias("m")).select("query_id", (-F.col("m.v")).alias("vec_id"), "m.dot")
+
+
+def expanded_terms(text: Column, most: int = 12) -> Column:
+    """The first `most` search terms: words of three characters or more, then for each two neighbours camelCase, snake_case and PascalCase.
+
+    Words are runs of A-Z, a-z, 0-9 and _; neighbours of under two characters give none. Terms differ by case; repeats are left out.
+    """
+    words = F.filter(F.split(text, "[^A-Za-z0-9_]+"), lambda w: w != "")
+    low = F.transform(words, lambda w: F.lower(w))
+    head = lambda w: F.concat(F.upper(F.substring(w, F.lit(1), F.lit(1))), F.substring(w, F.lit(2), F.length(w)))
+    rest = F.greatest(F.size(low) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(low, F.lit(1), rest), F.slice(low, F.lit(2), rest), lambda a, b: F.when(
+        (F.length(a) > 1) & (F.length(b) > 1), F.array(F.concat(a, head(b)), F.concat(a, F.lit("_"), b), F.concat(head(a), head(b)))).otherwise(F.array().cast("array<string>")))
+    terms = F.array_distinct(F.filter(F.concat(words, F.flatten(pairs)), lambda t: F.length(t) >= 3))
+    return F.slice(terms, 1, most)
+
+
+def word_hits(files: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, doc_id, line, term): lines that have a term as a whole word. files: doc_id, text; terms: query_id, term.
+
+    A line's words that are terms are kept before anything is exploded to rows of their own key: terms meet lines by equality.
+    """
+    lines = files.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("i", "body"))
+    words = lines.select("doc_id", (F.col("i") + 1).alias("line"), F.explode(F.array_distinct(F.split("body", "[^A-Za-z0-9_]+"))).alias("term"))
+    return words.join(terms.distinct(), "term").select("query_id", "doc_id", "line", "term")
+
+
+def lexical_files(hits: DataFrame, most: int = 20) -> DataFrame:
+    """(query_id, doc_id, n, truncated): the files with most hits of each query, a line counted once a term; truncated where others follow."""
+    counts = hits.groupBy("query_id", "doc_id").agg(F.count("*").alias("n"))
+    ranked = counts.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "doc_id")))
+    seen = ranked.filter(F.col("k") <= most + 1).withColumn("truncated", F.max("k").over(Window.partitionBy("query_id")) > most)
+    return seen.filter(F.col("k") <= most).select("query_id", "doc_id", "n", "truncated")
