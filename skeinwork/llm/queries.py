@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import warc
+from . import chat_examples, fill_in_middle, warc
 from .decontaminate import op4_decontaminate
 from .mixing import op6_mixing
 from .ngram_join import op2_ngram_join
+from .periodic_runs import op13_periodic_runs
 from .pii import op10_disclosure
 from .quality import op8_quality_rules
 from .suffix_dedup import op1_suffix_dedup
@@ -30,10 +31,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_toxicity": op9_toxicity,
         "op10_disclosure": op10_disclosure,
+        "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+        "op12_chat_examples": chat_examples.op12_chat_examples,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_warc_derivatives": warc.ORACLE,
+        "op11_fill_in_middle": fill_in_middle.ORACLE,
+        "op12_chat_examples": chat_examples.ORACLE,
     }
