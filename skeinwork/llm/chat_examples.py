@@ -63,7 +63,7 @@ def chat_examples(turns: DataFrame, template: Template = Template(), trained: st
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     ends = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: (F.element_at("turns", i)["role"] == trained) | (i == F.size("turns")))
     parts = F.transform("turns", lambda x: F.concat(x["head"], x["body"], F.lit(t.end)))
-    each = whole.select("conv_id", "turns", parts.alias("parts"), F.posexplode(ends).alias("example", "at"))
+    each = whole.withColumn("parts", parts).select("conv_id", "turns", "parts", F.posexplode(ends).alias("example", "at"))
     each = each.select(
         "conv_id", (F.col("example") + 1).alias("example"), F.array_join(F.slice("parts", F.lit(1), F.col("at") - 1), "").alias("context"),
         F.element_at("parts", F.col("at")).alias("part"), F.element_at("turns", F.col("at")).alias("turn"), (F.col("at") == F.size("turns")).alias("last"),
