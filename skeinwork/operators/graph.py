@@ -2,23 +2,49 @@
 
 from __future__ import annotations
 
-import tempfile
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Verdicts of a change for each edge kind (fixed values); a kind that is not listed gets the change's default.
-DEFAULTS = {"remove": "breaking", "rename": "compiles", "signature": "compiles", "add_field": "compatible", "behaviour": "compiles", "schema": "compiles", "config": "compiles", "route": "compiles"}
-BREAKING = {
-    "rename": ("calls", "uses_type", "references", "implements", "imports", "extends", "embeds", "reads_config"),
-    "signature": ("calls", "returns", "accepts", "implements", "tests"),
-    "add_field": ("implements",),
-    "behaviour": ("tests",),
-    "schema": ("reads_schema", "writes_schema", "tests"),
-    "config": ("reads_config", "deploys", "provisions"),
-    "route": ("routes_to", "handles", "references", "tests"),
+from ..sources.shared import Files, shared_dir
+
+#: Evidence from strongest to weakest; the first two are certain (fixed values).
+EVIDENCE = ("resolved", "declared", "inferred", "observed", "unknown")
+#: Verdict of a change for consumers whose edge no rule names, and what to do about them (verdicts are fixed values).
+DEFAULTS = {
+    "remove": ("breaking", "take the use out before the definition goes"),
+    "rename": ("compiles", "run its tests"),
+    "signature": ("compiles", "run its tests"),
+    "add_field": ("compatible", ""),
+    "behaviour": ("compiles", "run its tests for the new behaviour"),
+    "schema": ("compiles", "run its tests"),
+    "config": ("compiles", ""),
+    "route": ("compiles", ""),
 }
+#: (change, edge kind, verdict, what to do); changes, kinds and verdicts are fixed values.
+RULES = (
+    *(("rename", via, "breaking", "use the new name") for via in ("calls", "uses_type", "references", "implements", "imports", "extends", "embeds")),
+    ("rename", "reads_config", "breaking", "rename the key wherever it is set"),
+    *(("signature", via, "breaking", "call it by the new signature") for via in ("calls", "returns", "accepts")),
+    ("signature", "implements", "breaking", "implement the new signature"),
+    ("signature", "tests", "breaking", "test the new signature"),
+    ("add_field", "implements", "breaking", "implement the new member"),
+    ("add_field", "uses_type", "compiles", "look for literals and switches that list all members"),
+    ("behaviour", "tests", "breaking", "decide whether the tested behaviour still holds"),
+    *(("schema", via, "breaking", "migrate the data and its queries") for via in ("reads_schema", "writes_schema")),
+    ("schema", "tests", "breaking", "renew its fixtures"),
+    ("config", "reads_config", "breaking", "change the key here and wherever it is set"),
+    *(("config", via, "breaking", "change the deployment") for via in ("deploys", "provisions")),
+    *(("route", via, "breaking", "register the new route") for via in ("routes_to", "handles")),
+    ("route", "references", "breaking", "call the new route"),
+    ("route", "tests", "breaking", "test the new route"),
+)
+#: Verdicts as a report lists them (fixed values).
 ORDER = ("breaking", "undetermined", "compiles", "compatible")
+CAVEAT = "an edge that is missing was not found, which does not mean that there is none; consumers by weak evidence are listed too"
+#: Nodes that a walk takes in, and edges deep (fixed values).
+MOST_NODES, MOST_DEPTH = 5000, 6
 
 
 def neighbours(edges: DataFrame, node_id: int, reverse: bool = False) -> DataFrame:
@@ -29,52 +55,140 @@ def settled(df: DataFrame) -> DataFrame:
     """df checkpointed in spark.checkpoint.dir: a loop's plan stays as long as one round's, and a lost executor loses nothing."""
     spark: SparkSession = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='skeinwork-')}")
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
 
 
-def traverse(edges: DataFrame, start: DataFrame, depth: int = 1, reverse: bool = False, kinds: list[str] | None = None, ranks: list[int] | None = None) -> DataFrame:
-    """(node_id, depth, rank, via): every node within depth hops once, at its shortest depth.
+@dataclass(frozen=True)
+class Adjacency:
+    """Edges stored twice, by buckets of either end, so a step of a walk reads the buckets of its frontier alone."""
+
+    spark: SparkSession
+    folder: str
+    buckets: int = 64
+
+    def write(self, edges: DataFrame) -> Adjacency:
+        """Store edges (src, dst, kind, rank). A hub's edges are written by several tasks, so none has them all."""
+        for end, other in (("src", "dst"), ("dst", "src")):
+            rows = edges.select("src", "dst", "kind", "rank").withColumn("bucket", self._bucket(end))
+            rows.repartition("bucket", F.pmod(F.xxhash64(other), F.lit(8))).sortWithinPartitions("bucket", end).write.partitionBy("bucket").mode("overwrite").parquet(f"{self.folder}/by_{end}")
+        return self
+
+    def _bucket(self, end: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(end).cast("long")), F.lit(self.buckets)).cast("int")
+
+    def at(self, frontier: DataFrame, end: str) -> DataFrame:
+        """Edges of the buckets that hold the frontier's nodes (node_id) at that end; the buckets are numbers, no more than there are."""
+        wanted = [r.b for r in frontier.select(self._bucket("node_id").alias("b")).distinct().collect()]
+        schema = "src long, dst long, kind string, rank int, bucket int"
+        if not Files(self.spark, f"{self.folder}/by_{end}").names():
+            return self.spark.createDataFrame([], schema).drop("bucket")
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/by_{end}").filter(F.col("bucket").isin(wanted)).drop("bucket")
+
+    def free(self) -> None:
+        Files(self.spark, self.folder).delete()
+
+
+@dataclass(frozen=True)
+class Walk:
+    """What a walk reached (node_id, depth, rank, via), and whether its cap left out nodes that lie within its depth."""
+
+    reached: DataFrame
+    truncated: bool
+
+
+def walk(edges: DataFrame | Adjacency, start: DataFrame, depth: int = 1, reverse: bool = False, kinds: list[str] | None = None, ranks: list[int] | None = None, most: int | None = None) -> Walk:
+    """Every node within depth hops once, at its shortest depth, and at most `most` of them, those of start among them.
 
     rank is the least over paths of that depth of the weakest hop's rank; via is the kind of the last hop of that path, the
     first by name of equals. start has node_id; its rows have depth 0, rank 0 and no via. kinds and ranks name the edges that
     count. Each level is written, so a plan has one level; an empty one ends the walk.
+
+    A level takes in as many of its nodes as there is room for, the smallest node_id first, and one that fills the cap is the last.
+    Where it was filled exactly, one node of the next level is looked for, so truncated is exact.
     """
-    if not 0 < depth <= 6:
-        raise ValueError("depth must be from 1 to 6")
+    if not 0 < depth <= MOST_DEPTH:
+        raise ValueError(f"depth must be from 1 to {MOST_DEPTH}")
     here, there = ("dst", "src") if reverse else ("src", "dst")
-    if kinds:
-        edges = edges.filter(F.col("kind").isin(kinds))
-    if ranks:
-        edges = edges.filter(F.col("rank").isin(ranks))
     frontier = settled(start.select("node_id", F.lit(0).alias("depth"), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("via")).distinct())
-    found = frontier
+    found, room = frontier, None if most is None else max(0, most - frontier.count())
     for level in range(1, depth + 1):
-        step = edges.join(frontier.select(F.col("node_id").alias(here), F.col("rank").alias("so_far")), here)
+        near = edges.at(frontier, here) if isinstance(edges, Adjacency) else edges
+        if kinds:
+            near = near.filter(F.col("kind").isin(kinds))
+        if ranks:
+            near = near.filter(F.col("rank").isin(ranks))
+        step = near.join(frontier.select(F.col("node_id").alias(here), F.col("rank").alias("so_far")), here)
         best = step.groupBy(F.col(there).alias("node_id")).agg(F.min(F.struct(F.greatest("rank", "so_far").alias("rank"), F.col("kind").alias("via"))).alias("b"))
-        frontier = settled(best.join(found.select("node_id"), "node_id", "left_anti").select("node_id", F.lit(level).alias("depth"), "b.rank", "b.via"))
-        if frontier.isEmpty():
-            break
+        fresh = best.join(found.select("node_id"), "node_id", "left_anti").select("node_id", F.lit(level).alias("depth"), "b.rank", "b.via")
+        if room == 0:
+            return Walk(found, not fresh.isEmpty())
+        frontier = settled(fresh if room is None else fresh.orderBy("node_id").limit(room + 1))
+        if room is None:
+            if frontier.isEmpty():
+                break
+        else:
+            n = frontier.count()
+            if n > room:
+                return Walk(found.unionByName(frontier.orderBy("node_id").limit(room)), True)
+            if not n:
+                break
+            room -= n
         found = found.unionByName(frontier)
-    return found
+    return Walk(found, False)
 
 
-def capped(reached: DataFrame, limit: int) -> DataFrame:
-    """The first `limit` nodes by depth, then node_id, with truncated: whether there are more. limit bounds what is gathered."""
-    more = reached.limit(limit + 1).agg((F.count("*") > limit).alias("more"))
-    return reached.orderBy("depth", "node_id").limit(limit).withColumn("truncated", more.scalar())
+def traverse(edges: DataFrame | Adjacency, start: DataFrame, depth: int = 1, reverse: bool = False, kinds: list[str] | None = None, ranks: list[int] | None = None) -> DataFrame:
+    """What walk() reaches without a cap."""
+    return walk(edges, start, depth, reverse, kinds, ranks).reached
 
 
-def impact(edges: DataFrame, nodes: DataFrame, start: DataFrame, change: str, depth: int = 3) -> DataFrame:
+def rules(spark: SparkSession, changes: list[str] | None = None) -> DataFrame:
+    """(change, via, verdict, step) as a table of some forty rows; the default of a change has a null via."""
+    rows = [(c, None, *d) for c, d in DEFAULTS.items()] + list(RULES)
+    return spark.createDataFrame([r for r in rows if changes is None or r[0] in changes], "change string, via string, verdict string, step string")
+
+
+def judged(consumers: DataFrame, changes: DataFrame) -> DataFrame:
+    """consumers (rank, via) under each change (change), with verdict and step by rules(); weak evidence leaves it undetermined."""
+    spark = consumers.sparkSession
+    table = rules(spark)
+    named = table.filter("via is not null").select("change", "via", F.col("verdict").alias("v"), F.col("step").alias("s"))
+    rest = table.filter("via is null").select("change", F.col("verdict").alias("dv"), F.col("step").alias("ds"))
+    # a change's consumers are listed under it; both tables of rules are short
+    listed = consumers.withColumn("change", F.explode(changes.select(F.sort_array(F.collect_set("change")).alias("c")).scalar()))
+    out = listed.join(F.broadcast(named), ["change", "via"], "left").join(F.broadcast(rest), "change")
+    weak = F.element_at(F.array(*map(F.lit, EVIDENCE)), F.col("rank") + 1)
+    unsure = F.col("rank") > 1
+    return out.select(
+        *listed.columns, F.when(unsure, "undetermined").otherwise(F.coalesce("v", "dv")).alias("verdict"),
+        F.when(unsure, F.concat(F.lit("check by hand: evidence is "), weak)).otherwise(F.coalesce("s", "ds")).alias("step"),
+    )
+
+
+def impact(edges: DataFrame | Adjacency, nodes: DataFrame, start: DataFrame, change: str, depth: int = 3) -> DataFrame:
     """Consumers of the start nodes with a verdict; evidence weaker than declared leaves it undetermined."""
     if change not in DEFAULTS:
         raise ValueError(f"unknown change {change}")
     reached = traverse(edges, start, depth, reverse=True).filter("depth > 0")
-    verdict = F.when(F.col("rank") > 1, "undetermined").when(F.col("via").isin(list(BREAKING.get(change, ()))), "breaking").otherwise(DEFAULTS[change])
-    return reached.join(nodes, "node_id").select("node_id", "kind", "fqn", "depth", "rank", "via", verdict.alias("verdict"))
+    one = reached.sparkSession.range(1).select(F.lit(change).alias("change"))
+    return judged(reached, one).join(nodes, "node_id").select("node_id", "kind", "fqn", "depth", "rank", "via", "verdict")
+
+
+def impact_lines(edges: DataFrame | Adjacency, nodes: DataFrame, start: DataFrame, change: str, depth: int = 3, most: int = MOST_NODES) -> DataFrame:
+    """The report as it is read: (place, verdict, depth, path, fqn, kind, node_id, via, evidence, step, truncated, caveat).
+
+    nodes: node_id, kind, fqn, path (null: none). place counts from 1 by verdict in ORDER, depth, path, fqn and node_id. The walk
+    takes in `most` nodes, so the report is numbered in one task whatever the graph's size; truncated says that there are more.
+    """
+    if change not in DEFAULTS:
+        raise ValueError(f"unknown change {change}")
+    found = walk(edges, start, depth, reverse=True, most=most)
+    one = start.sparkSession.range(1).select(F.lit(change).alias("change"))
+    rows = judged(found.reached.filter("depth > 0"), one).join(nodes.select("node_id", "kind", "fqn", F.coalesce("path", F.lit("")).alias("path")), "node_id")
+    order = Window.partitionBy(F.lit(0)).orderBy(F.array_position(F.array(*map(F.lit, ORDER)), F.col("verdict")), "depth", "path", "fqn", "node_id")
+    evidence = F.element_at(F.array(*map(F.lit, EVIDENCE)), F.col("rank") + 1)
+    return rows.select(F.row_number().over(order).cast("long").alias("place"), "verdict", "depth", "path", "fqn", "kind", "node_id", "via", evidence.alias("evidence"), "step", F.lit(found.truncated).alias("truncated"), F.lit(CAVEAT).alias("caveat"))
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 40, damping: float = 0.85) -> DataFrame:

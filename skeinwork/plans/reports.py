@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evalstats, graph, retrieval
 from ..sources import tables as T
+from ..sources.shared import Scratch
 from .catalog import query
 
 START = 2_000_000_000  # the first nation
@@ -85,7 +86,36 @@ def graph_traverse_kinds(spark, sf_dir):
 
 @query("graph_capped", f"WITH {T.GRAPH_SQL}, {_levels(3, True)} SELECT *, (SELECT count(*) FROM reached) > 25 AS truncated FROM reached ORDER BY depth, node_id LIMIT 25")
 def graph_capped(spark, sf_dir):
-    return graph.capped(graph.traverse(T.edges(spark, sf_dir), _start(spark), 3, reverse=True), 25)
+    """The walk itself stops at 25 nodes, over edges stored by both ends."""
+    stored = graph.Adjacency(spark, Scratch(spark, "adjacency").path, 16).write(T.edges(spark, sf_dir))
+    found = graph.walk(stored, _start(spark), 3, reverse=True, most=25)
+    return found.reached.withColumn("truncated", F.lit(found.truncated))
+
+
+_RULES = ", ".join(str(r) for r in graph.RULES)
+_DEFAULTS = ", ".join(str((c, *d)) for c, d in graph.DEFAULTS.items())
+_JUDGED = f"""WITH {T.GRAPH_SQL}, {_levels(3, True)}, named(change, via, v, s) AS (VALUES {_RULES}), rest(change, dv, ds) AS (VALUES {_DEFAULTS}),
+  judged AS (SELECT rest.change, r.node_id, n.kind, n.fqn, depth, rank, r.via, CASE WHEN rank > 1 THEN 'undetermined' ELSE coalesce(v, dv) END AS verdict,
+    CASE WHEN rank > 1 THEN 'check by hand: evidence is ' || ['resolved', 'declared', 'inferred', 'observed', 'unknown'][rank + 1] ELSE coalesce(s, ds) END AS step
+  FROM reached r JOIN nodes n ON r.node_id = n.node_id CROSS JOIN rest LEFT JOIN named ON named.change = rest.change AND named.via = r.via WHERE depth > 0) """
+
+
+@query("impact_changes", _JUDGED + "SELECT change, via, verdict, step, count(*) AS n FROM judged GROUP BY ALL")
+def impact_changes(spark, sf_dir):
+    """what each kind of change means for the consumers of one nation."""
+    reached = graph.traverse(T.edges(spark, sf_dir), _start(spark), 3, reverse=True).filter("depth > 0")
+    changes = spark.createDataFrame([(c,) for c in graph.DEFAULTS], "change string")
+    return graph.judged(reached, changes).groupBy("change", "via", "verdict", "step").agg(F.count("*").alias("n"))
+
+
+@query("impact_lines", _JUDGED + f""", m AS (SELECT * FROM judged WHERE change = 'route' QUALIFY row_number() OVER (ORDER BY depth, node_id) <= 399),
+  p AS (SELECT *, kind || '/' || node_id % 7 AS path FROM m)
+  SELECT row_number() OVER (ORDER BY list_position(['breaking', 'undetermined', 'compiles', 'compatible'], verdict), depth, path, fqn, node_id) AS place, verdict, depth, path, fqn, kind, node_id, via,
+    ['resolved', 'declared', 'inferred', 'observed', 'unknown'][rank + 1] AS evidence, step, (SELECT count(*) FROM reached) > 400 AS truncated, '{graph.CAVEAT}' AS caveat FROM p""")
+def impact_lines(spark, sf_dir):
+    """The report in the order in which it is read, of at most 400 nodes with the start."""
+    nodes = T.nodes(spark, sf_dir).withColumn("path", F.concat("kind", F.lit("/"), (F.col("node_id") % 7).cast("string")))
+    return graph.impact_lines(T.edges(spark, sf_dir), nodes, _start(spark), "route", most=400)
 
 
 @query("telemetry_daily", f"WITH {T.TELEMETRY_SQL} SELECT workspace_id, strftime(ts, '%Y-%m-%d') AS day, kind, name, CAST(sum(n) AS BIGINT) AS n, CAST(sum(duration_ms) AS BIGINT) AS total_ms FROM telemetry GROUP BY ALL")
