@@ -1,63 +1,16 @@
-"""Predicates over paths, rows and failures, as column expressions and equal-key joins."""
+"""Checks of rows and names: units, tenants, edges that are resolved, interfaces, ids, schemas and signatures."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .matching import prefixes
-
-#: What a failure's text is cleaned of before it is compared, in this order (fixed values).
-VOLATILE = (r"0x[0-9a-fA-F]+", r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?Z?", r"\b\d+(?:\.\d+)?(?:ns|us|ms|s|m|h)\b", r"goroutine \d+", r"/tmp/[^\s:]+")
-#: Signs in lower-case text that the surroundings failed, not the code (fixed values).
-SURROUNDINGS = ("no space left on device", "connection refused", "no such host", "permission denied", "timed out", "out of memory")
-#: Languages by file extension (fixed values).
-LANGUAGES = {"go": "go", "py": "python", "js": "javascript", "ts": "typescript", "sql": "sql", "md": "markdown", "yaml": "yaml", "yml": "yaml", "json": "json", "html": "html"}
-
-
-def sensitive(path: Column) -> Column:
-    """Whether a segment begins with .env, ends in .pem or .key or has credentials in it, or the path lies under .agent/secrets; in any case."""
-    low = F.lower(path)
-    return F.exists(F.split(low, "/"), lambda s: s.startswith(".env") | s.endswith(".pem") | s.endswith(".key") | s.contains("credentials")) | (low == ".agent/secrets") | low.startswith(".agent/secrets/")
-
-
-def ignored(path: Column) -> Column:
-    """Whether a path is of an editor's or version control's temporary files."""
-    name = F.substring_index(path, "/", -1)
-    return name.endswith("~") | name.endswith(".swp") | name.endswith(".tmp") | name.startswith(".#") | F.exists(F.split(path, "/"), lambda s: s.isin(".git", "node_modules", "vendor"))
-
-
-def language(path: Column) -> Column:
-    """Language by extension; Dockerfile and Makefile by name; else empty."""
-    name = F.substring_index(path, "/", -1)
-    known = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
-    by_name = F.when(name == "Dockerfile", "dockerfile").when(name == "Makefile", "make")
-    return F.coalesce(by_name, F.when(name.contains("."), F.element_at(known, F.lower(F.substring_index(name, ".", -1)))), F.lit(""))
-
 
 def seconds(value: Column) -> Column:
     """Epoch seconds of a value that may be in milliseconds: those are 1e11 or more."""
     return F.when(value >= 100_000_000_000, F.floor(value / 1000)).otherwise(value).cast("long")
 
 
-def out_of_scope(changed: DataFrame, scopes: DataFrame) -> DataFrame:
-    """(task, path) of changed files that no scope of the task covers; a task without any scope has none.
-
-    changed: task, path. scopes: task, pattern: a path, a directory, or one of those with `/**`. A path is listed with each
-    directory above it and meets the patterns by equal key. Other globs are not expanded here.
-    """
-    wanted = scopes.select(F.col("task").alias("t"), F.regexp_replace("pattern", r"/\*\*$", "").alias("pattern")).distinct()
-    scoped = changed.select("task", "path").distinct().join(wanted.select(F.col("t").alias("task")).distinct(), "task", "left_semi")
-    covered = scoped.select("task", "path", F.explode(prefixes(F.col("path"))).alias("p")).join(wanted, (F.col("task") == F.col("t")) & (F.col("p") == F.col("pattern")), "left_semi").select("task", "path").distinct()
-    return scoped.join(covered, ["task", "path"], "left_anti")
-
-
-def violations(changed: DataFrame, rules: DataFrame) -> DataFrame:
-    """(path, rule): changed paths that lie at or under a rule's pattern. rules: rule, pattern."""
-    above = changed.select("path").distinct().select("path", F.explode(prefixes(F.col("path"))).alias("p"))
-    return above.join(rules.select("rule", F.regexp_replace("pattern", r"/\*\*$", "").alias("pattern")), F.col("p") == F.col("pattern")).select("path", "rule").distinct()
-
-
 def guarded(rows: DataFrame, workspace: Column, required: list[str]) -> DataFrame:
     """rows with reason: `foreign` of another workspace, `invalid` where a required field is null or empty, else null. Nothing is dropped."""
     bad = F.lit(False)
@@ -66,33 +19,6 @@ def guarded(rows: DataFrame, workspace: Column, required: list[str]) -> DataFram
     return rows.withColumn("reason", F.when(~F.col("workspace_id").eqNullSafe(workspace), "foreign").when(bad, "invalid"))
 
 
-def normalised(text: Column) -> Column:
-    """Failure text without addresses, times, durations, goroutine numbers and temporary paths, blank runs as one space."""
-    for pattern in VOLATILE:
-        text = F.regexp_replace(text, pattern, "<volatile>")
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
-
-
-def fingerprint(recipe: Column, text: Column) -> Column:
-    return F.sha2(F.concat_ws("\u0000", recipe, normalised(text)), 256)
-
-
-def failure_class(failures: DataFrame, baseline: DataFrame) -> DataFrame:
-    """(failure_id, print, class): NEW, then SAME if the print came before, REGRESSION if the test passed in the baseline, ENVIRONMENTAL by its text; a later rule wins.
-
-    failures: failure_id (in order), recipe, test, text. baseline: recipe, test, passed.
-    """
-    known = baseline.filter("passed").select("recipe", "test").distinct().withColumn("passed", F.lit(True))
-    printed = failures.withColumn("print", fingerprint(F.col("recipe"), F.col("text")))
-    first = printed.groupBy("print").agg(F.min("failure_id").alias("first"))
-    low = F.lower("text")
-    around = F.lit(False)
-    for sign in SURROUNDINGS:
-        around = around | low.contains(sign)
-    verdict = F.when(around, "ENVIRONMENTAL").when(F.col("passed"), "REGRESSION").when(F.col("failure_id") > F.col("first"), "SAME").otherwise("NEW")
-    return printed.join(known, ["recipe", "test"], "left").join(first, "print").select("failure_id", "print", verdict.alias("class"))
-
-
 def resolved_edges(pending: DataFrame, nodes: DataFrame) -> DataFrame:
     """(src, dst, evidence): pending edges by (kind, fqn) at both ends as ids; unresolved ones go, blank evidence is unknown."""
     ids = nodes.select("node_id", "kind", "fqn")
@@ -122,62 +48,16 @@ def match_query(text: Column) -> Column:
     return F.array_join(F.transform(terms, lambda t: F.concat(F.lit('"'), t, F.lit('"'))), " OR ")
 
 
-def clean_path(path: Column) -> Column:
-    """The path trimmed, without empty and `.` parts, and with `..` taken up; empty stays empty, `.` is what nothing is left of."""
-    raw = F.trim(path)
-    rooted = raw.startswith("/")
-    parts = F.filter(F.split(raw, "/", -1), lambda p: (p != "") & (p != "."))
-    up = lambda out, p: F.when((p == "..") & (F.size(out) > 0) & (F.coalesce(F.element_at(out, -1), F.lit("")) != ".."), F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).when((p == "..") & rooted, out).otherwise(F.concat(out, F.array(p)))
-    joined = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), up), "/")
-    return F.when(raw == "", "").when(rooted, F.concat(F.lit("/"), joined)).when(joined == "", ".").otherwise(joined)
+def uvarint(n: Column) -> Column:
+    """A number, under 2^35, as bytes of seven bits each, the lowest first; all but the last have their top bit set."""
+    digits = [F.when(n >= 1 << 7 * k, F.lpad(F.hex(F.shiftrightunsigned(n.cast("long"), 7 * k).bitwiseAND(127) + F.when(n >= 1 << 7 * (k + 1), 128).otherwise(0)), 2, "0")).otherwise("") for k in range(1, 5)]
+    first = F.lpad(F.hex(n.cast("long").bitwiseAND(127) + F.when(n >= 128, 128).otherwise(0)), 2, "0")
+    return F.unhex(F.concat(first, *digits))
 
 
 def derived_id(*parts: Column) -> Column:
-    """sha256 of the parts, each after its length in bytes, so no two lists of parts are the same text. Parts under 128 bytes."""
-    return F.sha2(F.concat(*[F.concat(F.unhex(F.lpad(F.hex(F.octet_length(p)), 2, "0")), F.encode(p, "utf-8")) for p in parts]), 256)
-
-
-_VERBS = ("SELECT", "INSERT", "UPDATE", "DELETE", "WITH")  # fixed values
-
-
-def sql_verb(text: Column) -> Column:
-    """The verb that the text begins with after comments and space, upper case; null where it does not look like SQL."""
-    bare = F.regexp_replace(text, r"^(?:\s+|--[^\n]*(?:\n|$)|/\*(?s:.*?)\*/)+", "")
-    return F.nullif(F.upper(F.regexp_extract(bare, f"^(?i)({'|'.join(_VERBS)}) ", 1)), F.lit(""))
-
-
-def sql_tables(text: Column) -> Column:
-    """Distinct names after FROM, JOIN, INTO and UPDATE, sorted; empty where the text does not look like SQL."""
-    names = F.regexp_extract_all(text, F.lit(r"(?i)\b(?:FROM|JOIN|INTO|UPDATE)\s+([a-zA-Z_][a-zA-Z0-9_]*(?:\.[a-zA-Z_][a-zA-Z0-9_]*)?)"), F.lit(1))
-    return F.when(sql_verb(text).isNotNull(), F.array_sort(F.array_distinct(names))).otherwise(F.array().cast("array<string>"))
-
-
-def diagnostics(lines: DataFrame) -> DataFrame:
-    """(log, file, line, col, message): distinct compiler findings of lines (log, line_no, text); col is 0 where it has none."""
-    form = r"^(\S+?\.go):(\d+)(?::(\d+))?:\s+(.*)$"
-    part = lambda i: F.regexp_extract(F.trim("text"), form, i)
-    found = lines.filter(F.trim("text").rlike(form))
-    return found.select("log", part(1).alias("file"), part(2).cast("long").alias("line"), F.coalesce(F.expr("try_cast(nullif(" + f"regexp_extract(trim(text), r'{form}', 3), '') as long)"), F.lit(0)).alias("col"), part(4).alias("message")).distinct()
-
-
-def failed_tests(lines: DataFrame) -> DataFrame:
-    """(log, test, file, line): every failed test of lines (log, line_no, text) with the first place named after it, null if none.
-
-    A place belongs to the failed test last named before it in the log. A log is ordered in one task; a line is a short row there.
-    """
-    name, place = r"^\s*--- FAIL: (\S+)", r"^\s+(\S+?\.go):(\d+):"
-    order = Window.partitionBy("log").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    said = F.when(F.col("text").rlike(name), F.struct("line_no", F.regexp_extract("text", name, 1).alias("test")))
-    tagged = lines.filter(F.col("text").rlike(name) | F.col("text").rlike(place)).withColumn("now", F.last(said, ignorenulls=True).over(order)).filter("now is not null")
-    at = F.when(F.col("text").rlike(place), F.struct("line_no", F.regexp_extract("text", place, 1).alias("file"), F.regexp_extract("text", place, 2).cast("long").alias("line")))
-    return tagged.groupBy("log", "now").agg(F.min(at).alias("at")).select("log", "now.test", "at.file", "at.line")
-
-
-def event_statuses(lines: DataFrame) -> DataFrame:
-    """(log, test, status): the last pass, fail or skip of each test in JSON lines (log, line_no, text); other lines are left out."""
-    e = F.from_json("text", "Action string, Package string, Test string")
-    rows = lines.select("log", "line_no", e.alias("e")).filter("e.Test <> '' and e.Action in ('pass', 'fail', 'skip')")
-    return rows.groupBy("log", F.concat("e.Package", F.lit("/"), "e.Test").alias("test")).agg(F.max_by("e.Action", "line_no").alias("status"))
+    """sha256 of the parts, each after its length in bytes as uvarint(), so no two lists of parts are the same bytes."""
+    return F.sha2(F.concat(*[F.concat(uvarint(F.octet_length(p)), F.encode(p, "utf-8")) for p in parts]), 256)
 
 
 def schema_after(statements: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checks import uvarint
+
 #: Results from best to worst (fixed values).
 RESULT_RANK = ("pass", "skipped", "error", "fail")
 
@@ -61,11 +63,6 @@ def passing_kinds(results: DataFrame) -> DataFrame:
     return results.groupBy("subject").agg(F.countDistinct(F.when(F.col("status") == "pass", F.col("kind"))).alias("passing"))
 
 
-def regressions(now: DataFrame, baseline: DataFrame) -> DataFrame:
-    """(recipe, test) that fail now and pass in the baseline of the same recipe. Both: recipe, test, passed."""
-    return now.filter("not passed").select("recipe", "test").distinct().join(baseline.filter("passed"), ["recipe", "test"], "left_semi")
-
-
 def flaky(first: DataFrame, again: DataFrame) -> DataFrame:
     """(run, test, class): failures of the first run; FLAKY where a re-run of the run has no failure at all, else FAILED.
 
@@ -122,14 +119,30 @@ def insert_missing(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def manifest(files: DataFrame) -> DataFrame:
-    """(tree, digest): SHA-256 of each tree's `path NUL hash NUL` lines in order of path. files: tree, path, hash.
+    """(tree, digest): SHA-256 over each tree's paths and hashes in order of path, each after its length in bytes. files: tree, path, hash.
 
-    Paths are hashed in two levels, so no task holds a tree's lines: first by the first two hex digits of the path's own hash.
+    One digest of an ordered stream cannot be put together from parts. Trees are dealt to partitions and sorted there, with what
+    does not fit on disk; a task holds one batch and the digest so far, however large a tree is. Null trees are left out.
     """
-    part = F.substring(F.sha2("path", 256), 1, 2)
-    line = F.concat("path", F.lit("\u0000"), "hash", F.lit("\u0000"))
-    parts = files.groupBy("tree", part.alias("part")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", line.alias("line")))), lambda x: x["line"]), ""), 256).alias("h"))
-    return parts.groupBy("tree").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "h"))), lambda x: F.concat(x["part"], x["h"])), ""), 256).alias("digest"))
+    import pandas as pd
+
+    def run(batches):
+        from hashlib import sha256
+
+        tree, digest = None, None
+        for batch in batches:
+            for t, data in zip(batch["tree"], batch["data"]):
+                if t != tree:
+                    if tree is not None:
+                        yield pd.DataFrame({"tree": [tree], "digest": [digest.hexdigest()]})
+                    tree, digest = t, sha256()
+                digest.update(data)
+        if tree is not None:
+            yield pd.DataFrame({"tree": [tree], "digest": [digest.hexdigest()]})
+
+    data = F.concat(*[x for c in ("path", "hash") for x in (uvarint(F.octet_length(c)), F.encode(c, "utf-8"))])
+    rows = files.filter("tree is not null").select(F.col("tree").cast("string").alias("tree"), "path", data.alias("data"))
+    return rows.repartition("tree").sortWithinPartitions("tree", "path").select("tree", "data").mapInPandas(run, "tree string, digest string")
 
 
 def graded(outcomes: DataFrame, tests: DataFrame) -> DataFrame:
@@ -220,7 +233,7 @@ LEASE_SECONDS = 60
 def lease_log(requests: DataFrame, ttl: int = LEASE_SECONDS) -> DataFrame:
     """(worktree, seq, granted, holder, expires): each request's outcome and the lease after it; holder and expires null where none.
 
-    requests: worktree, seq, at (seconds), who, op (acquire, renew or release); null worktrees are left out. An acquire fails while
+    requests: worktree, seq, at (seconds), who, op (acquire, renew or release); null worktrees are left out, and a null who is refused. An acquire fails while
     another holds a lease that has not ended; the holder re-enters. Renewing and releasing is for the holder alone, ended or not;
     a release without a lease is granted nothing. Each request depends on the ones before it, so worktrees are dealt to
     partitions and read in order, a batch at a time.
@@ -234,7 +247,7 @@ def lease_log(requests: DataFrame, ttl: int = LEASE_SECONDS) -> DataFrame:
             for w, seq, at, who, op in batch.itertuples(index=False):
                 if w != tree:
                     tree, holder, ends = w, None, None
-                ok = holder == who if op != "acquire" else holder in (None, who) or ends <= at
+                ok = who is not None and (holder == who if op != "acquire" else holder in (None, who) or ends <= at)
                 if ok:
                     holder, ends = (None, None) if op == "release" else (who, at + ttl)
                 out.append((w, seq, ok, holder, ends))

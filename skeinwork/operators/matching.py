@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .paths import prefixes
+
 
 def innermost_span(points: DataFrame, spans: DataFrame, width: int = 64) -> DataFrame:
     """(point_id, span_id): the shortest span of the point's file that holds its line, the smallest span_id of equals.
@@ -21,12 +23,6 @@ def innermost_span(points: DataFrame, spans: DataFrame, width: int = 64) -> Data
     return points.join(listed, inside, "left").groupBy("point_id").agg(best["span_id"].alias("span_id"))
 
 
-def prefixes(path: Column) -> Column:
-    """The path and each directory above it."""
-    parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-
-
 def longest_prefix(paths: DataFrame, roots: DataFrame) -> DataFrame:
     """(path, root): the longest root that is the path or a directory above it; null where none is."""
     above = paths.select("path").distinct().select("path", F.explode(prefixes(F.col("path"))).alias("prefix"))

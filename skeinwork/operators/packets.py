@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .checks import sensitive
+from .paths import sensitive
 
 #: Where items come from, in the order in which a packet is filled (fixed values).
 ORIGINS = ("project_note", "note", "impact", "anchor", "explicit", "graph")

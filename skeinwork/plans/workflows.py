@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import checks, journal
+from ..operators import checks, failures, journal, paths
 from ..sources import tables as T
 from .catalog import query
 
@@ -55,8 +55,7 @@ _STEPS = """l_orderkey AS plan, CAST(row_number() OVER (PARTITION BY l_orderkey
   SELECT plan, step, fault FROM (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY step, fault) AS k FROM f WHERE fault IS NOT NULL) WHERE k = 1""")
 def plan_faults(spark, sf_dir):
     """L3: the first fault of each plan."""
-    T.table(spark, sf_dir, "lineitem").createOrReplaceTempView("plan_lines")
-    steps = spark.sql(f"SELECT {_STEPS} FROM plan_lines")
+    steps = _from(spark, sf_dir, "lineitem", _STEPS)
     scope = F.when(F.col("reach") == "none", F.array().cast("array<string>")).when(F.col("reach") == "up", F.array(F.lit("pkg"), F.lit("../other"))).otherwise(F.array(F.lit("pkg")))
     return journal.plan_faults(steps.select("plan", "step", "title", scope.alias("scope"), "verification", F.when(F.col("dep") == 0, F.array().cast("array<int>")).otherwise(F.array("dep")).alias("depends_on")))
 
@@ -83,8 +82,7 @@ _REQUESTS = "CAST(user_id AS STRING) AS worktree, CAST(row_number() OVER (PARTIT
   SELECT * FROM l WHERE seq > 0""")
 def lease_log(spark, sf_dir):
     """Every request's outcome, each judged by the lease that the ones before it left."""
-    T.table(spark, sf_dir, "events").createOrReplaceTempView("lease_events")
-    return journal.lease_log(spark.sql(f"SELECT {_REQUESTS}, unix_timestamp(ts) AS at FROM lease_events"), ttl=40_000)
+    return journal.lease_log(_from(spark, sf_dir, "events", f"{_REQUESTS}, unix_timestamp(ts) AS at"), ttl=40_000)
 
 
 _OPS = """o_custkey AS task, o_orderkey AS seq, CASE o_orderkey % 4 WHEN 0 THEN 'edit' WHEN 1 THEN 'inspect_file' WHEN 2 THEN 'decision' ELSE 'recipe_run' END AS kind, CASE WHEN o_orderstatus <> 'P' THEN 'ok' END AS outcome,
@@ -98,8 +96,8 @@ _OPEN_SQL = f"""ops AS (SELECT {_OPS} FROM orders), files AS (SELECT {_FILES} FR
 
 
 def _from(spark, sf_dir, name, columns):
-    T.table(spark, sf_dir, name).createOrReplaceTempView(f"recovery_{name}")
-    return spark.sql(f"SELECT {columns} FROM recovery_{name}")
+    """A select list over a table; the table is an argument, so no view is left in the caller's session."""
+    return spark.sql(f"SELECT {columns} FROM {{rows}}", rows=T.table(spark, sf_dir, name))
 
 
 @query("open_operations", f"WITH {_OPEN_SQL} SELECT * FROM opened")
@@ -155,20 +153,20 @@ def refreshed(spark, sf_dir):
 def clean_paths(spark, sf_dir):
     """F8: four spellings of paths."""
     spelt = [F.concat(F.lit(" ./src//x/../"), "p_brand", F.lit("/./"), "p_size", F.lit("/ ")), F.concat(F.lit("/../"), "p_brand", F.lit("/")), F.concat(F.lit("a/../../"), "p_brand"), F.concat("p_brand", F.lit("/.."))]
-    return T.table(spark, sf_dir, "part").select("p_partkey", *[checks.clean_path(s).alias(n) for s, n in zip(spelt, "abcd")])
+    return T.table(spark, sf_dir, "part").select("p_partkey", *[paths.clean_path(s).alias(n) for s, n in zip(spelt, "abcd")])
 
 
-@query("derived_ids", "SELECT n_nationkey, sha256(chr(2) || 'v1' || chr(length(n_name)::INT) || n_name || chr(length(n_regionkey::VARCHAR)::INT) || n_regionkey) AS id FROM nation")
+@query("derived_ids", "SELECT n_nationkey, sha256(unhex('02' || hex('v1') || CASE WHEN strlen(n) < 128 THEN printf('%02x', strlen(n)) ELSE printf('%02x%02x', strlen(n) % 128 + 128, strlen(n) // 128) END || hex(n) || '01' || hex(n_regionkey::VARCHAR))) AS id FROM (SELECT *, repeat(n_name, CAST(n_nationkey * 3 + 1 AS INTEGER)) AS n FROM nation)")
 def derived_ids(spark, sf_dir):
     """ids over parts, each after its length."""
-    return T.table(spark, sf_dir, "nation").select("n_nationkey", checks.derived_id(F.lit("v1"), F.col("n_name"), F.col("n_regionkey").cast("string")).alias("id"))
+    return T.table(spark, sf_dir, "nation").select("n_nationkey", checks.derived_id(F.lit("v1"), F.repeat("n_name", F.col("n_nationkey").cast("int") * 3 + 1), F.col("n_regionkey").cast("string")).alias("id"))
 
 
 @query("sql_tables", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'SELECT' WHEN 1 THEN 'UPDATE' END AS verb, CASE p_partkey % 3 WHEN 0 THEN 's.t' || p_size || ',u' WHEN 1 THEN 't' || p_size ELSE '' END AS tables FROM part")
 def sql_tables(spark, sf_dir):
     """verbs and table names of texts that look like SQL."""
     text = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("-- name: Get :one\n /* a\nb */ select x from s.t"), "p_size", F.lit(" join u on true join u on true"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("update t"), "p_size", F.lit(" set a = 1"))).otherwise(F.concat(F.lit("taken from t"), "p_size"))
-    return T.table(spark, sf_dir, "part").select("p_partkey", checks.sql_verb(text).alias("verb"), F.array_join(checks.sql_tables(text), ",").alias("tables"))
+    return T.table(spark, sf_dir, "part").select("p_partkey", failures.sql_verb(text).alias("verb"), F.array_join(failures.sql_tables(text), ",").alias("tables"))
 
 
 def _log(spark, sf_dir):
@@ -188,14 +186,14 @@ def _log(spark, sf_dir):
   SELECT user_id AS log, 'Test' || max(event_id) FILTER (WHERE event_type = 'error') AS test, 'f' || (arg_min(event_id, line_no) FILTER (WHERE event_type = 'click')) % 7 || '_test.go' AS file, arg_min(event_id, line_no) FILTER (WHERE event_type = 'click') AS line FROM n WHERE now IS NOT NULL GROUP BY user_id, now""")
 def failed_tests(spark, sf_dir):
     """Failed tests with the first place named after each."""
-    return checks.failed_tests(_log(spark, sf_dir))
+    return failures.failed_tests(_log(spark, sf_dir))
 
 
 @query("diagnostics", """SELECT DISTINCT user_id AS log, 'f' || event_id % 3 || '.go' AS file, event_id % 4 AS line, CASE WHEN event_id % 2 = 0 THEN 9 ELSE 0 END::BIGINT AS col, 'no such name' AS message FROM events WHERE event_type = 'view'
   UNION SELECT user_id, 'f' || event_id % 7 || '_test.go', event_id, 0, 'got 1' FROM events WHERE event_type = 'click'""")
 def diagnostics(spark, sf_dir):
     """distinct compiler findings."""
-    return checks.diagnostics(_log(spark, sf_dir))
+    return failures.diagnostics(_log(spark, sf_dir))
 
 
 @query("event_statuses", "SELECT user_id AS log, 'pkg/T' || CAST(value AS BIGINT) % 10 AS test, arg_max(CASE event_type WHEN 'click' THEN 'pass' WHEN 'error' THEN 'fail' ELSE 'skip' END, event_id) AS status FROM (SELECT * REPLACE (floor(value) AS value) FROM events) WHERE event_type IN ('click', 'error', 'signup') GROUP BY ALL")
@@ -203,7 +201,7 @@ def event_statuses(spark, sf_dir):
     """the last status of each test in JSON lines, among lines that are not JSON or other actions."""
     action = F.expr("CASE event_type WHEN 'click' THEN 'pass' WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'skip' ELSE 'run' END")
     text = F.when(F.col("event_type") == "view", "not json").otherwise(F.to_json(F.struct(action.alias("Action"), F.lit("pkg").alias("Package"), F.concat(F.lit("T"), F.floor("value").cast("long") % 10).alias("Test"))))
-    return checks.event_statuses(T.table(spark, sf_dir, "events").select(F.col("user_id").alias("log"), F.col("event_id").alias("line_no"), text.alias("text")))
+    return failures.event_statuses(T.table(spark, sf_dir, "events").select(F.col("user_id").alias("log"), F.col("event_id").alias("line_no"), text.alias("text")))
 
 
 _DDL = "CAST(o_orderdate AS DATE) AS file, o_orderkey AS stmt, CASE WHEN o_orderkey % 19 = 0 THEN 'drop_table' WHEN o_orderkey % 3 = 0 THEN 'create_table' ELSE 'alter_table' END AS kind, 'T' || o_custkey % 40 AS name, CASE WHEN o_orderkey % 19 > 0 THEN 'Col' || o_orderkey % 6 END AS col, o_orderpriority AS type, o_orderkey % 4 = 1 AND o_orderkey % 3 > 0 AS dropped"
