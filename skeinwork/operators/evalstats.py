@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import Scratch
+
 Z = 1.96
 
 
@@ -29,30 +31,41 @@ def confusion(outcomes: DataFrame, *by: str) -> DataFrame:
     return outcomes.groupBy(*by).agg(F.count_if(c & s).alias("tp"), F.count_if(c & ~s).alias("fp"), F.count_if(~c & ~s).alias("tn"), F.count_if(~c & s).alias("fn"))
 
 
-def mcnemar(outcomes: DataFrame, base: str, variant: str) -> DataFrame:
-    """Discordant pairs of two arms by (task_id, repetition), and the exact two-sided p."""
-    a = outcomes.filter(F.col("arm") == base).select("task_id", "repetition", F.col("solved").alias("sa"))
-    b = outcomes.filter(F.col("arm") == variant).select("task_id", "repetition", F.col("solved").alias("sb"))
-    n = a.join(b, ["task_id", "repetition"]).agg(F.count_if(F.col("sb") & ~F.col("sa")).alias("won"), F.count_if(F.col("sa") & ~F.col("sb")).alias("lost"))
+def mcnemar(pairs: DataFrame) -> DataFrame:
+    """(won, lost, p): discordant pairs (base, variant: booleans) and the exact two-sided p."""
+    n = pairs.agg(F.count_if(F.col("variant") & ~F.col("base")).alias("won"), F.count_if(F.col("base") & ~F.col("variant")).alias("lost"))
     return n.select("won", "lost", F.round(exact_p(F.col("won"), F.col("lost")), 8).alias("p"))
 
 
+def positions(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with j, their place from 0 by the order columns, which are unique: dealt out by ranges, numbered in each, and moved on by what lies before.
+
+    Only how many rows each range has is looked at together.
+    """
+    ranged = Scratch(rows.sparkSession, "positions").write(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return ranged.withColumn("_k", within).join(before, "_part").withColumn("j", (F.col("_k") + F.col("_before")).cast("long")).drop("_part", "_k", "_before")
+
+
 def paired_bootstrap(deltas: DataFrame, pick: str, resamples: int = 10_000) -> DataFrame:
-    """One row (pairs, mean, low, high): the mean delta and the bounds of its bootstrap; nulls where there is no pair.
+    """One row (pairs, mean, low, high): the mean delta and the bounds of its bootstrap; nulls where there is no pair, the mean where there is one.
 
-    deltas: task_id, delta, one row a task. `pick` is an expression over b (the resample), j (the draw) and n (the pairs) that
-    gives the position drawn. Positions follow task_id. `resamples` bounds what is gathered for the bounds; draws are dealt out.
-    Tasks are numbered in one partition, one short row each: their number is that of an evaluation set, not of a corpus.
+    deltas: task_id, repetition, delta, one row a pair. `pick` is an expression over b (the resample), j (the draw) and n (the pairs)
+    that gives the position drawn. Positions follow task_id and repetition. `resamples` bounds what is gathered for the bounds;
+    draws are dealt out.
     """
-    order = Window.orderBy("task_id")
-    placed = deltas.filter("delta is not null").select("delta", (F.row_number().over(order) - 1).cast("long").alias("j"), F.count("*").over(Window.partitionBy()).alias("n"))
+    found = positions(deltas.filter("delta is not null").select("task_id", "repetition", "delta"), "task_id", "repetition")
+    totals = found.agg(F.count("*").alias("pairs"), F.avg("delta").alias("mean"))
+    placed = found.select("j", "delta").withColumn("n", totals.select("pairs").scalar())
     drawn = placed.select("j", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("b")).select("b", F.expr(pick).alias("k"))
     means = drawn.join(placed.select(F.col("j").alias("k"), "delta"), "k").groupBy("b").agg(F.avg("delta").alias("mean"))
     bounds = means.agg(F.sort_array(F.collect_list("mean")).alias("s"))
     low, high = int(0.025 * resamples) + 1, int(0.975 * resamples)
-    all_pairs = placed.agg(F.count("*").alias("pairs"), F.round(F.avg("delta"), 8).alias("mean"))
-    reach = lambda i: F.when(F.size("s") > 0, F.round(F.get("s", F.lit(i - 1)), 8))
-    return bounds.select(*(all_pairs.select(c).scalar().alias(c) for c in ("pairs", "mean")), reach(low).alias("low"), reach(high).alias("high"))
+    pairs, mean = totals.select("pairs").scalar(), F.round(totals.select("mean").scalar(), 8)
+    reach = lambda i: F.when(F.col("pairs") < 2, F.col("mean")).otherwise(F.round(F.get("s", F.lit(i - 1)), 8))
+    return bounds.select(pairs.alias("pairs"), mean.alias("mean"), "s").select("pairs", "mean", reach(low).alias("low"), reach(high).alias("high"))
 
 
 #: Verdicts on an interval, the width below which no difference is material, and what each verdict means for a component (fixed values).

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import evalstats, matching, packing
+from ..operators import evalstats, matching, packing, results
 from ..sources import tables as T
 from .catalog import query
 
@@ -169,14 +169,18 @@ def lease_state(spark, sf_dir):
     return last.withColumn("live", F.col("holder") + 60 > 1000)
 
 
-@query("phase_violations", """WITH x AS (SELECT conv_id AS task_id, turn AS seq, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before, role AS phase FROM conversations)
-  SELECT * FROM x WHERE (before IS NULL AND phase <> 'user') OR (before IS NOT NULL AND (before, phase) NOT IN (('system', 'user'), ('user', 'assistant'), ('assistant', 'user')))""")
+_PHASE = ", ".join(f"'{p}'" for p in results.PHASES)
+_AFTER = ", ".join(str((a, b)) for a, after in results.TRANSITIONS.items() for b in (a, *after))
+
+
+@query("phase_violations", f"""WITH e AS (SELECT user_id AS task, event_id AS seq, ([{_PHASE}])[1 + CASE WHEN event_id % 7 < 4 THEN least(7, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)) ELSE event_id % 8 END] AS phase FROM events),
+  x AS (SELECT task, seq, lag(phase) OVER (PARTITION BY task ORDER BY seq) AS before, phase FROM e) SELECT * FROM x WHERE (before IS NULL AND phase <> 'INTAKE') OR (before IS NOT NULL AND (before, phase) NOT IN ({_AFTER}))""")
 def phase_violations(spark, sf_dir):
-    """Steps of a journal that its transitions do not allow; a journal starts with the user."""
-    before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
-    allowed = spark.createDataFrame([("system", "user"), ("user", "assistant"), ("assistant", "user"), ("", "user")], "a string, b string")
-    steps = T.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("task_id"), F.col("turn").alias("seq"), before.alias("before"), F.col("role").alias("phase"))
-    return steps.join(allowed, (F.coalesce("before", F.lit("")) == F.col("a")) & (F.col("phase") == F.col("b")), "left_anti")
+    """L2: steps between the eight phases that may not follow."""
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    at = F.when(F.col("event_id") % 7 < 4, F.least(F.lit(7), k)).otherwise(F.col("event_id") % 8)
+    steps = T.table(spark, sf_dir, "events").select(F.col("user_id").alias("task"), F.col("event_id").alias("seq"), F.get(F.array(*map(F.lit, results.PHASES)), at.cast("int")).alias("phase"))
+    return results.phase_faults(steps)
 
 
 def _pick(b: str, j: str, n: str) -> str:
@@ -184,10 +188,11 @@ def _pick(b: str, j: str, n: str) -> str:
     return f"(({b} * 1000003 + {j} * 7919 + 12345) % 2147483647 * 48271 % 2147483647 * 69621 % 2147483647) % {n}"
 
 
-@query("paired_bootstrap", f"""WITH {T.OUTCOMES_SQL}, r AS (SELECT task_id, avg(CASE WHEN solved THEN 1.0 ELSE 0.0 END) FILTER (WHERE arm = 'en') - avg(CASE WHEN solved THEN 1.0 ELSE 0.0 END) FILTER (WHERE arm = 'de') AS delta FROM outcomes GROUP BY task_id),
-  p AS (SELECT delta, row_number() OVER (ORDER BY task_id) - 1 AS j, count(*) OVER () AS n FROM r WHERE delta IS NOT NULL), d AS (SELECT b, {_pick('b', 'p.j', 'n')} AS k FROM p, range(0, 10000) t(b)),
+@query("paired_bootstrap", f"""WITH {T.RUNS_SQL}, g AS (SELECT task_id, repetition, arg_max(score, doc_id) FILTER (arm = 'en') AS en, arg_max(score, doc_id) FILTER (arm = 'de') AS de FROM runs WHERE error IS NULL AND score IS NOT NULL GROUP BY ALL),
+  p AS (SELECT en - de AS delta, row_number() OVER (ORDER BY task_id, repetition) - 1 AS j, count(*) OVER () AS n FROM g WHERE en IS NOT NULL AND de IS NOT NULL), d AS (SELECT b, {_pick('b', 'p.j', 'n')} AS k FROM p, range(0, 10000) t(b)),
   m AS (SELECT b, avg(delta) AS mean FROM d JOIN p ON k = p.j GROUP BY b), s AS (SELECT list_sort(list(mean)) AS s FROM m)
   SELECT (SELECT count(*) FROM p) AS pairs, round((SELECT avg(delta) FROM p), 8) AS mean, round(s[251], 8) AS low, round(s[9750], 8) AS high FROM s""")
 def paired_bootstrap(spark, sf_dir):
-    tasks = T.outcomes(spark, sf_dir).groupBy("task_id").agg(*(F.avg(F.when(F.col("arm") == a, F.col("solved").cast("double"))).alias(a) for a in ("en", "de")))
-    return evalstats.paired_bootstrap(tasks.select("task_id", (F.col("en") - F.col("de")).alias("delta")), _pick("b", "j", "n"))
+    """Graded runs that did not err, by task and repetition, the last of each arm."""
+    both = results.pairs(T.runs(spark, sf_dir), "de", "en", F.col("score"), "doc_id")
+    return evalstats.paired_bootstrap(both.select("task_id", "repetition", (F.col("variant") - F.col("base")).alias("delta")), _pick("b", "j", "n"))

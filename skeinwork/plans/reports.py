@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import evalstats, graph, retrieval
+from ..operators import evalstats, graph, results, retrieval
 from ..sources import tables as T
 from ..sources.shared import Scratch
 from .catalog import query
@@ -155,10 +155,45 @@ def confusion(spark, sf_dir):
     return evalstats.confusion(T.outcomes(spark, sf_dir), "arm")
 
 
-@query("mcnemar", f"""WITH {T.OUTCOMES_SQL}, n AS (SELECT count_if(b.solved AND NOT a.solved)::BIGINT AS won, count_if(a.solved AND NOT b.solved)::BIGINT AS lost FROM outcomes a JOIN outcomes b ON a.task_id = b.task_id AND a.repetition = b.repetition WHERE a.arm = 'en' AND b.arm = 'de')
+@query("mcnemar", f"""WITH {T.RUNS_SQL}, g AS (SELECT task_id, repetition, arg_max(solved, doc_id) FILTER (arm = 'en') AS a, arg_max(solved, doc_id) FILTER (arm = 'de') AS b FROM runs WHERE error IS NULL GROUP BY ALL),
+  n AS (SELECT count_if(b AND NOT a)::BIGINT AS won, count_if(a AND NOT b)::BIGINT AS lost FROM g WHERE a IS NOT NULL AND b IS NOT NULL)
   SELECT won, lost, round(CASE WHEN won + lost = 0 THEN 1.0 ELSE least(1.0, (SELECT 2 * sum(exp(lgamma(won + lost + 1.0) - lgamma(i + 1.0) - lgamma(won + lost - i + 1.0) - (won + lost) * ln(2.0))) FROM range(0, least(won, lost) + 1) t(i))) END, 8) AS p FROM n""")
 def mcnemar(spark, sf_dir):
-    return evalstats.mcnemar(T.outcomes(spark, sf_dir), "en", "de")
+    """Pairs of runs that did not err, the last of each arm."""
+    return evalstats.mcnemar(results.pairs(T.runs(spark, sf_dir), "en", "de", F.col("solved"), "doc_id"))
+
+
+def _wilson_sql(name: str, k: str, n: str) -> str:
+    r, m = f"({k}::DOUBLE / {n})", f"{n}::DOUBLE"
+    reach = f"1.96 * sqrt({r} * (1 - {r}) / {m} + 3.8416 / (4 * {m} * {m}))"
+    low, high = (f"CASE WHEN {n} > 0 THEN round(greatest(0.0, least(1.0, ({r} + 3.8416 / (2 * {m}) {sign} {reach}) / (1 + 3.8416 / {m}))), 8) ELSE 0.0 END AS {name}_{end}" for sign, end in (("-", "low"), ("+", "high")))
+    return f"{k} AS {name}, CASE WHEN {n} > 0 THEN round({r}, 8) ELSE 0.0 END AS {name}_rate, {low}, {high}"
+
+
+@query("acceptance_rates", f"""WITH {T.RUNS_SQL}, n AS (SELECT arm, count_if(claimed AND solved)::BIGINT AS tp, count_if(claimed AND NOT solved)::BIGINT AS fp, count_if(NOT claimed AND NOT solved)::BIGINT AS tn, count_if(NOT claimed AND solved)::BIGINT AS fn
+    FROM runs WHERE CASE WHEN status IS NULL THEN error IS NULL ELSE status IN ('completed', 'task_failed') END GROUP BY arm)
+  SELECT arm, tp, fp, tn, fn, {_wilson_sql('accepted_wrongly', 'fp', '(tp + fp)')}, {_wilson_sql('wrong_share', 'fp', '(tp + fp + tn + fn)')}, {_wilson_sql('rejected_wrongly', 'fn', '(tn + fn)')} FROM n""")
+def acceptance_rates(spark, sf_dir):
+    """A10: false acceptance among claims and among all, and false rejection, over runs that are evidence."""
+    return results.acceptance_rates(T.runs(spark, sf_dir))
+
+
+@query("status_counts", f"WITH {T.RUNS_SQL} SELECT arm, CASE WHEN status IS NOT NULL THEN status WHEN error IS NOT NULL THEN 'environment_failed' WHEN solved THEN 'completed' ELSE 'task_failed' END AS status, count(*) AS n FROM runs GROUP BY ALL")
+def status_counts(spark, sf_dir):
+    """Runs by their status, worked out where they have none."""
+    return results.status_counts(T.runs(spark, sf_dir))
+
+
+@query("result_files", f"""WITH {T.RUNS_SQL}, n AS (SELECT arm, category, count_if(error IS NULL)::BIGINT AS runs, count_if(error IS NOT NULL)::BIGINT AS errored, coalesce(sum(tokens_used) FILTER (error IS NULL), 0)::BIGINT AS tokens, count_if(error IS NULL AND solved)::BIGINT AS s,
+    count_if(error IS NULL AND claimed AND NOT solved)::BIGINT AS f, count_if(error IS NULL AND NOT claimed AND solved)::BIGINT AS m, count_if(error IS NULL AND tampered)::BIGINT AS t FROM runs WHERE doc_id % 8 < 7 GROUP BY GROUPING SETS ((arm), (arm, category)))
+  SELECT arm, category, runs, errored, tokens, {', '.join(_wilson_sql(name, k, 'runs') for name, k in (('solved', 's'), ('false_accept', 'f'), ('missed', 'm'), ('tampered', 't')))} FROM n""")
+def result_files(spark, sf_dir):
+    """Runs written to result files and read again; an eighth is of a newer version and rejected, and all rates are derived anew."""
+    runs, folder = T.runs(spark, sf_dir), Scratch(spark, "results").path
+    results.save_results(runs.filter("doc_id % 8 < 7"), f"{folder}/known")
+    newer = runs.filter("doc_id % 8 = 7").select(F.lit(results.VERSION + 1).alias("benchmark_schema_version"), F.array(F.struct("run_id", "arm", "solved")).alias("outcomes"), F.lit(1.0).alias("solved_rate"))
+    newer.write.json(f"{folder}/newer")
+    return results.arm_summary(results.load_results(spark, [f"{folder}/known", f"{folder}/newer"], lines=True)[0])
 
 
 @query("stability", f"WITH {T.OUTCOMES_SQL} SELECT arm, count(*) AS cells, count_if(v > 1)::BIGINT AS unstable, max(passes)::BIGINT AS passes FROM (SELECT arm, task_id, count(DISTINCT solved) AS v, max(repetition) AS passes FROM outcomes GROUP BY ALL) GROUP BY arm")

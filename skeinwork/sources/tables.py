@@ -89,3 +89,19 @@ outcomes AS (
          row_number() OVER (PARTITION BY lang, source ORDER BY d.doc_id) AS repetition
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id
 )"""
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """outcomes() as runs of an evaluation: two runs a repetition, some of which erred, timed out, were tampered with or not graded."""
+    i = F.col("doc_id")
+    return outcomes(spark, sf_dir).select(
+        F.concat(F.lit("r"), i).alias("run_id"), "task_id", "category", "arm", F.when(i % 11 == 0, "environment_failed").when(i % 11 == 1, "timeout").when(i % 11 == 2, "completed").alias("status"),
+        "solved", "claimed", (i % 17 == 0).alias("tampered"), F.expr("CAST(repetition div 2 AS INT)").alias("repetition"), (i % 1000).alias("tokens_used"), F.when(i % 13 == 0, "lost").alias("error"),
+        F.when(i % 4 > 0, F.round(i % 6 / 5, 1)).alias("score"), i.alias("doc_id"),
+    )
+
+
+RUNS_SQL = OUTCOMES_SQL + """, runs AS (
+  SELECT 'r' || doc_id AS run_id, task_id, category, arm, CASE doc_id % 11 WHEN 0 THEN 'environment_failed' WHEN 1 THEN 'timeout' WHEN 2 THEN 'completed' END AS status, solved, claimed, doc_id % 17 = 0 AS tampered,
+         repetition // 2 AS repetition, doc_id % 1000 AS tokens_used, CASE WHEN doc_id % 13 = 0 THEN 'lost' END AS error, CASE WHEN doc_id % 4 > 0 THEN doc_id % 6 / 5::DOUBLE END AS score, doc_id FROM outcomes
+)"""
