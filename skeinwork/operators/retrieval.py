@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .paths import sensitive
+
 
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, most: int = 20) -> DataFrame:
     """(query_id, doc_id, score): each query's `most` best documents by score, the smallest doc_id first of equals.
@@ -69,3 +71,69 @@ def lexical_files(hits: DataFrame, most: int = 20) -> DataFrame:
     ranked = counts.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "doc_id")))
     seen = ranked.filter(F.col("k") <= most + 1).withColumn("truncated", F.max("k").over(Window.partitionBy("query_id")) > most)
     return seen.filter(F.col("k") <= most).select("query_id", "doc_id", "n", "truncated")
+
+
+def snippets(docs: DataFrame, hits: DataFrame, terms: DataFrame, width: int = 24) -> DataFrame:
+    """(query_id, doc_id, first, body): of each hit document the window of `width` tokens with the most of the query's terms.
+
+    docs: doc_id, text; hits: query_id, doc_id; terms: query_id, term in lower case. Tokens are what lies between spaces; one counts
+    where a run of letters and digits in it is a term. A window begins with such a token, unless it ends with the text or begins with
+    it; of those with equally many the first is taken. first is its place from 0, body has a mark where the text goes on.
+    """
+    asked = terms.groupBy("query_id").agg(F.collect_set("term").alias("terms"))
+    tokens = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
+    rows = docs.join(hits.select("query_id", "doc_id"), "doc_id").join(asked, "query_id").select("query_id", "doc_id", "terms", tokens.alias("tokens"))
+    found = F.transform("tokens", lambda w: F.arrays_overlap(F.split(F.lower(w), "[^a-z0-9]+"), "terms").cast("int"))
+    places = rows.select("query_id", "doc_id", "tokens", F.filter(F.transform(found, lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull()).alias("at"))
+    last = F.greatest(F.size("tokens") - width, F.lit(0))
+    starts = F.array_distinct(F.concat(F.array(F.lit(0)), F.transform("at", lambda i: F.least(i, last))))
+    tried = places.select("query_id", "doc_id", "tokens", "at", F.explode(starts).alias("first"))
+    n = F.size(F.filter("at", lambda i: (i >= F.col("first")) & (i < F.col("first") + width)))
+    best = tried.withColumn("n", n).groupBy("query_id", "doc_id").agg(F.max_by(F.struct("first", "tokens"), F.struct("n", -F.col("first"))).alias("b"))
+    cut = F.array_join(F.slice("b.tokens", F.col("b.first") + 1, F.lit(width)), " ")
+    body = F.concat(F.when(F.col("b.first") > 0, "… ").otherwise(""), cut, F.when(F.col("b.first") + width < F.size("b.tokens"), " …").otherwise(""))
+    return best.select("query_id", "doc_id", F.col("b.first").alias("first"), body.alias("body"))
+
+
+#: Files and matches of a literal search, and signs of a line that are shown (fixed values).
+GREP_FILES, GREP_MATCHES, GREP_WIDTH = 40, 200, 300
+
+
+def grep(files: DataFrame, patterns: DataFrame, most_files: int = GREP_FILES, most: int = GREP_MATCHES, width: int = GREP_WIDTH) -> DataFrame:
+    """(query_id, path, line, text, truncated, reason): lines that hold a pattern as it is, in order of path and line, up to the caps.
+
+    files: path, text; patterns: query_id, pattern, word (whether it must not be part of a longer word); blank ones find nothing.
+    Sensitive paths are left out. A query shows its first `most_files` files and of those the first `most` lines; truncated where there
+    are more, with the reason, files first. text is cut after `width` signs and marked.
+
+    A line is looked for under its three-sign pieces, of which a pattern needs its rarest one alone: patterns and lines meet by that
+    piece, and then the line is read. Pieces that no pattern asks for never leave their line. Patterns under three signs meet lines
+    by their one or two signs.
+    """
+    asked = patterns.filter(F.trim(F.coalesce("pattern", F.lit(""))) != "").select("query_id", "pattern", F.coalesce("word", F.lit(False)).alias("word"))
+    pieces = lambda t: F.when(F.length(t) >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))).otherwise(F.array(t))
+    rows = files.filter(~sensitive(F.col("path"))).select("path", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    # the piece of each pattern that the fewest others share, the first of equals
+    spread = asked.select("query_id", "pattern", "word", F.posexplode(F.array_distinct(pieces(F.col("pattern")))).alias("i", "piece"))
+    shared = spread.groupBy("piece").agg(F.count_distinct("pattern").alias("n"))
+    keyed = spread.join(shared, "piece").groupBy("query_id", "pattern", "word").agg(F.min_by("piece", F.struct("n", "i")).alias("piece"))
+    wanted = keyed.agg(F.collect_set("piece").alias("w")).scalar()
+    t = F.col("text")
+    grams = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (k - 1), F.lit(1))), lambda i: F.substring(t, i, F.lit(k)))
+    every = F.array_distinct(F.concat(*[F.when(F.length(t) >= k, grams(k)).otherwise(F.array().cast("array<string>")) for k in (1, 2, 3)]))
+    listed = rows.withColumn("wanted", wanted).select("path", "line", "text", F.explode(F.array_intersect(every, "wanted")).alias("piece"))
+    quoted = F.regexp_replace("pattern", r"([^A-Za-z0-9\s])", r"\\$1")
+    whole = F.concat(F.lit("(?<![A-Za-z0-9_])"), quoted, F.lit("(?![A-Za-z0-9_])"))
+    hits = listed.join(keyed, "piece").filter(F.contains("text", F.col("pattern"))).withColumn("whole", whole).filter("not word or text rlike whole").select("query_id", "path", "line", "text").distinct()
+    few = hits.groupBy("query_id", "path").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("query_id").orderBy("path")
+    # the planner keeps a query's first files before it shuffles them, so one with many is not gathered
+    first = few.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most_files + 1)
+    numbered = first.withColumn("before", F.sum("n").over(order) - F.col("n"))
+    totals = numbered.groupBy("query_id").agg((F.max("k") > most_files).alias("over"), F.sum(F.when(F.col("k") <= most_files, F.col("n"))).alias("shown"))
+    kept = numbered.filter((F.col("k") <= most_files) & (F.col("before") < most)).select("query_id", "path", "before")
+    place = F.col("before") + F.row_number().over(Window.partitionBy("query_id", "path").orderBy("line"))
+    out = hits.join(kept, ["query_id", "path"]).withColumn("place", place).filter(F.col("place") <= most).join(totals, "query_id")
+    reason = F.when(F.col("over"), f"more than {most_files} files").when(F.col("shown") > most, f"more than {most} matches")
+    cut = F.when(F.length("text") > width, F.concat(F.substring("text", 1, width), F.lit("…"))).otherwise(F.col("text"))
+    return out.select("query_id", "path", "line", cut.alias("text"), reason.isNotNull().alias("truncated"), reason.alias("reason"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import packets
+from ..operators import packets, postings, retrieval
 from ..sources import tables as T
+from ..sources.shared import Scratch
 from .catalog import query
 
 _ORIGIN = "CASE o_orderkey % 13 WHEN 0 THEN 'project_note' WHEN 1 THEN 'note' WHEN 2 THEN 'impact' WHEN 3 THEN 'anchor' WHEN 4 THEN 'anchor' WHEN 5 THEN 'explicit' ELSE 'graph' END"
@@ -51,3 +52,51 @@ def packet_assembly(spark, sf_dir):
 def packet_totals(spark, sf_dir):
     """R2: slices, tokens and drop counters of each packet."""
     return packets.packet_totals(*_assembled(spark, sf_dir))
+
+
+TERMS = ((1, "trash"), (1, "license"), (2, "clown"), (3, "copyright"))
+_BM25 = f"""q(query_id, term) AS (VALUES {', '.join(map(str, TERMS))}), w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM live),
+  z AS (SELECT count(*) AS n, avg(len(w)) AS a FROM w), t AS (SELECT doc_id, len(w) AS size, unnest(w) AS term FROM w), tf AS (SELECT term, doc_id, size, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+  s AS (SELECT query_id, doc_id, round(sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / a))), 6) AS score FROM tf JOIN df USING (term) JOIN q USING (term), z GROUP BY query_id, doc_id),
+  best AS (SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS k FROM s) WHERE k <= 20)"""
+
+
+def _terms(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(TERMS), "query_id int, term string")
+
+
+@query("bm25_refreshed", f"WITH live AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'license ' || text ELSE text END AS text FROM documents WHERE doc_id % 10 > 0), {_BM25} SELECT * FROM best")
+def bm25_refreshed(spark, sf_dir):
+    """Ranking after a second generation in which documents changed, and a third in which some are no more."""
+    docs = T.table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = postings.Index(spark, Scratch(spark, "postings").path, 16).build(docs)
+    index.refresh(docs.filter("doc_id % 9 = 0").withColumn("text", F.concat(F.lit("license "), "text")))
+    index.refresh(docs.limit(0), docs.filter("doc_id % 10 = 0").select("doc_id"))
+    return index.bm25(_terms(spark))
+
+
+@query("snippets", f"""WITH live AS (SELECT doc_id, text FROM documents), {_BM25}, k AS (SELECT query_id, best.doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS t FROM best JOIN documents d ON d.doc_id = best.doc_id),
+  i AS (SELECT query_id, doc_id, t, unnest(range(0, greatest(len(t) - 24, 0) + 1)) AS first FROM k), x AS (SELECT *, (SELECT list(term) FROM q WHERE q.query_id = i.query_id) AS terms FROM i),
+  c AS (SELECT query_id, doc_id, t, first, len(list_filter(t[first + 1 : first + 24], lambda w: list_has_any(regexp_split_to_array(lower(w), '[^a-z0-9]+'), terms))) AS n FROM x WHERE first IN (0, greatest(len(t) - 24, 0)) OR list_has_any(regexp_split_to_array(lower(t[first + 1]), '[^a-z0-9]+'), terms))
+  SELECT query_id, doc_id, CAST(first AS INTEGER) AS first, CASE WHEN first > 0 THEN '… ' ELSE '' END || array_to_string(t[first + 1 : first + 24], ' ') || CASE WHEN first + 24 < len(t) THEN ' …' ELSE '' END AS body
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY n DESC, first) AS k FROM c) WHERE k = 1""")
+def snippets(spark, sf_dir):
+    """the window of 24 tokens of each hit that has most of the query's terms."""
+    docs = T.table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = postings.Index(spark, Scratch(spark, "postings").path, 16).build(docs).bm25(_terms(spark))
+    return retrieval.snippets(docs, hits, _terms(spark))
+
+
+PATTERNS = ((1, "@", False), (2, "license", True), (3, "the", True), (4, "a.*b", False), (5, "ion, ", False), (6, ". ", False), (7, "  ", False), (8, "The", False))
+
+
+@query("grep", f"""WITH q(query_id, pattern, word) AS (VALUES {', '.join(str(p) for p in PATTERNS)}), f AS (SELECT 'src/' || source || '/' || doc_id || CASE WHEN doc_id % 7 = 0 THEN '.pem' ELSE '.txt' END AS path, string_split(coalesce(text, ''), chr(10)) AS t FROM documents WHERE doc_id % 7 > 0),
+  l AS (SELECT path, unnest(t) AS text, generate_subscripts(t, 1) AS line FROM f), h AS (SELECT query_id, path, line, text FROM l, q WHERE trim(pattern) <> '' AND contains(text, pattern) AND (NOT word OR regexp_matches(text, '(^|[^A-Za-z0-9_])' || pattern || '($|[^A-Za-z0-9_])'))),
+  n AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY path) AS file FROM h), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY path, line) AS place, count(*) OVER (PARTITION BY query_id) AS shown FROM n WHERE file <= 40),
+  o AS (SELECT query_id, max(file) > 40 AS over FROM n GROUP BY query_id), r AS (SELECT k.*, CASE WHEN over THEN 'more than 40 files' WHEN shown > 200 THEN 'more than 200 matches' END AS reason FROM k JOIN o ON o.query_id = k.query_id WHERE place <= 200)
+  SELECT query_id, path, CAST(line AS INTEGER) AS line, CASE WHEN length(text) > 300 THEN substring(text, 1, 300) || '…' ELSE text END AS text, reason IS NOT NULL AS truncated, reason FROM r""")
+def grep(spark, sf_dir):
+    """Fixed strings in all texts, up to 40 files and 200 lines a query."""
+    i = F.col("doc_id")
+    files = T.table(spark, sf_dir, "documents").select(F.concat(F.lit("src/"), "source", F.lit("/"), i, F.when(i % 7 == 0, ".pem").otherwise(".txt")).alias("path"), "text")
+    return retrieval.grep(files, spark.createDataFrame(list(PATTERNS), "query_id int, pattern string, word boolean"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import evalstats, graph, results, retrieval
+from ..operators import evalstats, graph, postings, results, retrieval
 from ..sources import tables as T
 from ..sources.shared import Scratch
 from .catalog import query
@@ -225,5 +225,7 @@ TERMS = ((1, "trash"), (1, "license"), (2, "clown"), (2, "moron"), (2, "the"))
   s AS (SELECT query_id, doc_id, round(sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / a))), 6) AS score FROM tf JOIN df USING (term) JOIN q USING (term), z GROUP BY query_id, doc_id)
   SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS k FROM s) WHERE k <= 20""")
 def bm25(spark, sf_dir):
+    """Over a stored index of terms, of which the queries' parts are read."""
     queries = spark.createDataFrame(list(TERMS), "query_id int, term string")
-    return retrieval.bm25(T.table(spark, sf_dir, "documents").select("doc_id", "text"), queries)
+    index = postings.Index(spark, Scratch(spark, "postings").path, 32)
+    return index.build(T.table(spark, sf_dir, "documents").select("doc_id", "text")).bm25(queries)
