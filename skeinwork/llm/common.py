@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +43,35 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Where durable() notes what it writes, while keeping() holds.
+_KEPT: ContextVar[list[str] | None] = ContextVar("kept", default=None)
+
+
+@contextlib.contextmanager
+def keeping(paths: list[str]) -> Iterator[None]:
+    """Note in paths every table that durable() writes meanwhile, for free()."""
+    token = _KEPT.set(paths)
+    try:
+        yield
+    finally:
+        _KEPT.reset(token)
+
+
+def free(spark: SparkSession, paths: list[str]) -> None:
+    """Delete the tables; what reads them must have been written before. paths is empty afterwards."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    paths.clear()
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write df in the shared folder and read it back: lineage ends there, and a lost executor loses nothing of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skeinwork/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if (kept := _KEPT.get()) is not None:
+        kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,6 +80,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/skeinwork/{name}-{uuid.uuid4().hex}"
+        self.tables: dict[str, str] = {}
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """df written under name and read back: lineage ends there, and a lost executor loses nothing of it."""
@@ -61,10 +88,18 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """As write(), in buckets of the key's hash: grouping by the key reads a bucket a task, and shuffles nothing of df."""
+        self.tables[name] = f"skeinwork_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets, key).format("parquet").option("path", f"{self.path}/{name}").option("compression", "zstd").saveAsTable(self.tables[name])
+        return self.spark.read.table(self.tables[name])
+
     def drop(self, name: str = "") -> None:
         """Delete the table of that name, or all; what reads them must have been written before."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for t in [name] if name else list(self.tables):
+            if t in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(t)}")
+        free(self.spark, [f"{self.path}/{name}" if name else self.path])
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

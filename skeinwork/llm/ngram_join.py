@@ -332,12 +332,13 @@ def link(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
 
     First every shingle's number of sets is counted, so that a set's prefix begins with the shingles that no other has. Sets
     that share a key are candidates; a cluster that candidates connect is compared where its texts meet, exactly, and gives
-    spanning links alone, never its pairs.
+    spanning links alone, never its pairs. The texts are stored in buckets of their block, so they stay where they are when
+    what is known of a block is brought to it.
     """
     spark = docs.sparkSession
     small_batches(spark)
     buckets = partitions(spark)
-    blocks = scratch.write(text_blocks(docs, BLOCK_BYTES), "blocks")
+    blocks = scratch.write_bucketed(text_blocks(docs, BLOCK_BYTES), "blocks", "block", 2 * buckets)
     classes = scratch.write(_classes(_prints(blocks, buckets)), "classes")
     documents = scratch.write(_documents(classes), "documents")
     candidates = scratch.write(_candidates(_postings(blocks, classes, buckets)), "candidates")
