@@ -99,13 +99,14 @@ class Table:
         """The table without rows that name at one of the ends what nodes (column) does not have: what a delete of nodes takes along."""
         if not (now := self._begin(txn)):
             return False
-        ids, rows = nodes.select(F.col(column).alias("_id")).distinct(), self.read()
-        whole = rows
+        ids = nodes.select(F.col(column).alias("_id")).distinct()
+        # what is left out, by end; few rows once the table has been cleared before
+        gone = None
         for end in ends:
-            whole = whole.join(ids, F.col(end) == F.col("_id"), "left_semi")
-        gone = rows.select(*self.key).join(whole.select(*self.key), self.key, "left_anti")
-        touched = self._names(gone)
-        return self._put(self.read(touched).join(gone, self.key, "left_anti"), touched, *now, txn)
+            part = self.read().join(ids, F.col(end) == F.col("_id"), "left_anti").select(*self.key, self.part.alias("_part"))
+            gone = part if gone is None else gone.union(part)
+        touched = [r.p for r in gone.select(F.col("_part").alias("p")).distinct().collect()]
+        return self._put(self.read(touched).join(gone.select(*self.key).distinct(), self.key, "left_anti"), touched, *now, txn)
 
     def vacuum(self) -> int:
         """Delete files that the last commit does not name, how many folders; only while nobody reads or writes an older one."""
