@@ -39,8 +39,11 @@ def _stage(f: Stage) -> Stage:
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows of the doc_ids in gone (gone); rows of one doc_id go or stay together, rows without one stay."""
-    return docs.select(F.struct(*docs.columns).alias("row")).join(gone, F.col("row.doc_id") == F.col("gone"), "left_anti").select("row.*")
+    """docs without the rows of the doc_ids in gone (gone); rows of one doc_id go or stay together, rows without one stay.
+
+    gone grows with the corpus, so it is never broadcast: the two are merged by doc_id at every size.
+    """
+    return docs.select(F.struct(*docs.columns).alias("row")).join(gone.hint("merge"), F.col("row.doc_id") == F.col("gone"), "left_anti").select("row.*")
 
 
 @_stage
