@@ -258,6 +258,12 @@ def lease_log(requests: DataFrame, ttl: int = LEASE_SECONDS) -> DataFrame:
     return rows.repartition("worktree").sortWithinPartitions("worktree", "seq").mapInPandas(run, "worktree string, seq long, granted boolean, holder string, expires long")
 
 
+def lease_counts(leases: DataFrame, now: int) -> DataFrame:
+    """One row (live, expired): leases (worktree, holder, expires; one row each) that are held, by whether they end after now (seconds)."""
+    held = leases.filter("holder is not null and expires is not null")
+    return held.agg(F.count_if(F.col("expires") > now).alias("live"), F.count_if(F.col("expires") <= now).alias("expired"))
+
+
 def matched_calls(calls: DataFrame, operations: DataFrame, key: list[str]) -> DataFrame:
     """calls with the seq of the last operation of the same key, null where there is none."""
     last = operations.groupBy(*key).agg(F.max("seq").alias("seq"))

@@ -14,11 +14,14 @@ from .paths import prefixes
 def innermost_span(points: DataFrame, spans: DataFrame, width: int = 64) -> DataFrame:
     """(point_id, span_id): the shortest span of the point's file that holds its line, the smallest span_id of equals.
 
-    points: point_id, file_id, line. spans: span_id, file_id, first, last (inclusive). A span is listed under each block of
-    `width` lines that it touches, so a point meets only spans of its own block. Points in no span have a null span_id.
+    points: point_id, file_id, line, and target, a span that is not its own, if they have one. spans: span_id, file_id, first, last
+    (inclusive). A span is listed under each block of `width` lines that it touches, so a point meets only spans of its own
+    block. Points in no span have a null span_id, which stands for their file.
     """
     listed = spans.filter("first <= last").select("span_id", F.col("file_id").alias("f"), "first", "last", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))).alias("block"))
     inside = (F.col("file_id") == F.col("f")) & (F.floor(F.col("line") / width) == F.col("block")) & F.col("line").between(F.col("first"), F.col("last"))
+    if "target" in points.columns:
+        inside = inside & ~F.col("span_id").eqNullSafe(F.col("target"))
     best = F.min(F.when(F.col("span_id").isNotNull(), F.struct(F.col("last") - F.col("first"), "span_id")))
     return points.join(listed, inside, "left").groupBy("point_id").agg(best["span_id"].alias("span_id"))
 
@@ -37,16 +40,20 @@ def under(paths: DataFrame, directories: DataFrame) -> DataFrame:
 
 
 def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
-    """(host, rule_order, allow): the first rule whose pattern is the host, or `*.` and a proper suffix of it; else nulls and false.
+    """(host, lane, rule_order, allow): the first rule of the lane whose pattern is the host, or `*.` and a proper suffix of it; else nulls and false.
 
-    rules: rule_order, pattern, allow. `*.example.org` does not match example.org itself.
+    hosts: host, lane; rules: rule_order, pattern, lanes (array; null or empty: all), allow. Case, space around and one point at the end
+    of a host do not count. `*.example.org` does not match example.org itself.
     """
-    parts = F.split("host", r"\.")
+    bare = F.regexp_replace(F.lower(F.trim("host")), r"\.$", "")
+    parts = F.split(bare, r"\.")
     wild = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.concat(F.lit("*."), F.array_join(F.slice(parts, i, F.size(parts)), ".")))
-    keys = F.concat(F.array("host"), F.when(F.size(parts) > 1, wild).otherwise(F.array().cast("array<string>")))
-    found = hosts.select("host").distinct().select("host", F.explode(keys).alias("key")).join(rules, F.col("key") == F.col("pattern"), "left")
+    keys = F.concat(F.array(bare), F.when(F.size(parts) > 1, wild).otherwise(F.array().cast("array<string>")))
+    wanted = rules.select("rule_order", F.lower(F.trim("pattern")).alias("pattern"), "lanes", "allow")
+    fits = (F.col("key") == F.col("pattern")) & (F.coalesce(F.size("lanes"), F.lit(0)).isin(-1, 0) | F.array_contains("lanes", F.col("lane")))
+    found = hosts.select("host", "lane").distinct().select("host", "lane", F.explode(keys).alias("key")).join(wanted, fits, "left")
     first = F.min(F.when(F.col("rule_order").isNotNull(), F.struct("rule_order", "allow")))
-    return found.groupBy("host").agg(first.alias("m")).select("host", "m.rule_order", F.coalesce("m.allow", F.lit(False)).alias("allow"))
+    return found.groupBy("host", "lane").agg(first.alias("m")).select("host", "lane", "m.rule_order", F.coalesce("m.allow", F.lit(False)).alias("allow"))
 
 
 def routes(calls: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -71,8 +78,9 @@ def routes(calls: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(path, change) of paths created, changed or removed between two snapshots (path, digest); null digests equal each other."""
-    b, a = before.select(F.col("path").alias("bp"), F.col("digest").alias("bd")), after.select(F.col("path").alias("ap"), F.col("digest").alias("ad"))
+    """(path, change) of paths created, changed or removed between two snapshots (path, digest, and mode if both have it); nulls equal each other."""
+    kept = ["digest", *(["mode"] if "mode" in before.columns and "mode" in after.columns else [])]
+    b, a = (df.select(F.col("path").alias(f"{x}p"), F.struct(*kept).alias(f"{x}d")) for df, x in ((before, "b"), (after, "a")))
     change = F.when(F.col("bp").isNull(), "created").when(F.col("ap").isNull(), "removed").when(~F.col("bd").eqNullSafe(F.col("ad")), "changed")
     return b.join(a, F.col("bp") == F.col("ap"), "full").select(F.coalesce("bp", "ap").alias("path"), change.alias("change")).filter("change is not null")
 
@@ -96,3 +104,28 @@ def covered_lines(spans: DataFrame, length: DataFrame, margin: int = 3) -> DataF
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = wide.withColumn("opens", F.when(reach.isNull() | (F.col("first") > reach + 1), 1).otherwise(0))
     return opens.withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("file_id", "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
+
+
+#: What stands for lines that are not shown.
+LEFT_OUT = "[lines left out]"
+
+
+def shown_lines(files: DataFrame, spans: DataFrame, margin: int = 3, first: int = 80) -> DataFrame:
+    """(file_id, body): the lines about a file's spans, each after its number, with LEFT_OUT where some are not shown; without any span the first ones.
+
+    files: file_id, text; spans: file_id, first, last; one that begins before line 1 or ends before it begins is none.
+    """
+    lines = files.select("file_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+    length = lines.select("file_id", F.size("lines").alias("n_lines"))
+    good = spans.filter("first >= 1 and last >= first")
+    merged = covered_lines(good.join(length.select("file_id"), "file_id", "left_semi"), length, margin)
+    ranges = merged.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct(F.col("first").cast("int").alias("a"), F.col("last").cast("int").alias("b")))).alias("r"))
+    asked = good.select("file_id").distinct().withColumn("asked", F.lit(True))
+    whole = F.array(F.struct(F.lit(1).alias("a"), F.least(F.lit(first), F.size("lines")).alias("b")))
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    rows = lines.join(ranges, "file_id", "left").join(asked, "file_id", "left").withColumn("r", F.coalesce("r", F.when(F.col("asked"), none).otherwise(whole)))
+    numbered = lambda x: F.transform(F.slice("lines", x["a"], x["b"] - x["a"] + 1), lambda t, i: F.concat((i + x["a"]).cast("string"), F.lit(": "), t))
+    parts = F.transform("r", lambda x, i: F.concat(F.when((i > 0) | (x["a"] > 1), F.array(F.lit(LEFT_OUT))).otherwise(F.array().cast("array<string>")), numbered(x)))
+    end = F.coalesce(F.array_max(F.transform("r", lambda x: x["b"])), F.lit(0))
+    tail = F.when(end < F.size("lines"), F.array(F.lit(LEFT_OUT))).otherwise(F.array().cast("array<string>"))
+    return rows.select("file_id", F.array_join(F.concat(F.flatten(parts), tail), "\n").alias("body"))

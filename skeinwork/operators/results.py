@@ -112,3 +112,65 @@ def phase_faults(journal: DataFrame) -> DataFrame:
     allowed = F.coalesce(*[F.when(F.col("before") == p, F.col("phase").isin(*after) if after else F.lit(False)) for p, after in TRANSITIONS.items()], F.lit(False))
     steps = journal.select("task", "seq", before.alias("before"), "phase")
     return steps.filter(~F.when(F.col("before").isNull(), F.col("phase") == PHASES[0]).otherwise((F.col("before") == F.col("phase")) | allowed))
+
+
+#: What a captured output ends with when it was cut (fixed value).
+CUT_OUTPUT = "… (output truncated)"
+
+
+def hidden_tests(tasks: DataFrame) -> DataFrame:
+    """(task_id, tests): the distinct tests that a task's hidden files (task_id, text) declare: functions at a line's start named Test and more."""
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.startswith("func Test") & x.contains("("))
+    names = F.transform(lines, lambda x: F.rtrim(F.substring_index(F.substring(x, F.lit(6), F.length(x)), "(", 1)))
+    good = F.filter(names, lambda n: n.rlike("^[A-Za-z0-9_]+$"))
+    found = tasks.select("task_id", F.explode(good).alias("name"))
+    return found.groupBy("task_id").agg(F.array_sort(F.collect_set("name")).alias("tests"))
+
+
+def graded_runs(runs: DataFrame, tests: DataFrame) -> DataFrame:
+    """(run_id, task_id, arm, total, failed, passed, score) of the runs that can be graded by what their task's tests left in their output.
+
+    runs: run_id, task_id, arm, solved, error, output, recorded; tests from hidden_tests(). Left out are runs graded before, ones that
+    erred, ones whose output was cut, as a failure may be lost, and tasks without tests. A solved run passes all; one that is not
+    passes those it does not name as failed, and none if it names none, as it did not get as far as a test.
+    """
+    open_runs = runs.filter(~errored() & ~F.coalesce("recorded", F.lit(False)) & ~F.contains(F.coalesce("output", F.lit("")), F.lit(CUT_OUTPUT)))
+    mark = "--- FAIL: "
+    lines = F.filter(F.transform(F.split(F.coalesce("output", F.lit("")), "\n", -1), lambda x: F.ltrim(x)), lambda x: x.startswith(mark + "Test"))
+    named = F.transform(lines, lambda x: F.regexp_extract(F.substring(x, F.lit(len(mark) + 1), F.length(x)), "^[A-Za-z0-9_]+", 0))
+    rows = open_runs.join(tests, "task_id").withColumn("total", F.size("tests"))
+    failed = F.when(F.col("solved"), F.array().cast("array<string>")).otherwise(F.array_sort(F.array_intersect("tests", named)))
+    passed = F.when(F.col("solved"), F.col("total")).when(F.size("failed") == 0, 0).otherwise(F.col("total") - F.size("failed"))
+    return rows.withColumn("failed", failed).withColumn("passed", passed).select("run_id", "task_id", "arm", "total", "failed", "passed", (F.col("passed") / F.col("total")).alias("score"))
+
+
+def rate_text(hits: Column, n: Column) -> Column:
+    """A rate as a report says it, `33% (1/3) [6–79%]`; a dash where there is nothing to count."""
+    low, high = wilson(hits, n)
+    whole = lambda x: F.format_string("%.0f", x * 100.0)
+    return F.when(n > 0, F.concat(whole(hits / n), F.lit("% ("), hits, F.lit("/"), n, F.lit(") ["), whole(low), F.lit("–"), whole(high), F.lit("%]"))).otherwise("—")
+
+
+def markdown(table: DataFrame, order: list[str], limit: int = 1000) -> str:
+    """The first `limit` rows as a Markdown table, columns and rows in order: a report of aggregates, which is formatted on the driver."""
+    cell = lambda x: "" if x is None else str(x).replace("|", "\\|").replace("\n", " ")
+    rows = table.orderBy(*order).limit(limit).collect()
+    lines = [table.columns, ["---"] * len(table.columns), *rows]
+    return "".join("| " + " | ".join(cell(x) for x in line) + " |\n" for line in lines)
+
+
+def cut_text(text: Column, width: int) -> Column:
+    """The text without space around, on one line, and cut with a mark after `width` signs."""
+    line = F.replace(F.trim(text), F.lit("\n"), F.lit(" "))
+    return F.when(F.length(line) <= width, line).otherwise(F.concat(F.substring(line, 1, width), F.lit("…")))
+
+
+def json_summary(text: Column) -> Column:
+    """One line of a JSON object: its keys in order as `k=v`, lists as `k[n]`, objects as `k{…}`; other text is shown as it is, cut.
+
+    Empty text and null give an empty line.
+    """
+    fields = F.from_json(text, "map<string,variant>")
+    one = lambda k: (lambda v, kind: F.when(v.isNull() | (kind == "VOID"), F.concat(k, F.lit("=null"))).when(kind.startswith("ARRAY"), F.concat(k, F.lit("["), F.size(v.cast("array<variant>")).cast("string"), F.lit("]"))).when(kind.startswith("OBJECT"), F.concat(k, F.lit("{…}"))).when(kind == "STRING", F.concat(k, F.lit("="), cut_text(v.cast("string"), 60))).otherwise(F.concat(k, F.lit("="), v.cast("string"))))(F.element_at(fields, k), F.schema_of_variant(F.element_at(fields, k)))
+    line = cut_text(F.array_join(F.transform(F.array_sort(F.map_keys(fields)), one), "  "), 200)
+    return F.when(text.isNull() | F.trim(text).isin("", "null"), "").when(fields.isNull() | ~F.trim(text).startswith("{"), cut_text(text, 120)).otherwise(line)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evalstats, journal
+from ..operators import evalstats, results
 from ..sources import tables as T
 from .catalog import query
 
@@ -64,24 +64,32 @@ def ladder_retention(spark, sf_dir):
     return evalstats.ladder(spark.createDataFrame(list(RUNGS), "letter string, arm string, wired boolean"), T.outcomes(spark, sf_dir), draw=_draw("{n}"))
 
 
-@query("qualification", f"""WITH {T.OUTCOMES_SQL}, t AS (SELECT task_id, min(doc_id) % 2 = 0 AS heldout, bool_and(claimed) AS hidden FROM outcomes GROUP BY task_id),
-  m AS (SELECT arm, min(n) AS least FROM (SELECT arm, task_id, count(*) AS n FROM outcomes GROUP BY ALL) GROUP BY arm),
+_ABLATIONS = (("baseline_comparison", "en", "de"), ("graph_ablation", "en", "absent"), ("context_ablation", "es", "fr"))
+_SHARED = ", ".join(f"(SELECT count(*) > 0 FROM runs a JOIN runs b ON a.task_id = b.task_id AND a.repetition = b.repetition WHERE a.arm = '{x}' AND b.arm = '{y}' AND a.error IS NULL AND b.error IS NULL) AS {name}" for name, x, y in _ABLATIONS)
+
+
+@query("qualification", f"""WITH {T.RUNS_SQL}, t AS (SELECT task_id, min(doc_id) % 2 = 0 AS heldout, bool_and(claimed) AS hidden FROM runs GROUP BY task_id),
+  m AS (SELECT arm, min(n) AS least FROM (SELECT arm, task_id, count(*) AS n FROM runs WHERE CASE WHEN status IS NULL THEN error IS NULL ELSE status IN ('completed', 'task_failed') END GROUP BY ALL) GROUP BY arm),
+  p AS (SELECT (SELECT avg(solved::INT) FROM runs WHERE repetition % 2 = 0 AND error IS NULL) AS one, (SELECT avg(solved::INT) FROM runs WHERE repetition % 2 = 1 AND error IS NULL) AS two),
   f AS (SELECT (SELECT count_if(heldout) FROM t) AS h, (SELECT count(*) FROM t) AS n, (SELECT count_if(hidden) FROM t) AS hid, coalesce((SELECT min(least) FROM m WHERE least >= 2), 0) AS rep, (SELECT count_if(least >= 2) FROM m) AS fin,
-    (SELECT count(*) FROM outcomes) AS runs, (SELECT count_if(claimed) FROM outcomes) AS claims, (SELECT count(DISTINCT arm) FROM outcomes) AS chain),
+    (SELECT count(*) FROM runs) AS runs, (SELECT count_if(claimed) FROM runs) AS claims, (SELECT count(DISTINCT arm) FROM runs) AS chain, (SELECT count_if(tokens_used = 0) FROM runs) AS missing, coalesce((SELECT abs(one - two) <= 0.05 FROM p), false) AS reproduced, {_SHARED}),
   g(gate, met, observed) AS (SELECT 'heldout_real_tasks', h >= 30, h::VARCHAR FROM f UNION ALL SELECT 'finalist_repeats', rep >= 3 AND fin >= 2, rep || '/' || fin FROM f UNION ALL SELECT 'hidden_verification', n > 0 AND hid = n, hid || '/' || n FROM f
-    UNION ALL SELECT 'baseline_comparison', true, 'true' UNION ALL SELECT 'component_ladder', chain >= 3, chain::VARCHAR FROM f UNION ALL SELECT 'graph_ablation', true, 'true' UNION ALL SELECT 'context_ablation', false, 'false'
+    UNION ALL SELECT 'baseline_comparison', baseline_comparison, baseline_comparison::VARCHAR FROM f UNION ALL SELECT 'component_ladder', chain >= 3, chain::VARCHAR FROM f UNION ALL SELECT 'graph_ablation', graph_ablation, graph_ablation::VARCHAR FROM f UNION ALL SELECT 'context_ablation', context_ablation, context_ablation::VARCHAR FROM f
     UNION ALL SELECT 'false_acceptance_measured', claims > 0, claims::VARCHAR FROM f UNION ALL SELECT 'paired_statistics', runs > 0 AND rep > 0, CASE WHEN runs > 0 AND rep > 0 THEN 'true' ELSE 'false' END FROM f UNION ALL SELECT 'raw_results', runs > 0, runs::VARCHAR FROM f
-    UNION ALL SELECT 'environment_metadata', false, '2' UNION ALL SELECT 'clean_reproduction', false, 'false')
+    UNION ALL SELECT 'environment_metadata', missing = 0, missing::VARCHAR FROM f UNION ALL SELECT 'clean_reproduction', reproduced, reproduced::VARCHAR FROM f)
   SELECT * FROM g UNION ALL SELECT 'all', bool_and(met), string_agg(gate, ',' ORDER BY gate) FILTER (WHERE NOT met) FROM g""")
 def qualification(spark, sf_dir):
-    """The gates over facts that are aggregated from runs and tasks; repeats are those of arms that run each of their tasks twice."""
-    runs = T.outcomes(spark, sf_dir)
+    """The gates over facts that are aggregated from runs and tasks; an ablation counts where its arms share a run, a reproduction where two passes agree."""
+    runs = T.runs(spark, sf_dir)
     tasks = runs.groupBy("task_id").agg((F.min("doc_id") % 2 == 0).alias("heldout"), F.bool_and("claimed").alias("hidden"))
-    cells = runs.groupBy("arm", "task_id").agg(F.count("*").alias("n")).groupBy("arm").agg(F.min("n").alias("least")).filter("least >= 2")
+    cells = runs.filter(results.evidence()).groupBy("arm", "task_id").agg(F.count("*").alias("n")).groupBy("arm").agg(F.min("n").alias("least")).filter("least >= 2")
+    passes = runs.filter("error is null").agg((F.abs(F.avg(F.expr("if(repetition % 2 = 0, cast(solved as int), null)")) - F.avg(F.expr("if(repetition % 2 = 1, cast(solved as int), null)"))) <= 0.05).alias("same"))
+    shared = [results.pairs(runs, x, y, F.col("solved"), "doc_id").agg((F.count("*") > 0).alias("c")).scalar().alias(name) for name, x, y in _ABLATIONS]
     facts = tasks.agg(F.count_if("heldout").alias("heldout_tasks"), F.count("*").alias("tasks"), F.count_if("hidden").alias("hidden_checks")).select(
         "*", cells.agg(F.coalesce(F.min("least"), F.lit(0))).scalar().alias("min_repeats"), cells.agg(F.count("*")).scalar().alias("finalists"),
         runs.agg(F.count("*")).scalar().alias("runs"), runs.agg(F.count_if("claimed")).scalar().alias("claims"), runs.agg(F.countDistinct("arm")).scalar().alias("chain"),
-    ).selectExpr("*", "2 AS missing", "true AS baseline_comparison", "true AS graph_ablation", "false AS context_ablation", "false AS reproduced")
+        runs.agg(F.count_if(F.col("tokens_used") == 0)).scalar().alias("missing"), passes.select(F.coalesce("same", F.lit(False))).scalar().alias("reproduced"), *shared,
+    )
     return evalstats.qualification(facts)
 
 
@@ -138,10 +146,17 @@ def severity_hist(spark, sf_dir):
     return T.telemetry(spark, sf_dir).groupBy(F.col("kind").alias("severity"), F.col("name").alias("linter")).agg(F.count("*").alias("n"))
 
 
-@query("graded", f"""WITH {T.OUTCOMES_SQL}, g AS (SELECT c_custkey % 20 AS k, count(*) AS total, count_if(c_acctbal < 0)::BIGINT AS failed FROM customer GROUP BY k)
-  SELECT arm, o.task_id, repetition, total, CASE WHEN NOT solved AND failed = 0 THEN 0 ELSE total - failed END AS passed, round(CASE WHEN total > 0 THEN CASE WHEN NOT solved AND failed = 0 THEN 0 ELSE total - failed END / total ELSE 0 END, 8) AS score
-  FROM outcomes o JOIN g ON o.task_id = 'src' || g.k""")
+_OUTPUT = """CASE doc_id % 6 WHEN 0 THEN 'build failed' WHEN 1 THEN concat('--- FAIL: Test', doc_id % 4, ' (0.1s)') WHEN 2 THEN concat('x', chr(10), '    --- FAIL: Test1 (0s)', chr(10), '    --- FAIL: Test1/sub', chr(10), '--- FAIL: TestOther')
+  WHEN 3 THEN concat('--- FAIL: Test2', chr(10), '… (output truncated)') WHEN 4 THEN '' END"""
+
+
+@query("graded", f"""WITH {T.RUNS_SQL}, k AS (SELECT DISTINCT task_id, 1 + length(task_id) % 2 * 3 AS n FROM runs), o AS (SELECT *, {_OUTPUT} AS output FROM runs WHERE error IS NULL AND score IS NULL),
+  f AS (SELECT o.*, n + 1 AS total, CASE WHEN solved THEN [] ELSE list_sort(list_distinct(list_filter(regexp_extract_all(output, '--- FAIL: (Test[A-Za-z0-9_]*)', 1), lambda x: list_contains(list_transform(range(0, n + 1), lambda i: 'Test' || i), x)))) END AS failed FROM o JOIN k ON k.task_id = o.task_id WHERE output IS NULL OR NOT contains(output, 'truncated')),
+  p AS (SELECT *, CASE WHEN solved THEN total WHEN coalesce(len(failed), 0) = 0 THEN 0 ELSE total - len(failed) END AS passed FROM f)
+  SELECT run_id, task_id, arm, total::INTEGER AS total, array_to_string(coalesce(failed, []), ',') AS failed, passed::INTEGER AS passed, round(passed / total, 8) AS score FROM p""")
 def graded(spark, sf_dir):
-    """Outcomes with their task's hidden tests; a run that failed without a named failure passes none."""
-    tests = T.table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 20).alias("k")).agg(F.count("*").alias("total"), F.count_if(F.col("c_acctbal") < 0).alias("failed"))
-    return journal.graded(T.outcomes(spark, sf_dir), tests.select(F.concat(F.lit("src"), "k").alias("task_id"), "total", "failed")).select("arm", "task_id", "repetition", "total", "passed", F.round("score", 8).alias("score"))
+    """Runs not graded before, by the tests that their task's hidden files declare and the failures that their output names."""
+    runs = T.runs(spark, sf_dir).withColumn("output", F.expr(_OUTPUT)).withColumn("recorded", F.col("score").isNotNull())
+    body = F.concat(F.lit("package x\n// func TestNone() is no declaration\n"), F.array_join(F.transform(F.sequence(F.lit(0), 1 + F.length("task_id") % 2 * 3), lambda i: F.concat(F.lit("func Test"), i.cast("string"), F.lit("(t *testing.T) {}"))), "\n"))
+    tests = results.hidden_tests(runs.select("task_id").distinct().withColumn("text", body))
+    return results.graded_runs(runs, tests).select("run_id", "task_id", "arm", "total", F.array_join("failed", ",").alias("failed"), "passed", F.round("score", 8).alias("score"))

@@ -10,7 +10,7 @@ from ..sources import tables as T
 from .catalog import query
 
 #: Host rules and route patterns that the queries apply (inputs of the queries, in rule order).
-HOSTS = ((1, "ththre.example.com", False), (2, "*.m.example.com", True), (3, "*.example.com", True), (4, "*.example.net", True), (5, "example.org", True))
+HOSTS = ((1, "ththre.example.com", False, []), (2, "*.M.example.com", True, ["model"]), (3, "*.example.com", True, ["model", "tool"]), (4, "*.example.net", True, []), (5, "example.org ", True, []))
 ROUTES = ((1, "GET", "/en/{id}"), (2, "", "/{lang}/{id}"), (3, "POST", "/fr/{id}"), (4, "GET", "/de/*"), (5, "", "/*"))
 
 
@@ -53,11 +53,15 @@ def protected_semi(spark, sf_dir):
 _HOST_SQL = "regexp_extract(url, '^https?://([^/]+)', 1)"
 
 
-@query("host_match", f"""WITH rules(rule_order, pattern, allow) AS (VALUES {_values(HOSTS)}), h AS (SELECT DISTINCT {_HOST_SQL} AS host FROM pages)
-  SELECT host, min(rule_order)::INTEGER AS rule_order, coalesce(arg_min(allow, rule_order), false) AS allow FROM h LEFT JOIN rules ON host = pattern OR (starts_with(pattern, '*.') AND ends_with(host, substr(pattern, 2))) GROUP BY host""")
+@query("host_match", f"""WITH rules(rule_order, pattern, allow, lanes) AS (VALUES {', '.join(str(h) for h in HOSTS)}), h AS (SELECT DISTINCT CASE WHEN page_id % 4 = 0 THEN upper({_HOST_SQL}) || '.' ELSE {_HOST_SQL} END AS host, CASE page_id % 3 WHEN 0 THEN 'model' WHEN 1 THEN 'tool' ELSE 'web' END AS lane FROM pages),
+  b AS (SELECT *, rtrim(lower(host), '.') AS bare FROM h), r AS (SELECT *, lower(trim(pattern)) AS p FROM rules)
+  SELECT host, lane, min(rule_order)::INTEGER AS rule_order, coalesce(arg_min(allow, rule_order), false) AS allow FROM b LEFT JOIN r ON (bare = p OR (starts_with(p, '*.') AND ends_with(bare, substr(p, 2)))) AND (len(lanes) = 0 OR list_contains(lanes, lane)) GROUP BY host, lane""")
 def host_match(spark, sf_dir):
-    hosts = T.table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host"))
-    return matching.host_rules(hosts, spark.createDataFrame(list(HOSTS), "rule_order int, pattern string, allow boolean"))
+    """Hosts by lane, some in capitals and with a point at the end."""
+    host = F.regexp_extract("url", r"^https?://([^/]+)", 1)
+    i = F.col("page_id")
+    hosts = T.table(spark, sf_dir, "pages").select(F.when(i % 4 == 0, F.concat(F.upper(host), F.lit("."))).otherwise(host).alias("host"), F.when(i % 3 == 0, "model").when(i % 3 == 1, "tool").otherwise("web").alias("lane"))
+    return matching.host_rules(hosts, spark.createDataFrame(list(HOSTS), "rule_order int, pattern string, allow boolean, lanes array<string>"))
 
 
 @query("route_match", """WITH c AS (SELECT page_id AS call_id, CASE WHEN page_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS method, regexp_extract(url, '^https?://[^/]+([^?#]*)', 1) AS path FROM pages)
@@ -70,10 +74,12 @@ def route_match(spark, sf_dir):
 
 
 @query("diff_outer", """SELECT coalesce(c_custkey, s_suppkey) AS path, CASE WHEN c_custkey IS NULL THEN 'created' WHEN s_suppkey IS NULL THEN 'removed' ELSE 'changed' END AS change
-  FROM customer FULL JOIN supplier ON c_custkey = s_suppkey WHERE c_custkey IS NULL OR s_suppkey IS NULL OR c_nationkey IS DISTINCT FROM s_nationkey""")
+  FROM customer FULL JOIN supplier ON c_custkey = s_suppkey WHERE c_custkey IS NULL OR s_suppkey IS NULL OR c_nationkey IS DISTINCT FROM s_nationkey OR c_custkey % 3 = 0""")
 def diff_outer(spark, sf_dir):
-    before = T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path"), F.col("c_nationkey").alias("digest"))
-    return matching.snapshot_diff(before, T.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("path"), F.col("s_nationkey").alias("digest")))
+    """Two snapshots, by digest and by mode."""
+    before = T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path"), F.col("c_nationkey").alias("digest"), F.lit(0o644).alias("mode"))
+    after = T.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("path"), F.col("s_nationkey").alias("digest"), F.when(F.col("s_suppkey") % 3 == 0, 0o755).otherwise(0o644).alias("mode"))
+    return matching.snapshot_diff(before, after)
 
 
 @query("commit_semi", """WITH k AS (SELECT DISTINCT l_orderkey AS commit_id, l_partkey AS path FROM lineitem)

@@ -125,12 +125,16 @@ def broken_chain(spark, sf_dir):
     return journal.broken_chain(_from(spark, sf_dir, "orders", _OPS))
 
 
-@query("matched_calls", "SELECT conv_id, turn, role, seq FROM (SELECT conv_id, turn, role, user_id FROM (SELECT *, conv_id % 100 AS user_id, CASE role WHEN 'user' THEN 'click' ELSE 'view' END AS kind FROM conversations)) c LEFT JOIN (SELECT user_id AS u, event_type, max(event_id) AS seq FROM events GROUP BY ALL) e ON u = user_id AND event_type = CASE role WHEN 'user' THEN 'click' ELSE 'view' END")
+_CALL = "conv_id % 100 AS session, turn AS step, CASE role WHEN 'user' THEN 'click' ELSE 'view' END AS kind, length(text) % 3 AS arguments"
+_DONE = "user_id AS session, event_id % 8 AS step, event_type AS kind, event_id % 3 AS arguments, event_id AS seq"
+
+
+@query("matched_calls", f"""WITH c AS (SELECT conv_id, turn, role, {_CALL} FROM conversations), o AS (SELECT session, step, kind, arguments, max(seq) AS seq FROM (SELECT {_DONE} FROM events) GROUP BY ALL)
+  SELECT conv_id, turn, role, seq FROM c LEFT JOIN o USING (session, step, kind, arguments)""")
 def matched_calls(spark, sf_dir):
-    """Calls with the last operation of the same session and kind."""
-    calls = T.table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "role", "conv_id % 100 AS session", "CASE role WHEN 'user' THEN 'click' ELSE 'view' END AS kind")
-    operations = T.table(spark, sf_dir, "events").selectExpr("user_id AS session", "event_type AS kind", "event_id AS seq")
-    return journal.matched_calls(calls, operations, ["session", "kind"]).select("conv_id", "turn", "role", "seq")
+    """Calls with the last operation of the same session, step, kind and arguments."""
+    calls = _from(spark, sf_dir, "conversations", f"conv_id, turn, role, {_CALL}")
+    return journal.matched_calls(calls, _from(spark, sf_dir, "events", _DONE), ["session", "step", "kind", "arguments"]).select("conv_id", "turn", "role", "seq")
 
 
 @query("to_analyze", "SELECT sha256('v1' || chr(0) || 'w' || p_size || chr(0) || p_brand || chr(0) || p_name) AS key, p_partkey FROM part WHERE sha256('v1' || chr(0) || 'w' || p_size || chr(0) || p_brand || chr(0) || p_name) NOT IN (SELECT sha256('v1' || chr(0) || 'w' || p_size || chr(0) || p_brand || chr(0) || p_name) FROM part WHERE p_size < 20)")

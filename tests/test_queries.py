@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from skeinwork.plans import catalog, context, evaluations, indexes, journals, lookups, matches, reports, workflows  # noqa: F401
+from skeinwork.plans import catalog, context, evaluations, indexes, journals, lookups, matches, reports, workflows, details  # noqa: F401
 
 NAMES = sorted(catalog.oracle_sql())
 
