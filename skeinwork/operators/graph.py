@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import Files, shared_dir
+from ..sources.shared import Files, Scratch, shared_dir
 
 #: Evidence from strongest to weakest; the first two are certain (fixed values).
 EVIDENCE = ("resolved", "declared", "inferred", "observed", "unknown")
@@ -194,18 +194,30 @@ def impact_lines(edges: DataFrame | Adjacency, nodes: DataFrame, start: DataFram
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 40, damping: float = 0.85) -> DataFrame:
     """(node_id, score) after a fixed number of rounds; the mass of nodes without out-edges is spread evenly.
 
-    Each round's scores are written, so that plans stay short; one number of it, the idle mass, comes to the driver.
+    Links are stored once in buckets of their source, scores and degrees in buckets of their node, so a round meets them where they
+    lie and shuffles one partial sum a target and task. Each round is written, the one before it is freed, and one number of it,
+    the idle mass, comes to the driver as it is written.
     """
-    degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
+    spark = nodes.sparkSession
+    scratch, width = Scratch(spark, "pagerank"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = nodes.count()
-    base = settled(nodes.select("node_id").join(degree, F.col("node_id") == F.col("src"), "left").select("node_id", F.coalesce("degree", F.lit(0)).alias("degree")))
-    links = settled(edges.select("src", "dst"))
-    scores = base.withColumn("score", F.lit(1.0 / max(n, 1)))
-    for _ in range(rounds):
-        idle = scores.filter("degree = 0").agg(F.sum("score")).first()[0] or 0.0
-        sent = links.join(scores.select(F.col("node_id").alias("src"), (F.col("score") / F.col("degree")).alias("part")), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum("part").alias("got"))
-        new = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + idle / n)
-        scores = settled(base.join(sent, "node_id", "left").select("node_id", "degree", new.alias("score")))
+    if not n:
+        return nodes.select("node_id", F.lit(0.0).alias("score"))
+    links = scratch.write_bucketed(edges.select("src", "dst").repartition(width, "src"), "links", "src", width)
+    degree = links.groupBy("src").agg(F.count("*").alias("degree"))
+    start = nodes.select("node_id").join(degree, F.col("node_id") == F.col("src"), "left").select("node_id", F.coalesce("degree", F.lit(0)).alias("degree"), F.lit(1.0 / n).alias("score"))
+    idle_of = lambda: F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("score"))), F.lit(0.0)).alias("idle")
+    for step in range(rounds + 1):
+        if step:
+            part = scores.filter("degree > 0").select(F.col("node_id").alias("src"), (F.col("score") / F.col("degree")).alias("part"))
+            got = links.hint("merge").join(part, "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum("part").alias("got"))
+            new = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + seen.get["idle"] / n)
+            start = scores.select("node_id", "degree").hint("merge").join(got, "node_id", "left").select("node_id", "degree", new.alias("score"))
+        seen = Observation(f"idle-{step}")
+        scores = scratch.write_bucketed(start.observe(seen, idle_of()), f"scores-{step}", "node_id", width)
+        if step:
+            scratch.drop(f"scores-{step - 1}")
+    scratch.drop("links")
     return scores.select("node_id", "score")
 
 

@@ -161,7 +161,7 @@ def markdown(table: DataFrame, order: list[str], limit: int = 1000) -> str:
 
 def cut_text(text: Column, width: int) -> Column:
     """The text without space around, on one line, and cut with a mark after `width` signs."""
-    line = F.replace(F.trim(text), F.lit("\n"), F.lit(" "))
+    line = F.replace(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit("\n"), F.lit(" "))
     return F.when(F.length(line) <= width, line).otherwise(F.concat(F.substring(line, 1, width), F.lit("…")))
 
 

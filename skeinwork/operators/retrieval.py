@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import Scratch
 from .paths import sensitive
 
 
@@ -30,14 +35,50 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75,
     return total.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= most).drop("k")
 
 
-def top_vectors(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, vec_id, dot): each query's vector of the largest dot product, the smallest vec_id of equals.
+def top_vectors(vectors: DataFrame, queries: DataFrame, block: int = 4096) -> DataFrame:
+    """(query_id, vec_id, dot): each query's vector of the largest dot product, the smallest vec_id of equals; null vectors are left out.
 
-    queries (query_id, q) is a stated set; it is sent to every task, and each task keeps one row per query.
+    Queries are stored in blocks of `block`, and every partition of vectors is multiplied with each block as matrices: one block
+    is sent to the tasks at a time, whose size is bounded whatever the number of queries, and a task gives one row a query. The
+    query set is a stated one; a block of it is one pass over the vectors. Products are of doubles.
     """
-    dot = F.aggregate(F.zip_with("embedding", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    scored = vectors.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", dot.alias("dot"))
-    return scored.groupBy("query_id").agg(F.max(F.struct("dot", (-F.col("vec_id")).alias("v"))).alias("m")).select("query_id", (-F.col("m.v")).alias("vec_id"), "m.dot")
+    spark = vectors.sparkSession
+    placed = Scratch(spark, "queries").write(queries.filter("q is not null").select(F.col("query_id").cast("long"), F.col("q").cast("array<double>").alias("q")), "queries")
+    n = placed.count()
+    numbered = placed.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // block)))))
+    rows = vectors.filter("embedding is not null").select(F.col("vec_id").cast("long"), "embedding")
+    out = spark.createDataFrame([], "query_id long, vec_id long, dot double")
+    for part in range(max(1, -(-n // block))):
+        held = numbered.filter(F.col("part") == part).select("query_id", "q").toArrow()
+        ids = np.asarray(held["query_id"])
+        if not len(ids):
+            continue
+        matrix = np.array(held["q"].to_pylist(), np.float64).reshape(len(ids), -1)
+        out = out.unionByName(rows.mapInArrow(_best_of(ids, matrix), "query_id long, vec_id long, dot double"))
+    return out.groupBy("query_id").agg(F.max(F.struct("dot", (-F.col("vec_id")).alias("v"))).alias("m")).select("query_id", (-F.col("m.v")).alias("vec_id"), "m.dot")
+
+
+def _best_of(ids: np.ndarray, matrix: np.ndarray):
+    """The function of a task that gives, for each query, its best vector of the partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, at = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64)
+        for batch in batches:
+            vec = batch["vec_id"].to_numpy(zero_copy_only=False)
+            if not len(vec):
+                continue
+            data = batch["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vec), -1)
+            for a in range(0, len(ids), 512):  # so products of one batch stay small
+                dots = matrix[a : a + 512] @ data.T
+                most = dots.max(axis=1)
+                least = np.where(dots == most[:, None], vec[None, :], np.iinfo(np.int64).max).min(axis=1)
+                old, was = top[a : a + 512], at[a : a + 512]
+                new = (most > old) | ((most == old) & (least < was))
+                top[a : a + 512], at[a : a + 512] = np.where(new, most, old), np.where(new, least, was)
+        found = top > -np.inf
+        yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array(at[found]), pa.array(top[found])], ["query_id", "vec_id", "dot"])
+
+    return run
 
 
 def expanded_terms(text: Column, most: int = 12) -> Column:

@@ -31,6 +31,6 @@ def cards(spark: SparkSession, folder: str, names: tuple[str, ...] = CARDS) -> t
     symbols = F.filter(F.transform(F.concat(inline, below), lambda x: bare(F.regexp_replace(x, r"\s+$", ""))), lambda x: x != "")
     notes = rows.filter("reason is null").select(
         "note_id", "file", field("repo_id").alias("repository"), field("commit").alias("commit"), F.unix_timestamp(F.try_to_timestamp(field("updated_at"))).alias("updated_at"),
-        field("source").alias("source"), symbols.alias("symbols"), F.trim(F.get("p", F.lit(2))).alias("text"),
+        field("source").alias("source"), symbols.alias("symbols"), F.regexp_replace(F.get("p", F.lit(2)), r"^\s+|\s+$", "").alias("text"),
     )
     return notes, rows.filter("reason is not null").select("file", "reason")

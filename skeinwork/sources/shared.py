@@ -57,12 +57,22 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/skeinwork/{name}-{uuid.uuid4().hex}"
+        self.tables: dict[str, str] = {}
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """As write(), in buckets of the key's hash: two such tables of equal buckets are joined by their keys where they lie."""
+        self.tables[name] = f"skeinwork_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets, key).format("parquet").option("path", f"{self.path}/{name}").saveAsTable(self.tables[name])
+        return self.spark.read.table(self.tables[name])
+
     def drop(self, name: str = "") -> None:
         """Delete the table of that name, or all; what reads them must have been written before."""
+        for t in [name] if name else list(self.tables):
+            if t in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(t)}")
         Files(self.spark, self.path).delete(name)
