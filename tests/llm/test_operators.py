@@ -158,11 +158,47 @@ def test_quality_keeps_good_documents_without_a_label(spark, sf_dir, documents):
     assert len(held) > 20 and sum(held) >= 0.9 * len(held)
 
 
-def test_warc_round_trip(spark, sf_dir, tmp_path):
-    records = warc.derive(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet").limit(5)))
-    warc.write_warc(records, f"file://{tmp_path}")
-    back = warc.read_warc(spark, f"file://{tmp_path}/records")
-    assert sorted(r.block for r in back.collect()) == sorted(r.block for r in records.collect())
+def test_warc_files(spark, sf_dir, tmp_path):
+    """Real .warc.gz files, read by another gzip reader and back, with records that a long page and an empty one give."""
+    import glob
+    import gzip
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").limit(20).select("page_id", "url", "html")
+    pages = pages.unionByName(spark.createDataFrame([(None, None, None), (7000, "http://x/", "<p>" + "long é " * 300_000), (7001, "http://y/", "")], pages.schema)).withColumn("headers", F.lit(1)).withColumn("block", F.lit("x"))
+    records = warc.derive(warc.responses(pages))
+    files = warc.write_warc(records.repartition(3), f"file://{tmp_path}/out", part_bytes=3_000)
+    assert records.count() == 2 * pages.count() == sum(r.records for r in files.collect())
+    names = sorted(glob.glob(f"{tmp_path}/out/*.warc.gz"))
+    assert sorted(r.path.removeprefix("file://") for r in files.collect()) == names and len(names) > 3
+    whole = b"".join(gzip.open(n).read() for n in names)
+    assert whole.count(b"WARC/1.1\r\n") == records.count()
+    key = lambda r: (r.headers["WARC-Record-ID"], r.block)
+    back = warc.read_warc(files).collect()
+    assert sorted(map(key, back)) == sorted(map(key, records.collect()))
+    assert all(r.headers["Content-Length"] == str(len(r.block.encode())) for r in back)
+    assert warc.write_warc(records.limit(0), f"file://{tmp_path}/none").count() == 0
+
+
+def test_warc_of_others():
+    """Members that hold several records, headers in other cases, pieces of any size, and a file that breaks off."""
+    import gzip
+
+    one = b"WARC/1.0\r\nwarc-type: response\r\ncontent-length: 5\r\n\r\na\r\nbc\r\n\r\n"
+    two = b"WARC/1.1\r\nWARC-Type:metadata\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    data = gzip.compress(one + two) + gzip.compress(two) + gzip.compress(one)
+    for size in (1, 7, 1000):
+        found = list(warc.parse(iter([data[i : i + size] for i in range(0, len(data), size)])))
+        assert [(h.get("warc-type") or h["WARC-Type"], b) for h, b in found] == [("response", b"a\r\nbc"), ("metadata", b""), ("metadata", b""), ("response", b"a\r\nbc")]
+    assert len(list(warc.parse(iter([data[:-30]])))) == 3
+
+
+def test_plain_text(spark):
+    cases = {
+        '<p title="a > b">x</p><a href=\'>\'>y</a>': "x\ny", "1 < 2 &amp;&amp; 3 &gt; 2": "1 < 2 && 3 > 2", "&eacute;&#233;&#xE9;&nbsp;&euro;&hellip;&#128;": "éé" + "é €…€", "&amp;lt; &unknown; &#39;": "&lt; &unknown; '",
+        "<script>var t='</p>'</script>a<style>b</style ><!-- <p> -->c": "a c", '<a href="open>text</a>': "text", "": "", "<br/><br>\n\n z \t z": "z z", "&#0;&#xD800;": "\ufffd\ufffd",
+    }
+    got = {r.h: r.t for r in spark.createDataFrame([(c,) for c in cases], "h string").select("h", warc.plain_text(F.col("h")).alias("t")).collect()}
+    assert got == cases
 
 
 def test_sequence_of_a_shard_with_long_documents(tmp_path):
