@@ -11,7 +11,7 @@ from contextvars import ContextVar
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but these characters (fixed values of the contract).
@@ -239,6 +239,11 @@ def arrow_type(schema: str) -> pa.Schema:
     return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(",")])
 
 
+def text_key(text: str | Column) -> Column:
+    """What names a whole text, null as empty: 128 bits, so of 10^10 texts no two are expected to share one."""
+    return F.unhex(F.md5(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")))
+
+
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text alone, null text as empty: nothing else of a wide or clashing table travels."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_type, combine, durable, slices, small_batches, table, texts_of, word_hashes, word_spans
+from .common import Scratch, arrow_type, combine, durable, slices, small_batches, table, text_key, texts_of, word_hashes, word_spans
 
 #: Seeds over consecutive words: a word under 0 may differ (fixed values). Any two differing words in a span of 12 or more leave
 #: a match under one of them. An item shorter than a seed is one seed of all its words.
@@ -47,7 +47,8 @@ def _sequences(frame: DataFrame, key: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(words.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch[key].slice(first, len(bounds) - 1), lists], [key, "words"])
 
-    return frame.select(F.col(key).cast("long").alias(key), F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(run, f"{key} long, words array<long>")
+    kind = "binary" if frame.schema[key].dataType.typeName() == "binary" else "long"
+    return frame.select(F.col(key).cast(kind).alias(key), F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(run, f"{key} {kind}, words array<long>")
 
 
 def _seed_table(items: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def _verdict(same: np.ndarray, need: int, min_match: float) -> tuple[int, int, i
 
 
 def passages(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, min_match: float = 0.8) -> DataFrame:
-    """(tkey, item_id, n_words, n_match, first_word): the texts, by their xxhash64, that repeat a benchmark item.
+    """(tkey, item_id, n_words, n_match, first_word): the texts, by their text_key(), that repeat a benchmark item.
 
     Words are runs of letters and digits, without case. Every seed of every text is held against the seeds of the
     benchmark. Where one hits, all of the item is aligned with the text's words on the hit's diagonal, and the best run (a
@@ -106,12 +107,11 @@ def passages(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, min_mat
     for cell, value in bits.groupBy("cell").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("value")).collect():
         cells[cell] = np.int64(value).view(np.uint64)
     sieve = spark.sparkContext.broadcast(cells)
-    hit_schema = "tkey long, seed long, at long"
+    hit_schema = "tkey binary, seed long, at long"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = sieve.value
         for batch in batches:
-            keys = batch["tkey"].to_numpy()
             for first, words, bounds in _words_of(batch["text"]):
                 for at, h in _seeds(words, bounds, short):
                     cell = (h >> np.uint64(6)) & np.uint64(words64 - 1)
@@ -119,9 +119,9 @@ def passages(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, min_mat
                     if len(keep):
                         at, h = at[keep], h[keep]
                         row = np.searchsorted(bounds, at, "right") - 1
-                        yield pa.RecordBatch.from_arrays([pa.array(keys[first + row]), pa.array(h.view(np.int64)), pa.array((at - bounds[row]).astype(np.int64))], schema=arrow_type(hit_schema))
+                        yield pa.RecordBatch.from_arrays([batch["tkey"].take(pa.array(first + row)), pa.array(h.view(np.int64)), pa.array((at - bounds[row]).astype(np.int64))], schema=arrow_type(hit_schema))
 
-    texts = texts_of(docs).select(F.xxhash64("text").alias("tkey"), "text")
+    texts = texts_of(docs).select(text_key("text").alias("tkey"), "text")
     hits = texts.withColumn("text", F.lower("text")).mapInArrow(scan, hit_schema).join(seeds, "seed")
     # hits of one diagonal say the same
     lanes = scratch.write(hits.select("tkey", "item_id", "item_key", (F.col("at") - F.col("place")).alias("shift")).distinct(), "lanes")
@@ -129,7 +129,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, min_mat
     both = found.join(lanes, "tkey").join(items, ["item_id", "item_key"])
     low, high = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("item"), F.size("words") - F.col("shift"))
     part = both.select("tkey", "item_id", F.size("item").alias("size"), (low + F.col("shift")).alias("first"), F.slice("words", (low + F.col("shift") + 1).cast("int"), (high - low).cast("int")).alias("a"), F.slice("item", (low + 1).cast("int"), (high - low).cast("int")).alias("b"))
-    schema = "tkey long, item_id long, n_words long, n_match long, first_word long"
+    schema = "tkey binary, item_id long, n_words long, n_match long, first_word long"
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +140,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, min_mat
                 same = a[0][a[1][i] : a[1][i + 1]] == b[0][b[1][i] : b[1][i + 1]]
                 if (got := _verdict(same, min(min_words, size), min_match)) is not None:
                     rows.append((tkey, item_id, got[0], got[1], first + got[2]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in range(5)], schema=arrow_type(schema))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64() if i else pa.binary()) for i in range(5)], schema=arrow_type(schema))
 
     best = F.max(F.struct("n_match", "n_words", (-F.col("first_word")).alias("f"))).alias("b")
     out = part.mapInArrow(verify, schema).groupBy("tkey", "item_id").agg(best).select("tkey", "item_id", F.col("b.n_words").alias("n_words"), F.col("b.n_match").alias("n_match"), (-F.col("b.f")).alias("first_word"))
@@ -155,14 +155,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, min
     Repeated rows give equal rows once; rows without a doc_id are found like others, with a null one.
     """
     found = passages(docs, benchmark, min_words, min_match)
-    return texts_of(docs).select("doc_id", F.xxhash64("text").alias("tkey")).distinct().join(found, "tkey").drop("tkey")
+    return texts_of(docs).select("doc_id", text_key("text").alias("tkey")).distinct().join(found, "tkey").drop("tkey")
 
 
 def without_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose text repeats a benchmark item; all columns stay as they are."""
     bad = passages(docs, benchmark).select("tkey").distinct()
     rows = docs.select(F.struct(*docs.columns).alias("row"))
-    return rows.join(bad, F.xxhash64(F.coalesce("row.text", F.lit(""))) == F.col("tkey"), "left_anti").select("row.*")
+    return rows.join(bad, text_key("row.text") == F.col("tkey"), "left_anti").select("row.*")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

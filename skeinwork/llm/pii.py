@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, durable, table
+from .common import Scratch, durable, table, text_key
 
 #: The contract's patterns, written so that Java's matcher needs no backtracking, recursion or rescanning; they find the
 #: same leftmost matches. A run of digits and single separators is one card match, so only runs of 16 to 19 digits count.
@@ -97,7 +97,7 @@ def _clean(text: Column, spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """tkey (xxhash64 of the text, null as empty), spans (array<struct<k,s,e>>, by kind, then start) and clean, of every distinct text that holds a span.
+    """tkey (see text_key), spans (array<struct<k,s,e>>, by kind, then start) and clean, of every distinct text that holds a span.
 
     Base spans always stay, and so do secrets. Entities are the spans' lower-case values by kind, and the hosts of addresses. A word anywhere in a text that
     holds an entity becomes spans of kind "term", each time it stands there outside other spans, where it discloses that entity
@@ -107,7 +107,7 @@ def sanitise(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "pii")
     text = F.coalesce(F.col("text"), F.lit(""))
     secret = F.when(F.col("text").rlike("[A-Za-z0-9_]{20}"), _found(F.col("text"), SECRET, KINDS.index("secret"), lambda v: F.lit(True))).otherwise(F.array().cast(SPAN))
-    texts = docs.select(F.xxhash64(text).alias("tkey"), text.alias("text")).dropDuplicates(["tkey"])
+    texts = docs.select(text_key(text).alias("tkey"), text.alias("text")).dropDuplicates(["tkey"])
     texts = scratch.write(texts.withColumn("spans", F.concat(base_spans(F.col("text")), secret)), "texts")
     found = texts.filter(F.size("spans") > 0)  # from here on no text without a span is shuffled
     value, host = F.concat_ws(":", F.col("x.k").cast("string"), F.lower("x.v")), F.concat(F.lit("host:"), F.lower(F.substring_index("x.v", "@", -1)))
@@ -132,7 +132,7 @@ def sanitise(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
 
 def redact(docs: DataFrame, clean: DataFrame) -> DataFrame:
     """docs with the clean texts that sanitise() gives; null texts stay null, all other texts and columns as they are."""
-    rows = docs.select(F.struct(*docs.columns).alias("row")).join(clean.select("tkey", "clean"), F.xxhash64(F.coalesce("row.text", F.lit(""))) == F.col("tkey"), "left")
+    rows = docs.select(F.struct(*docs.columns).alias("row")).join(clean.select("tkey", "clean"), text_key("row.text") == F.col("tkey"), "left")
     return rows.select(*[F.coalesce("clean", "row.text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
@@ -154,7 +154,7 @@ def op10_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
         _joined(F.col("spans")).alias("spans"), F.sha2(F.col("clean").cast("binary"), 256).alias("clean_sha256"),
     )
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("tkey"), F.sha2(text.cast("binary"), 256).alias("same")).join(each, "tkey", "left")
+    rows = docs.select("doc_id", text_key(text).alias("tkey"), F.sha2(text.cast("binary"), 256).alias("same")).join(each, "tkey", "left")
     counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in (*[f"n_{k}" for k in KINDS], "n_spans")]
     lines = F.coalesce("base_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans")
     return rows.select("doc_id", *counts[: len(PATTERNS)], *lines, *counts[len(PATTERNS) :], F.coalesce("clean_sha256", "same").alias("clean_sha256"))

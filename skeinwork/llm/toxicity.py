@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow_type, mix, slices, small_batches, table, texts_of, word_hashes, word_spans
 from .decontaminate import _LETTER
 
-#: Bounds of what is fitted: labelled rows, as many unlabelled ones, and lexicon voters, which are also the classifier's features.
-TRAIN_ROWS, VOTERS = 20_000, 2048
+#: Bound of the rows that are fitted: labelled ones, and as many without a label. Every word and prefix of them may become a voter.
+TRAIN_ROWS = 20_000
 #: A word or prefix votes if it leans to label 1: with this log likelihood ratio over the label rate at least, and mostly. Among
 #: some 10^5 words and prefixes chance alone gives a ratio of 8.5 to a handful; weaker ones make the model find the texts' length.
 LEAST_GAIN, LEAST_SHARE = 8.5, 0.6
@@ -122,7 +122,7 @@ def _lexicon(rows: DataFrame, belief: DataFrame, rate: float) -> dict[int, tuple
     df = F.col("pos") + F.col("neg")
     gain = F.col("pos") * F.log(F.col("pos") / (df * rate)) + F.when(F.col("neg") > 1e-9, F.col("neg") * F.log(F.col("neg") / (df * (1 - rate)))).otherwise(0.0)
     leans = counts.filter(F.col("pos") > LEAST_SHARE * df).withColumn("gain", F.round(gain, 6)).filter(F.col("gain") >= LEAST_GAIN)
-    return {r.h: (r.pos, r.neg) for r in leans.orderBy(F.desc("gain"), "h").limit(VOTERS).collect()}
+    return {r.h: (r.pos, r.neg) for r in leans.orderBy(F.desc("gain"), "h").collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
