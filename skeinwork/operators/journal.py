@@ -293,7 +293,7 @@ def open_operations(operations: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def recovered(tasks: DataFrame, operations: DataFrame, files: DataFrame, evidence: DataFrame) -> DataFrame:
-    """One row a live task: (task, last_completed, drifted, open, inspected, edits, accepted, rejected, stale, next_action).
+    """One row a live task: (task, last_completed, drifted, open, inspected, edits, accepted, rejected, stale, next_action, inspected_paths, edited_paths).
 
     tasks: task, state, current (the candidate as the worktree is, null if unknown), plan_head (first step left, null if none);
     operations as in open_operations with candidate_after and accepted; evidence: task, candidate. Tasks that are done, failed
@@ -305,15 +305,18 @@ def recovered(tasks: DataFrame, operations: DataFrame, files: DataFrame, evidenc
     folded = operations.groupBy("task").agg(
         F.max_by(F.when(done, F.col("candidate_after")), F.when(done & (F.col("candidate_after") != ""), F.col("seq"))).alias("last_completed"),
         F.count_if(F.expr("outcome is null")).alias("open"), F.count_if(F.expr("kind = 'edit' and outcome is not null and path is not null")).alias("edits"),
-        F.count_distinct(F.when(F.expr("kind = 'inspect_file'"), F.col("path"))).alias("inspected"),
+        F.array_sort(F.collect_set(F.when(F.expr("kind = 'inspect_file'"), F.col("path")))).alias("inspected_paths"),
+        F.array_sort(F.collect_set(F.when(F.expr("kind = 'edit' and outcome is not null"), F.col("path")))).alias("edited_paths"),
         F.count_if(F.expr("kind = 'decision' and accepted")).alias("accepted"), F.count_if(F.expr("kind = 'decision' and not coalesce(accepted, false)")).alias("rejected"),
     )
     partial = open_operations(operations, files).filter(F.col("applied") == PARTIAL).groupBy("task").agg(F.min("seq").alias("at"))
     stale = live.join(evidence, "task").groupBy("task").agg(F.count_if(F.expr("current <> '' and candidate <> '' and candidate <> current")).alias("stale"))
-    out = live.join(folded, "task", "left").join(partial, "task", "left").join(stale, "task", "left").fillna(0, ["open", "edits", "inspected", "accepted", "rejected", "stale"])
+    out = live.join(folded, "task", "left").join(partial, "task", "left").join(stale, "task", "left").fillna(0, ["open", "edits", "accepted", "rejected", "stale"])
+    none = F.array().cast("array<string>")
+    out = out.withColumns({c: F.coalesce(c, none) for c in ("inspected_paths", "edited_paths")}).withColumn("inspected", F.size("inspected_paths").cast("long"))
     out = out.withColumn("drifted", F.coalesce(F.expr("last_completed <> '' and current <> '' and last_completed <> current"), F.lit(False)))
     action = F.when(F.col("at").isNotNull(), F.concat(F.lit("reconcile:"), "at")).when(F.col("drifted"), "validate").when(F.col("stale") > 0, "revalidate").when(F.col("plan_head").isNotNull(), F.concat(F.lit("step:"), "plan_head")).otherwise("plan")
-    return out.select("task", "last_completed", "drifted", "open", "inspected", "edits", "accepted", "rejected", "stale", action.alias("next_action"))
+    return out.select("task", "last_completed", "drifted", "open", "inspected", "edits", "accepted", "rejected", "stale", action.alias("next_action"), "inspected_paths", "edited_paths")
 
 
 def memo_key(version: Column, workspace: Column, analyzer: Column, digest: Column) -> Column:
@@ -328,3 +331,11 @@ def to_analyze(work: DataFrame, cache: DataFrame) -> DataFrame:
 def refreshed(old: DataFrame, new: DataFrame, dirty: DataFrame, scope: str) -> DataFrame:
     """old rows of clean scopes and new rows of dirty ones: only what is dirty is read anew."""
     return old.join(dirty, scope, "left_anti").unionByName(new.join(dirty, scope, "left_semi"))
+
+
+def totals(daily: DataFrame, since: str | None = None, name: str | None = None, workspace: int | None = None) -> DataFrame:
+    """(workspace_id, kind, name, n, total_ms) of daily counts (and day, as text) from a day on, of one name, of one workspace; each may be left out."""
+    for column, value, holds in (("day", since, Column.__ge__), ("name", name, Column.__eq__), ("workspace_id", workspace, Column.__eq__)):
+        if value is not None:
+            daily = daily.filter(holds(F.col(column), F.lit(value)))
+    return daily.groupBy("workspace_id", "kind", "name").agg(F.sum("n").alias("n"), F.sum("total_ms").alias("total_ms"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, journal, matching, packets, packing, results
+from ..operators import failures, graph, journal, matching, packets, packing, results
 from ..sources import tables as T
+from ..sources import trees
+from ..sources.shared import Scratch
 from . import catalog, journals, matches, reports, workflows  # noqa: F401  (their SQL is part of these)
 from .catalog import query
 
@@ -124,3 +126,52 @@ def reference_owners(spark, sf_dir):
     spans = T.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("span_id"), F.col("o_custkey").alias("file_id"), key.alias("first"), (key + F.col("o_orderkey") % 401).alias("last"))
     points = T.table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("point_id")).agg(F.min("l_suppkey").alias("file_id"), (F.min("l_partkey") % 1000).alias("line"), F.min("l_orderkey").alias("target"))
     return matching.innermost_span(points, spans)
+
+
+@query("commit_log", """WITH p AS (SELECT l_orderkey, list_sort(list(DISTINCT 'src/p' || l_partkey % 90 || '.go')) AS paths FROM lineitem GROUP BY l_orderkey)
+  SELECT 'h' || o_orderkey AS hash, 'a' || o_custkey AS author, epoch(o_orderdate)::BIGINT AS "at", o_orderpriority || ' x' AS subject, coalesce(array_to_string(paths, ','), '') AS paths FROM orders LEFT JOIN p ON l_orderkey = o_orderkey""")
+def commit_log(spark, sf_dir):
+    """Orders as a version log, written and read again, with the paths that each touches."""
+    paths = T.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.concat(F.lit("src/p"), F.col("l_partkey") % 90, F.lit(".go"))).alias("paths"))
+    orders = T.table(spark, sf_dir, "orders").join(paths, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    fields = [F.concat(F.lit("h"), "o_orderkey"), F.concat(F.lit("a"), "o_custkey"), F.unix_timestamp("o_orderdate").cast("string"), F.concat("o_orderpriority", F.lit(" x")), F.concat(F.lit("\n"), F.coalesce(F.array_join("paths", "\n"), F.lit("")), F.lit("\n"))]
+    folder = Scratch(spark, "log").path
+    orders.select(F.concat_ws(trees.FIELD, *fields).alias("value")).write.option("lineSep", trees.RECORD).text(folder)
+    return trees.commits(spark, folder).withColumn("paths", F.array_join(F.array_sort("paths"), ","))
+
+
+@query("lint_findings", """SELECT DISTINCT user_id AS report, event_type AS linter, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'warning' END AS severity, 'f' || event_id % 5 || '.go' AS file, event_id % 7 AS line, 0::BIGINT AS col, 'finding ' || event_id % 11 AS message FROM events WHERE event_id % 4 > 0""")
+def lint_findings(spark, sf_dir):
+    """findings of linters' JSON reports, a report a user; a quarter of the issues is in reports that break off."""
+    i = F.col("event_id")
+    place = F.struct(F.concat(F.lit("f"), i % 5, F.lit(".go")).alias("Filename"), (i % 7).alias("Line"))
+    issue = F.struct(F.col("event_type").alias("FromLinter"), F.when(i % 3 > 0, "warning").alias("Severity"), F.concat(F.lit("finding "), i % 11).alias("Text"), place.alias("Pos"))
+    text = F.to_json(F.struct(F.array(issue).alias("Issues")))
+    reports = T.table(spark, sf_dir, "events").select(F.col("user_id").alias("report"), F.when(i % 4 == 0, F.substring(text, 2, 20)).otherwise(text).alias("text"))
+    return failures.linter_findings(reports)
+
+
+@query("crash_counts", "SELECT user_id AS log, CASE event_type WHEN 'error' THEN 'panic' ELSE 'race' END AS kind, count(*) AS n FROM events WHERE event_type IN ('error', 'signup') GROUP BY ALL")
+def crash_counts(spark, sf_dir):
+    """races and panics that logs report."""
+    text = F.when(F.col("event_type") == "error", F.concat(F.lit("  panic: "), "event_id")).when(F.col("event_type") == "signup", "WARNING: DATA RACE").otherwise("no panic: here")
+    return failures.crashes(T.table(spark, sf_dir, "events").select(F.col("user_id").alias("log"), text.alias("text")))
+
+
+_FILTERS = ((None, None, None), ("2024-01-03", None, None), (None, "k3", None), ("2024-01-02", "k4", 2))
+
+
+def _filter_sql(i: int, since: str | None, name: str | None, workspace: int | None) -> str:
+    parts = [*([f"day >= '{since}'"] if since else []), *([f"name = '{name}'"] if name else []), *([f"workspace_id = {workspace}"] if workspace is not None else [])]
+    return f"SELECT {i} AS filter, workspace_id, kind, name, sum(n)::BIGINT AS n, sum(total_ms)::BIGINT AS total_ms FROM d WHERE {' AND '.join(parts) or 'true'} GROUP BY ALL"
+
+
+@query("telemetry_filtered", f"WITH d AS ({catalog.oracle_sql()['telemetry_daily']}) " + " UNION ALL ".join(_filter_sql(i, *f) for i, f in enumerate(_FILTERS)))
+def telemetry_filtered(spark, sf_dir):
+    """Totals of the daily counts under filters that may each be left out."""
+    daily = catalog.queries()["telemetry_daily"](spark, sf_dir)
+    out = None
+    for i, f in enumerate(_FILTERS):
+        part = journal.totals(daily, *f).select(F.lit(i).alias("filter"), "workspace_id", "kind", "name", "n", "total_ms")
+        out = part if out is None else out.unionByName(part)
+    return out

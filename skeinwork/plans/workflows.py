@@ -107,16 +107,17 @@ def open_operations(spark, sf_dir):
 
 
 @query("journal_state", f"""WITH {_OPEN_SQL}, t AS (SELECT {_TASKS} FROM customer), ev AS (SELECT {_EVIDENCE} FROM orders),
-  d AS (SELECT task, arg_max(candidate_after, seq) FILTER (WHERE outcome IS NOT NULL AND candidate_after <> '') AS last_completed, count_if(outcome IS NULL)::BIGINT AS n_open, count(DISTINCT path) FILTER (WHERE kind = 'inspect_file') AS inspected,
+  d AS (SELECT task, arg_max(candidate_after, seq) FILTER (WHERE outcome IS NOT NULL AND candidate_after <> '') AS last_completed, count_if(outcome IS NULL)::BIGINT AS n_open, count(DISTINCT path) FILTER (WHERE kind = 'inspect_file') AS inspected, string_agg(DISTINCT path, ',' ORDER BY path) FILTER (WHERE kind = 'inspect_file') AS seen, string_agg(DISTINCT path, ',' ORDER BY path) FILTER (WHERE kind = 'edit' AND outcome IS NOT NULL) AS edited,
     count_if(kind = 'edit' AND outcome IS NOT NULL AND path IS NOT NULL)::BIGINT AS edits, count_if(kind = 'decision' AND accepted)::BIGINT AS accepted, count_if(kind = 'decision' AND NOT accepted)::BIGINT AS rejected FROM ops GROUP BY task),
   p AS (SELECT task, min(seq) AS part_seq FROM opened WHERE applied = 'partial' GROUP BY task), s AS (SELECT t.task, count_if(current <> '' AND candidate <> '' AND candidate <> current)::BIGINT AS stale FROM t JOIN ev ON ev.task = t.task GROUP BY t.task),
-  a AS (SELECT t.task, last_completed, coalesce(last_completed <> '' AND current <> '' AND last_completed <> current, false) AS drifted, coalesce(n_open, 0) AS open, coalesce(inspected, 0) AS inspected, coalesce(edits, 0) AS edits, coalesce(accepted, 0) AS accepted, coalesce(rejected, 0) AS rejected, coalesce(stale, 0) AS stale, part_seq, plan_head
+  a AS (SELECT t.task, last_completed, coalesce(last_completed <> '' AND current <> '' AND last_completed <> current, false) AS drifted, coalesce(n_open, 0) AS open, coalesce(inspected, 0) AS inspected, coalesce(edits, 0) AS edits, coalesce(accepted, 0) AS accepted, coalesce(rejected, 0) AS rejected, coalesce(stale, 0) AS stale, coalesce(seen, '') AS inspected_paths, coalesce(edited, '') AS edited_paths, part_seq, plan_head
     FROM t LEFT JOIN d ON d.task = t.task LEFT JOIN p ON p.task = t.task LEFT JOIN s ON s.task = t.task WHERE state <> 'done')
   SELECT * EXCLUDE (part_seq, plan_head), CASE WHEN part_seq IS NOT NULL THEN 'reconcile:' || part_seq WHEN drifted THEN 'validate' WHEN stale > 0 THEN 'revalidate' WHEN plan_head IS NOT NULL THEN 'step:' || plan_head ELSE 'plan' END AS next_action FROM a""")
 def journal_state(spark, sf_dir):
     """Every live task's state and what to do next."""
     part = lambda name, columns: _from(spark, sf_dir, name, columns)
-    return journal.recovered(part("customer", _TASKS), part("orders", _OPS), part("customer", _FILES), part("orders", _EVIDENCE))
+    state = journal.recovered(part("customer", _TASKS), part("orders", _OPS), part("customer", _FILES), part("orders", _EVIDENCE))
+    return state.withColumns({c: F.array_join(c, ",") for c in ("inspected_paths", "edited_paths")})
 
 
 @query("broken_chain", f"""WITH ops AS (SELECT {_OPS} FROM orders) SELECT task, seq FROM (SELECT *, lag(candidate_after) OVER (PARTITION BY task ORDER BY seq) AS was FROM ops WHERE candidate_after IS NOT NULL) WHERE was <> candidate_before""")
