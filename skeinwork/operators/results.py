@@ -145,9 +145,9 @@ def graded_runs(runs: DataFrame, tests: DataFrame) -> DataFrame:
 
 
 def rate_text(hits: Column, n: Column) -> Column:
-    """A rate as a report says it, `33% (1/3) [6–79%]`; a dash where there is nothing to count."""
+    """A rate as a report says it, `33% (1/3) [6–79%]`, halves to the even side; a dash where there is nothing to count."""
     low, high = wilson(hits, n)
-    whole = lambda x: F.format_string("%.0f", x * 100.0)
+    whole = lambda x: F.bround(x * 100.0, 0).cast("long").cast("string")
     return F.when(n > 0, F.concat(whole(hits / n), F.lit("% ("), hits, F.lit("/"), n, F.lit(") ["), whole(low), F.lit("–"), whole(high), F.lit("%]"))).otherwise("—")
 
 
