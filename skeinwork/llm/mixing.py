@@ -138,7 +138,8 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     `temper`. Rates are `least` at least: with 1 every document stays, and the targets are met by what is repeated.
     copies = floor(rate + u) with u a hash of doc_id, so its mean is the rate. Null text is empty and counts no tokens; a null
     domain trains nothing; without any labelled row there is one domain of all; repeated rows are rated each, and copied alike;
-    of rows with one doc_id, one trains; an empty table gives no rows.
+    of rows with one doc_id, one trains; an empty table gives no rows. Extra columns travel in row, so no name can clash; very long
+    texts are read in slices.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -161,7 +162,11 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
 
 
 def mixture(mixed: DataFrame) -> DataFrame:
-    """The documents of a mixture, each `copies` times; those of 0 copies are left out."""
+    """The documents of a mixture (from mix()), each `copies` times; those of 0 copies are left out.
+
+    All columns of the documents come back as they were, whatever their names and nulls; repeated rows are copied each; an empty
+    mixture gives no rows. A document is copied in its row, so long texts are held once at a time.
+    """
     return mixed.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 

@@ -352,7 +352,8 @@ def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included) of every document.
 
     Null or empty text has an empty set and links with nothing; equal sets are linked; repeated rows are rows each; rows with a
-    null doc_id link like others but never name a component; an empty table gives no rows.
+    null doc_id link like others but never name a component; an empty table gives no rows. Extra columns, of whatever name, stay
+    out; very long texts are cut in shingles slice by slice, and no shingle is left out.
     """
     scratch = Scratch(docs.sparkSession, "join")
     rows, links = link(docs, scratch)

@@ -432,7 +432,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     whole earlier one needs no sorting: all of it goes if it has 50 bytes.
 
     Null text is empty; a null doc_id counts as smaller than all others; rows with the same doc_id are no earlier documents
-    for each other; an empty table gives no rows; other columns are ignored.
+    for each other; an empty table gives no rows; other columns are ignored. A text longer than a block is a block of its own.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -28,9 +28,12 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
 
     Each block of documents sends its distinct pre-tokens, with (document, frequency) pairs, to hash buckets; a bucket has
     the tokenizer count the pieces of each distinct pre-token once, multiplies, and returns one sum per document. A frequent
-    pre-token is one entry per block, so no bucket gets a hot group. Texts that cannot be cut safely outside the library
-    (special strings, rare scripts) are counted whole where they are read. Null or empty text has 0 tokens; repeated rows are
-    counted each; an empty table gives no rows. A vocabulary other than word_bpe_49k.json is counted whole.
+    pre-token is one entry per block, with a pair for each of the block's documents that has it, so its bucket grows with the
+    documents, by eight bytes each. Texts that cannot be cut safely outside the library (special strings, rare scripts) are
+    counted whole where they are read, and so is every text of a vocabulary other than word_bpe_49k.json.
+
+    Null or empty text has 0 tokens; a null doc_id stays null; repeated rows are counted each; an empty table gives no rows; extra
+    columns, of whatever name, stay out. Very long texts are a block of their own.
     """
     spark = docs.sparkSession
     buckets = 4 * partitions(spark)

@@ -95,7 +95,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str, length: int = 204
 
     A shard holds a range of doc_ids as one stream of ids cut in sequences of `length`; only its last sequence is padded,
     where the bits of mask are 0. ids are 16-bit where the vocabulary allows. Null text is empty and leaves the end id alone; null
-    doc_ids come first, repeated rows are written each; an empty table writes no file.
+    doc_ids come first, repeated rows are written each, in any order of their own; an empty table writes no file. Extra columns, of
+    whatever name, stay out. A very long text is encoded whole, in one task, and its ids go on over sequences and batches.
     """
     from tokenizers import Tokenizer
 
@@ -175,7 +176,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
 
 def token_files(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Write docs' files in the shared folder and read them back."""
+    """Write docs' files in the shared folder and read them back; nulls, repeated rows and extra columns as write_token_files() has them."""
     import public_tokenizers
 
     folder = f"{shared_dir(docs.sparkSession)}/skeinwork/tokens-{uuid.uuid4().hex}"
