@@ -33,7 +33,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     counted whole where they are read, and so is every text of a vocabulary other than word_bpe_49k.json.
 
     Null or empty text has 0 tokens; a null doc_id stays null; repeated rows are counted each; an empty table gives no rows; extra
-    columns, of whatever name, stay out. Very long texts are a block of their own.
+    columns, of whatever name, stay out. A very long text ends its block.
     """
     spark = docs.sparkSession
     buckets = 4 * partitions(spark)
