@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from .shared import Files
 
 
+#: Names of writes that a table remembers: a batch that comes again does so long before as many others have.
+KEPT_NAMES = 1000
+
+
 class Table:
     """Parquet files in parts, with a log that says which files are the table's.
 
@@ -30,14 +34,15 @@ class Table:
         self.log = Files(spark, f"{self.folder}/log")
 
     def state(self) -> tuple[int, dict]:
-        """(version, entry of the log): parts with their folders, and the names of all writes so far."""
+        """(version, entry of the log): parts with their folders, and the names of the last writes."""
         names = [n for n in self.log.names() if n.endswith(".json")]
         return (int(names[-1][:-5]), json.loads(self.log.read(names[-1]))) if names else (0, {"parts": {}, "txns": []})
 
     def read(self, parts: list[str] | None = None) -> DataFrame:
         """The rows as of the last commit, of all parts or of some: files of others are not looked at."""
         known = self.state()[1]["parts"]
-        paths = [path for part, path in known.items() if parts is None or part in parts]
+        wanted = None if parts is None else set(parts)
+        paths = [path for part, path in known.items() if wanted is None or part in wanted]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def _names(self, df: DataFrame) -> list[str]:
@@ -54,7 +59,7 @@ class Table:
         unquote = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
         made = {unquote(n.removeprefix("_part=")): f"{staged}/{n}" for n in Files(self.spark, staged).names() if n.startswith("_part=")}
         parts = {p: at for p, at in entry["parts"].items() if p not in touched} | made
-        if not self.log.create(f"{version + 1:012d}.json", json.dumps({"parts": parts, "txns": entry["txns"] + ([txn] if txn else [])})):
+        if not self.log.create(f"{version + 1:012d}.json", json.dumps({"parts": parts, "txns": (entry["txns"] + ([txn] if txn else []))[-KEPT_NAMES:]})):
             Files(self.spark, staged).delete()
             raise RuntimeError("another writer has committed meanwhile")
         return True
