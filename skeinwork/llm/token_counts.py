@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_type, pack, partitions, small_batches, table, texts_of, unpack
+from .common import Scratch, arrow_type, durable, pack, partitions, small_batches, table, texts_of, unpack
 from .vocab import Vocabulary
 
 #: Characters of text that one block of documents holds; a block's distinct pre-tokens travel once.
@@ -26,10 +26,10 @@ def _spread(words: list[str], buckets: int) -> np.ndarray:
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every whole text.
 
-    Each block of documents sends its distinct pre-tokens, with (document, frequency) pairs, to hash buckets; a bucket has
-    the tokenizer count the pieces of each distinct pre-token once, multiplies, and returns one sum per document. A frequent
-    pre-token is one entry per block, with a pair for each of the block's documents that has it, so its bucket grows with the
-    documents, by eight bytes each. Texts that cannot be cut safely outside the library (special strings, rare scripts) are
+    A block of documents is stored with its distinct pre-tokens, by hash buckets, and who has them how often. The pre-tokens alone go
+    to the buckets, where the tokenizer counts the pieces of each distinct one once; a number for each goes back to its block,
+    which multiplies and sums beside its documents. A frequent pre-token is one entry a block, whoever has it, so no bucket
+    grows with a word's documents. Texts that cannot be cut safely outside the library (special strings, rare scripts) are
     counted whole where they are read, and so is every text of a vocabulary other than word_bpe_49k.json.
 
     Null or empty text has 0 tokens; a null doc_id stays null; repeated rows are counted each; an empty table gives no rows; extra
@@ -38,6 +38,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     spark = docs.sparkSession
     buckets = 4 * partitions(spark)
     small_batches(spark)
+    scratch = Scratch(spark, "counts")
     dealt = "bucket int, block long, n_docs int, docs binary, words binary, pairs binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +87,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
         if held:
             yield block(held, number)
 
-    summed = "block long, docs binary, part binary"
+    back = "block long, bucket int, pieces binary"
+
     def count(group: pd.DataFrame) -> pd.DataFrame:
         vocabulary = Vocabulary.of(path)
         lists = [x.decode().split("\n") if (x := unpack(w, np.uint8)[0].tobytes()) else [] for w in group["words"]]
@@ -95,23 +97,26 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
         for a in range(0, len(distinct), 10_000):
             part = distinct[a : a + 10_000]
             pieces.update(zip(part, map(len, vocabulary.ids_of(part)), strict=True))
-        parts = []
-        for words, n, pairs in zip(lists, group["n_docs"], group["pairs"], strict=True):
-            doc, times, counts = unpack(pairs, np.int32, np.int32, np.int32)
-            each = np.repeat(np.fromiter((pieces[w] for w in words), np.int64, len(words)), counts)
-            parts.append(pack(np.bincount(doc, each * times, n).astype(np.int64)))
-        return pd.DataFrame({"block": group["block"], "docs": group["docs"], "part": parts})
+        packed = [pack(np.fromiter((pieces[w] for w in words), np.int32, len(words))) for words in lists]
+        return pd.DataFrame({"block": group["block"], "bucket": group["bucket"], "pieces": packed})
 
     done = "doc_id long, n_bytes long, n_tokens long"
 
-    def gather(group: pd.DataFrame) -> pd.DataFrame:
-        ids, null, sizes, whole = unpack(group["docs"].dropna().iloc[0], np.int64, bool, np.int64, np.int64)
-        total = whole + sum(unpack(x, np.int64)[0] for x in group["part"])
+    def gather(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        ids, null, sizes, total = (x.copy() for x in unpack(left["docs"].dropna().iloc[0], np.int64, bool, np.int64, np.int64))
+        pieces = dict(zip(right["bucket"], right["pieces"], strict=True))
+        for bucket, pairs in zip(left["bucket"], left["pairs"], strict=True):
+            doc, times, counts = unpack(pairs, np.int32, np.int32, np.int32)
+            each = np.repeat(unpack(pieces[bucket], np.int32)[0].astype(np.int64), counts)
+            total += np.bincount(doc, each * times, len(ids)).astype(np.int64)
         return pd.DataFrame({"doc_id": pd.Series(ids, dtype="Int64").mask(null), "n_bytes": sizes, "n_tokens": total})
 
-    sent = texts_of(docs).mapInArrow(send, dealt)
-    sums = sent.groupBy("bucket").applyInPandas(count, summed)
-    return sums.groupBy("block").applyInPandas(gather, done).withColumn("over_limit", F.col("n_tokens") > limit)
+    # stored in buckets of the block, so what is known of a block is brought to it and it stays where it is
+    blocks = scratch.write_bucketed(texts_of(docs).mapInArrow(send, dealt), "blocks", "block", 2 * partitions(spark))
+    counted = blocks.select("bucket", "block", "words").groupBy("bucket").applyInPandas(count, back)
+    out = durable(blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInPandas(gather, done), "token-counts")
+    scratch.drop()
+    return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
