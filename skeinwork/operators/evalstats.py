@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,6 +104,8 @@ def order_statistic(rows: DataFrame, by: list[str], value: str, **positions: str
 
 
 _DRAW = "pmod(xxhash64(b, slot, side, i), {n})"
+#: Draws that are counted in one row: few enough that the row's code is compiled as one method (fixed value).
+_DRAWS = 8
 
 
 def clustered_bootstrap(outcomes: DataFrame, pairs: DataFrame, resamples: int = 10_000, draw: str = _DRAW) -> DataFrame:
@@ -110,7 +116,8 @@ def clustered_bootstrap(outcomes: DataFrame, pairs: DataFrame, resamples: int =
     0.975, rounded to 8 digits before the verdict. A pair without a shared task has 0 tasks, null figures and no sufficient evidence.
     outcomes: arm, task_id, solved. `draw` is an expression over b (the resample), slot, side (0 the task, 1 and 2 the runs of
     baseline and variant), i (the run) and {n}, the number to draw from. A run's draw is a rank: those below the number of solved
-    runs are solved, so runs are never gathered. Rows are pairs x tasks x resamples, joined on the drawn task.
+    runs are solved, so runs are never gathered. Rows are pairs x tasks x resamples, joined on the drawn task. Draws are
+    resamples x runs in number: resamples are dealt to all tasks, and a row counts _DRAWS of them as plain columns.
     """
     runs = outcomes.groupBy("arm", "task_id").agg(F.count("*").alias("n"), F.count_if("solved").alias("k"))
     base = runs.select(F.col("arm").alias("baseline"), "task_id", F.col("n").alias("nb"), F.col("k").alias("kb"))
@@ -121,11 +128,16 @@ def clustered_bootstrap(outcomes: DataFrame, pairs: DataFrame, resamples: int =
     drawn = cells.select("baseline", "variant", F.col("task").alias("slot"), "tasks", F.lit(0).alias("side"), F.lit(0).cast("long").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("b"))
     drawn = drawn.select("baseline", "variant", "b", "slot", F.expr(draw.format(n="tasks")).alias("task")).join(cells.drop("tasks"), ["baseline", "variant", "task"])
 
-    def rate(side: int, n: str, k: str) -> Column:
-        hit = draw.format(n=n).replace("side", str(side))
-        return F.expr(f"size(filter(sequence(0L, {n} - 1), i -> ({hit}) < {k})) / {n}")
-
-    values = drawn.groupBy("baseline", "variant", "b").agg(F.round(F.avg(rate(2, "nv", "kv") - rate(1, "nb", "kb")), 8).alias("value"))
+    # dealt by number, as the rows are few and their draws many: by size they would be put into one task
+    dealt = drawn.repartition(int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions")), "baseline", "variant", "b")
+    side = lambda s, n, k: F.struct(F.lit(s).alias("side"), F.col(n).alias("n"), F.col(k).alias("k"))
+    sides = dealt.select("baseline", "variant", "b", "slot", F.inline(F.array(side(1, "nb", "kb"), side(2, "nv", "kv"))))
+    spans = sides.withColumn("i", F.explode(F.expr(f"sequence(0L, n - 1, {_DRAWS}L)")))
+    hits = [F.expr(re.sub(r"\bi\b", f"(i + {j}L)", f"CASE WHEN i < n AND ({draw.format(n='n')}) < k THEN 1 ELSE 0 END")) for j in range(_DRAWS)]
+    counted = spans.select("baseline", "variant", "b", "slot", "side", "n", reduce(add, hits).alias("hits"))
+    of = lambda s: F.sum(F.when(F.col("side") == s, F.col("hits"))) / F.max(F.when(F.col("side") == s, F.col("n")))
+    rates = counted.groupBy("baseline", "variant", "b", "slot").agg((of(2) - of(1)).alias("gain"))
+    values = rates.groupBy("baseline", "variant", "b").agg(F.round(F.avg("gain"), 8).alias("value"))
     bounds = order_statistic(values, ["baseline", "variant"], "value", low="round(0.025 * (n - 1))", high="round(0.975 * (n - 1))").drop("n")
     whole = cells.groupBy("baseline", "variant").agg(F.count("*").alias("tasks"), F.sum(F.col("nb") + F.col("nv")).alias("runs"), F.round(F.avg(F.col("kv") / F.col("nv") - F.col("kb") / F.col("nb")), 8).alias("delta"))
     found = pairs.select("baseline", "variant").distinct().join(whole, ["baseline", "variant"], "left").join(bounds, ["baseline", "variant"], "left")

@@ -30,6 +30,22 @@ def test_clustered_bootstrap_of_golden_runs(spark, golden):
     assert (rows["none"].tasks, rows["none"].delta, rows["none"].verdict) == (0, None, "insufficient_evidence")
 
 
+def test_clustered_bootstrap_deals_its_draws(spark):
+    """Draws are dealt to all tasks, not put into one, and those of every run are counted: bounds as brute force gives them."""
+    cells = {("x", "t"): (21, 9), ("y", "t"): (8, 3), ("x", "u"): (7, 7), ("y", "u"): (1, 0), ("y", "only"): (5, 5)}
+    rows = spark.createDataFrame([(a, t, j < k) for (a, t), (n, k) in cells.items() for j in range(n)], "arm string, task_id string, solved boolean")
+    found = evalstats.clustered_bootstrap(rows, spark.createDataFrame([("x", "y")], "baseline string, variant string"), 60, "(b * 7919 + slot * 104729 + side * 613 + i * 15485863) % 10007 % {n}")
+    draw = lambda b, slot, side, i, n: (b * 7919 + slot * 104729 + side * 613 + i * 15485863) % 10007 % n
+    rate = lambda arm, task, b, slot, side: sum(draw(b, slot, side, i, cells[arm, task][0]) < cells[arm, task][1] for i in range(cells[arm, task][0])) / cells[arm, task][0]
+    values = []
+    for b in range(60):
+        picks = [(slot, "tu"[draw(b, slot, 0, 0, 2)]) for slot in range(2)]
+        values.append(round(sum(rate("y", t, b, slot, 2) - rate("x", t, b, slot, 1) for slot, t in picks) / 2, 8))
+    r, values = found.first(), sorted(values)
+    assert (r.tasks, r.runs) == (2, 37) and (r.low, r.high) == (values[1], values[58])
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sign_test(spark):
     rows = spark.createDataFrame([(12, 0), (5, 5), (0, 0), (1, 0)], "won long, lost long")
     got = [r.p for r in rows.select(evalstats.exact_p(F.col("won"), F.col("lost")).alias("p")).collect()]
