@@ -46,6 +46,12 @@ def test_clustered_bootstrap_deals_its_draws(spark):
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_ladder_deals_its_draws(spark, golden):
+    found = evalstats.ladder(spark.createDataFrame([("A", "baseline", True), ("B", "supervised", True)], "letter string, arm string, wired boolean"), golden, 50)
+    assert [(r.letter, r.over, r.delta) for r in found.orderBy("letter").collect()] == [("A", None, None), ("B", "baseline", 0.5)]
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sign_test(spark):
     rows = spark.createDataFrame([(12, 0), (5, 5), (0, 0), (1, 0)], "won long, lost long")
     got = [r.p for r in rows.select(evalstats.exact_p(F.col("won"), F.col("lost")).alias("p")).collect()]
