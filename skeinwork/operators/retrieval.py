@@ -143,38 +143,34 @@ GREP_FILES, GREP_MATCHES, GREP_WIDTH = 40, 200, 300
 def grep(files: DataFrame, patterns: DataFrame, most_files: int = GREP_FILES, most: int = GREP_MATCHES, width: int = GREP_WIDTH) -> DataFrame:
     """(query_id, path, line, text, truncated, reason): lines that hold a pattern as it is, in order of path and line, up to the caps.
 
-    files: path, text; patterns: query_id, pattern, word (whether it must not be part of a longer word); blank ones find nothing.
-    Sensitive paths are left out. A query shows its first `most_files` files and of those the first `most` lines; truncated where there
-    are more, with the reason, files first. text is cut after `width` signs and marked.
+    files: path, text; patterns: query_id, pattern, word (whether it must not be part of a longer word), a short list; blank ones
+    find nothing. Sensitive paths are left out. A query shows its first `most_files` files and of those the first `most` lines;
+    truncated where there are more, with the reason, files first. text is cut after `width` signs and marked.
 
-    A line is looked for under its three-sign pieces, of which a pattern needs its rarest one alone: patterns and lines meet by that
-    piece, and then the line is read. Pieces that no pattern asks for never leave their line. Patterns under three signs meet lines
-    by their one or two signs.
+    A file is read twice: first each counts its lines by query, and only those numbers leave it; then the files that are shown,
+    `most_files` a query, give their lines. So no text is shuffled but what may be shown.
     """
     asked = patterns.filter(F.trim(F.coalesce("pattern", F.lit(""))) != "").select("query_id", "pattern", F.coalesce("word", F.lit(False)).alias("word"))
-    pieces = lambda t: F.when(F.length(t) >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))).otherwise(F.array(t))
-    rows = files.filter(~sensitive(F.col("path"))).select("path", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "text")).withColumn("line", F.col("line") + 1)
-    # the piece of each pattern that the fewest others share, the first of equals
-    spread = asked.select("query_id", "pattern", "word", F.posexplode(F.array_distinct(pieces(F.col("pattern")))).alias("i", "piece"))
-    shared = spread.groupBy("piece").agg(F.count_distinct("pattern").alias("n"))
-    keyed = spread.join(shared, "piece").groupBy("query_id", "pattern", "word").agg(F.min_by("piece", F.struct("n", "i")).alias("piece"))
-    wanted = keyed.agg(F.collect_set("piece").alias("w")).scalar()
-    t = F.col("text")
-    grams = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (k - 1), F.lit(1))), lambda i: F.substring(t, i, F.lit(k)))
-    every = F.array_distinct(F.concat(*[F.when(F.length(t) >= k, grams(k)).otherwise(F.array().cast("array<string>")) for k in (1, 2, 3)]))
-    listed = rows.withColumn("wanted", wanted).select("path", "line", "text", F.explode(F.array_intersect(every, "wanted")).alias("piece"))
     quoted = F.regexp_replace("pattern", r"([^A-Za-z0-9\s])", r"\\$1")
-    whole = F.concat(F.lit("(?<![A-Za-z0-9_])"), quoted, F.lit("(?![A-Za-z0-9_])"))
-    hits = listed.join(keyed, "piece").filter(F.contains("text", F.col("pattern"))).withColumn("whole", whole).filter("not word or text rlike whole").select("query_id", "path", "line", "text").distinct()
-    few = hits.groupBy("query_id", "path").agg(F.count("*").alias("n"))
+    whole = F.when(F.col("word"), F.concat(F.lit("(?<![A-Za-z0-9_])"), quoted, F.lit("(?![A-Za-z0-9_])")))
+    # a line counts once a query, whichever of its patterns it holds
+    queries = asked.groupBy("query_id").agg(F.collect_set(F.struct("pattern", "word", whole.alias("whole"))).alias("any"))
+    holds = lambda line, query: F.exists(query["any"], lambda p: F.contains(line, p["pattern"]) & (~p["word"] | F.rlike(line, p["whole"])))
+    rows = files.filter(~sensitive(F.col("path"))).select("path", F.coalesce("text", F.lit("")).alias("text"))
+    # the array of one binds the lines, so that a text is split once and not for every query
+    counts = F.element_at(F.transform(F.array(F.split("text", "\n", -1)), lambda lines: F.transform(
+        "queries", lambda q: F.struct(q["query_id"].alias("query_id"), F.size(F.filter(lines, lambda x: holds(x, q))).cast("long").alias("n")))), 1)
+    counted = rows.withColumn("queries", queries.agg(F.collect_list(F.struct("query_id", "any"))).scalar()).select("path", F.inline(F.filter(counts, lambda c: c["n"] > 0)))
     order = Window.partitionBy("query_id").orderBy("path")
     # the planner keeps a query's first files before it shuffles them, so one with many is not gathered
-    first = few.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most_files + 1)
-    numbered = first.withColumn("before", F.sum("n").over(order) - F.col("n"))
+    first = counted.withColumn("k", F.dense_rank().over(order)).filter(F.col("k") <= most_files + 1).groupBy("query_id", "path", "k").agg(F.sum("n").alias("n"))
+    numbered = Scratch(files.sparkSession, "grep").write(first.withColumn("before", F.sum("n").over(order) - F.col("n")), "files")
     totals = numbered.groupBy("query_id").agg((F.max("k") > most_files).alias("over"), F.sum(F.when(F.col("k") <= most_files, F.col("n"))).alias("shown"))
-    kept = numbered.filter((F.col("k") <= most_files) & (F.col("before") < most)).select("query_id", "path", "before")
+    kept = numbered.filter((F.col("k") <= most_files) & (F.col("before") < most)).select("query_id", "path", "before").join(queries, "query_id")
+    lines = rows.join(F.broadcast(kept), "path").select("query_id", "path", "before", "any", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    hits = lines.filter(holds(F.col("text"), {"any": F.col("any")})).withColumn("line", F.col("line") + 1)
     place = F.col("before") + F.row_number().over(Window.partitionBy("query_id", "path").orderBy("line"))
-    out = hits.join(kept, ["query_id", "path"]).withColumn("place", place).filter(F.col("place") <= most).join(totals, "query_id")
+    out = hits.withColumn("place", place).filter(F.col("place") <= most).join(totals, "query_id")
     reason = F.when(F.col("over"), f"more than {most_files} files").when(F.col("shown") > most, f"more than {most} matches")
     cut = F.when(F.length("text") > width, F.concat(F.substring("text", 1, width), F.lit("…"))).otherwise(F.col("text"))
     return out.select("query_id", "path", "line", cut.alias("text"), reason.isNotNull().alias("truncated"), reason.alias("reason"))

@@ -93,6 +93,16 @@ def test_grep(spark):
         assert sorted(tuple(r) for r in retrieval.grep(f, p, most_files, most).collect()) == brute(files, patterns, most_files, most), (most_files, most)
 
 
+def test_grep_counts_files_where_they_lie(spark):
+    """No line is dealt by its text, and a query of two patterns counts a line that has both once."""
+    files = [(f"f{i:02}", "both ab cd\nab\nnone\n" * 3) for i in range(5)]
+    patterns = [(1, "ab", False), (1, "cd", True), (2, "cd", True)]
+    found = retrieval.grep(spark.createDataFrame(files, "path string, text string"), spark.createDataFrame(patterns, "query_id int, pattern string, word boolean"), 2, 7)
+    assert not re.search(r"hashpartitioning\([^)]*text#", found._jdf.queryExecution().executedPlan().toString())
+    got = sorted((r.query_id, r.path, r.line, r.reason) for r in found.collect())
+    assert got == [(1, "f00", i, "more than 2 files") for i in (1, 2, 4, 5, 7, 8)] + [(1, "f01", 1, "more than 2 files")] + [(2, f, i, "more than 2 files") for f in ("f00", "f01") for i in (1, 4, 7)]
+
+
 def test_snippets(spark):
     rows = docs(spark, [(1, "a b c License, d e f license g"), (2, "x license"), (3, " ".join(["n"] * 30 + ["license", "license"])), (4, None)])
     hits = spark.createDataFrame([(1, i) for i in (1, 2, 3)], "query_id int, doc_id long")
