@@ -194,31 +194,43 @@ def impact_lines(edges: DataFrame | Adjacency, nodes: DataFrame, start: DataFram
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 40, damping: float = 0.85) -> DataFrame:
     """(node_id, score) after a fixed number of rounds; the mass of nodes without out-edges is spread evenly.
 
-    Links are stored once in buckets of their source, scores and degrees in buckets of their node, so a round meets them where they
-    lie and shuffles one partial sum a target and task. Each round is written, the one before it is freed, and one number of it,
-    the idle mass, comes to the driver as it is written.
+    A node that nothing links to has the same score as all others of its kind, in every round: one number stands for them, and what
+    they give to a node is that number times a weight, worked out once. So rounds go over the nodes with links to them alone, often
+    few, and the links between those. Links are stored once in buckets of their source, scores and degrees in buckets of their
+    node, so a round meets them where they lie and shuffles one partial sum a target and task. Each round is written, the one
+    before it is freed, and one number of it, the idle mass, comes to the driver as it is written.
     """
     spark = nodes.sparkSession
     scratch, width = Scratch(spark, "pagerank"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = nodes.count()
     if not n:
         return nodes.select("node_id", F.lit(0.0).alias("score"))
-    links = scratch.write_bucketed(edges.select("src", "dst").repartition(width, "src"), "links", "src", width)
+    links = edges.select("src", "dst")
     degree = links.groupBy("src").agg(F.count("*").alias("degree"))
-    start = nodes.select("node_id").join(degree, F.col("node_id") == F.col("src"), "left").select("node_id", F.coalesce("degree", F.lit(0)).alias("degree"), F.lit(1.0 / n).alias("score"))
+    linked = links.select("dst").distinct().withColumn("linked", F.lit(True))
+    placed = nodes.select("node_id").join(degree, F.col("node_id") == F.col("src"), "left").join(linked, F.col("node_id") == F.col("dst"), "left")
+    placed = scratch.write_bucketed(placed.select("node_id", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("linked", F.lit(False)).alias("linked")).repartition(width, "node_id"), "placed", "node_id", width)
+    # links with what their source gives of its score; one whose source is no node gives nothing
+    given = placed.filter("degree > 0").select(F.col("node_id").alias("src"), (1.0 / F.col("degree")).alias("share"), "linked").join(links, "src")
+    weight = given.filter("not linked").groupBy(F.col("dst").alias("node_id")).agg(F.sum("share").alias("weight"))
+    start = placed.filter("linked").join(weight, "node_id", "left").select("node_id", "degree", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.lit(1.0 / n).alias("score"))
+    between = links.join(placed.filter("linked").select(F.col("node_id").alias("src")).distinct(), "src", "left_semi")
+    between = scratch.write_bucketed(between.repartition(width, "src"), "links", "src", width)
     idle_of = lambda: F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("score"))), F.lit(0.0)).alias("idle")
+    idle_apart, apart = placed.filter("not linked and degree = 0").count(), 1.0 / n
     for step in range(rounds + 1):
         if step:
             part = scores.filter("degree > 0").select(F.col("node_id").alias("src"), (F.col("score") / F.col("degree")).alias("part"))
-            got = links.hint("merge").join(part, "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum("part").alias("got"))
-            new = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + seen.get["idle"] / n)
-            start = scores.select("node_id", "degree").hint("merge").join(got, "node_id", "left").select("node_id", "degree", new.alias("score"))
+            got = between.hint("merge").join(part, "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum("part").alias("got"))
+            base = (1 - damping) / n + damping * (seen.get["idle"] + idle_apart * apart) / n
+            new = base + damping * (F.coalesce("got", F.lit(0.0)) + F.col("weight") * apart)
+            start, apart = scores.hint("merge").join(got, "node_id", "left").select("node_id", "degree", "weight", new.alias("score")), base
         seen = Observation(f"idle-{step}")
         scores = scratch.write_bucketed(start.observe(seen, idle_of()), f"scores-{step}", "node_id", width)
         if step:
             scratch.drop(f"scores-{step - 1}")
     scratch.drop("links")
-    return scores.select("node_id", "score")
+    return scores.select("node_id", "score").unionByName(placed.filter("not linked").select("node_id", F.lit(apart).alias("score")))
 
 
 def by_name(nodes: DataFrame, names: DataFrame, kinds: list[str], limit: int = 100) -> DataFrame:

@@ -30,6 +30,23 @@ def test_pagerank(spark):
     assert graph.pagerank(table.limit(0), spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_pagerank_rounds_go_over_linked_nodes_alone(spark, monkeypatch):
+    written = {}
+
+    class Counted(graph.Scratch):
+        def write_bucketed(self, df, name, key, buckets):
+            out = super().write_bucketed(df, name, key, buckets)
+            written[name] = out.count()
+            return out
+
+    monkeypatch.setattr(graph, "Scratch", Counted)
+    links = [(i, 100 + i % 3) for i in range(50)] + [(100, 101), (101, 100)]  # 102 and 103 have no links of their own, 103 none to it
+    table = spark.createDataFrame([(i,) for i in [*range(50), 100, 101, 102, 103]], "node_id long")
+    got = {r.node_id: r.score for r in graph.pagerank(table, spark.createDataFrame(links, "src long, dst long"), 3).collect()}
+    assert sum(got.values()) == pytest.approx(1) and got[0] == got[103] < got[102]
+    assert [written[f"scores-{i}"] for i in range(4)] == [3] * 4 and written["links"] == 2
+
+
 @pytest.mark.parametrize("block", [3, 1000])
 def test_top_vectors(spark, block):
     rng = np.random.default_rng(2)
