@@ -149,6 +149,16 @@ def test_quality_scores_leave_the_document_out(spark, odd):
     assert [x for _, x in got] == pytest.approx([x for _, x in sorted(want)])
 
 
+def test_quality_takes_every_label(spark):
+    """All labelled documents count, each once: no number of them is left out, and one of both qualities is good."""
+    labels = spark.range(120_000).selectExpr("id AS doc_id", "CAST(id % 4 > 0 AS INT) AS quality").unionByName(spark.createDataFrame([(0, 1), (4, None), (None, 1), (5, 1)], "doc_id long, quality int"))
+    known = {r.quality: r.n for r in quality._known(labels).groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    assert known == {0: 29_999, 1: 90_001}
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("text"))
+    counts = quality.bucket_counts(docs, quality._known(spark.range(60_000).selectExpr("id AS doc_id", "1 AS quality")), 1024).agg(F.sum("raw"), F.sum("good")).first()
+    assert tuple(counts) == (60_000, 60_000)
+
+
 def test_quality_keeps_good_documents_without_a_label(spark, sf_dir, documents):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     fit = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
