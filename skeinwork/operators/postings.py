@@ -12,6 +12,8 @@ from ..sources.shared import Files
 
 POSTINGS = "term string, doc_id long, tf int, size int, generation int, bucket int"
 DOCS = "doc_id long, size int, generation int"
+#: Shares of documents that a bucket's postings are dealt to (fixed value).
+SHARES = 16
 
 
 def words(text: Column) -> Column:
@@ -19,6 +21,18 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def sorted_words(docs: DataFrame) -> DataFrame:
+    """doc_id, w (the words of the text in order, repeats with them), size."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sort_array(words(F.col("text"))).alias("w")).withColumn("size", F.size("w"))
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """(doc_id, size, term, tf) of sorted words: a document counts its terms where it lies, as runs of equal words, by where they end."""
+    ends = F.filter(F.sequence(F.lit(1), F.size("w")), lambda j: ~F.get("w", j).eqNullSafe(F.get("w", j - 1)))
+    runs = F.transform("ends", lambda j, i: F.struct(F.get("w", j - 1).alias("term"), (j - F.coalesce(F.get("ends", i - 1), F.lit(0))).alias("tf")))
+    return rows.filter("size > 0").withColumn("ends", ends).select("doc_id", "size", F.inline(runs))
+
+
 @dataclass(frozen=True)
 class Index:
     """Postings in generations: the first of all documents, each later one of those that changed.
@@ -46,10 +60,10 @@ class Index:
 
     def _write(self, docs: DataFrame, gone: DataFrame | None, totals: dict) -> Index:
         number = totals["generation"]
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w")).withColumn("size", F.size("w"))
-        counts = rows.select("doc_id", "size", F.explode("w").alias("term")).groupBy("term", "doc_id", "size").agg(F.count("*").cast("int").alias("tf"))
-        # in ranges of (bucket, term, document), so a term that all documents have is written by several tasks
-        dealt = counts.withColumn("bucket", self._bucket(F.col("term"))).repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term", "doc_id")
+        rows = sorted_words(docs)
+        counts = counted(rows)
+        # dealt once, by bucket and share of the documents, so a term that all documents have is written by several tasks
+        dealt = counts.withColumn("bucket", self._bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES))).sortWithinPartitions("bucket", "term", "doc_id")
         dealt.write.partitionBy("bucket").mode("overwrite").parquet(f"{self.folder}/postings/generation={number}")
         sizes = rows.select("doc_id", "size")
         if gone is not None:
@@ -94,7 +108,7 @@ class Index:
         if len(known) > 1:
             later = self._read("docs", DOCS, known[1:]).groupBy("doc_id").agg(F.max("generation").alias("last"))
             rows = rows.join(later, "doc_id", "left").filter("last is null or generation = last")
-        return rows.select("term", "doc_id", "tf", "size")
+        return rows.groupBy("term", "doc_id", "size").agg(F.sum("tf").cast("int").alias("tf")).select("term", "doc_id", "tf", "size")
 
     def bm25(self, queries: DataFrame, k1: float = 1.2, b: float = 0.75, most: int = 20) -> DataFrame:
         """(query_id, doc_id, score) of each query's best documents, as retrieval.bm25() over the texts. queries: query_id, term, a short list."""

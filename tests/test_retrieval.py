@@ -103,6 +103,26 @@ def test_grep_counts_files_where_they_lie(spark):
     assert got == [(1, "f00", i, "more than 2 files") for i in (1, 2, 4, 5, 7, 8)] + [(1, "f01", 1, "more than 2 files")] + [(2, f, i, "more than 2 files") for f in ("f00", "f01") for i in (1, 4, 7)]
 
 
+def test_terms_are_counted_where_they_lie(spark, tmp_path):
+    rows = docs(spark, [(1, "b a b, B c"), (2, None), (3, "... !"), (4, "a"), (5, "a a")])
+    found = postings.counted(postings.sorted_words(rows))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 5, "a", 1), (1, 5, "b", 3), (1, 5, "c", 1), (4, 1, "a", 1), (5, 2, "a", 2)]
+    # rows of one document and size are one posting, as they were
+    index = postings.Index(spark, f"file://{tmp_path}/i", 4).build(docs(spark, [(1, "a b"), (1, "a c"), (2, "b")]))
+    assert sorted(tuple(r) for r in index.postings(["a", "b"]).collect()) == [("a", 1, 2, 2), ("b", 1, 1, 2), ("b", 2, 1, 1)]
+
+
+def test_snippets_do_not_deal_texts(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = retrieval.snippets(docs(spark, [(1, "a license")]), spark.createDataFrame([(1, 1)], "query_id int, doc_id long"), spark.createDataFrame([(1, "license")], "query_id int, term string"), 5)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin [doc_id" in plan and "hashpartitioning(doc_id" not in plan
+
+
 def test_snippets(spark):
     rows = docs(spark, [(1, "a b c License, d e f license g"), (2, "x license"), (3, " ".join(["n"] * 30 + ["license", "license"])), (4, None)])
     hits = spark.createDataFrame([(1, i) for i in (1, 2, 3)], "query_id int, doc_id long")
