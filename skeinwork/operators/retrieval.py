@@ -117,13 +117,13 @@ def lexical_files(hits: DataFrame, most: int = 20) -> DataFrame:
 def snippets(docs: DataFrame, hits: DataFrame, terms: DataFrame, width: int = 24) -> DataFrame:
     """(query_id, doc_id, first, body): of each hit document the window of `width` tokens with the most of the query's terms.
 
-    docs: doc_id, text; hits: query_id, doc_id; terms: query_id, term in lower case. Tokens are what lies between spaces; one counts
+    docs: doc_id, text; hits: query_id, doc_id, a few documents a query, which are sent to the texts; terms: query_id, term in lower case. Tokens are what lies between spaces; one counts
     where a run of letters and digits in it is a term. A window begins with such a token, unless it ends with the text or begins with
     it; of those with equally many the first is taken. first is its place from 0, body has a mark where the text goes on.
     """
     asked = terms.groupBy("query_id").agg(F.collect_set("term").alias("terms"))
     tokens = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
-    rows = docs.join(hits.select("query_id", "doc_id"), "doc_id").join(asked, "query_id").select("query_id", "doc_id", "terms", tokens.alias("tokens"))
+    rows = docs.join(F.broadcast(hits.select("query_id", "doc_id").join(asked, "query_id")), "doc_id").select("query_id", "doc_id", "terms", tokens.alias("tokens"))
     found = F.transform("tokens", lambda w: F.arrays_overlap(F.split(F.lower(w), "[^a-z0-9]+"), "terms").cast("int"))
     places = rows.select("query_id", "doc_id", "tokens", F.filter(F.transform(found, lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull()).alias("at"))
     last = F.greatest(F.size("tokens") - width, F.lit(0))
