@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import Scratch
 from ..sources.sinks import Table
 from .checks import derived_id
 from .failures import sql_tables
@@ -88,7 +89,10 @@ class Index:
             known = self.seen.read().filter(F.col("analyzer") == name).select("hash")
             new = mine.join(known, "hash", "left_anti")
             said = a.facts(new).withColumn("analyzer", F.lit(name)).groupBy("analyzer", "hash", "fact", "kind", "name").agg(F.min("line").alias("line"), F.min("edge").alias("edge"), F.min("evidence").alias("evidence"))
-            self.memo.upsert(said, f"{run}:{name}")
+            # written before it is merged, which reads it more than once: texts are dealt and analysed once
+            scratch = Scratch(self.spark, "facts")
+            self.memo.upsert(scratch.write(said, "said"), f"{run}:{name}")
+            scratch.drop()
             self.seen.upsert(new.select(F.lit(name).alias("analyzer"), "hash"), f"{run}:{name}")
             facts = self.memo.read().filter(F.col("analyzer") == name).join(mine.select("hash"), "hash", "left_semi")
             out = facts if out is None else out.unionByName(facts)

@@ -16,8 +16,10 @@ def line_terms(contents: DataFrame) -> DataFrame:
     words = F.filter(F.split("line", "[^A-Za-z]+"), lambda w: w != "")
     lines = contents.select("hash", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).select("hash", (F.col("i") + 1).alias("n"), words.alias("w")).filter("size(w) > 0")
     none = lambda t: F.lit(None).cast(t)
-    declared = lines.select("hash", F.lit("declare").alias("fact"), F.lit("term").alias("kind"), F.get("w", F.lit(0)).alias("name"), F.col("n").alias("line"), none("string").alias("edge"), none("string").alias("evidence"))
-    return declared.unionByName(lines.select("hash", F.lit("refer").alias("fact"), F.lit("term").alias("kind"), F.element_at("w", -1).alias("name"), none("int").alias("line"), F.lit("references").alias("edge"), F.lit("inferred").alias("evidence")))
+    said = lambda fact, name, line, edge, evidence: F.struct(F.lit(fact).alias("fact"), F.lit("term").alias("kind"), name.alias("name"), line.cast("int").alias("line"), edge.alias("edge"), evidence.alias("evidence"))
+    declared = said("declare", F.get("w", F.lit(0)), F.col("n"), none("string"), none("string"))
+    # both of a line at once: a union would have the texts dealt for each
+    return lines.select("hash", F.inline(F.array(declared, said("refer", F.element_at("w", -1), none("int"), F.lit("references"), F.lit("inferred")))))
 
 
 def _files(spark: SparkSession, sf_dir: str, tail: str = "") -> DataFrame:

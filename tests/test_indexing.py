@@ -103,3 +103,19 @@ def test_commits_of_a_log(spark, tmp_path):
     (tmp_path / "log").write_text("\x1eh1\x1fann\x1f100\x1fone: two\x1f\na.go\nb/c.go\n\n\x1eh2\x1fbob\x1fx\x1f\x1f\n\x1ebroken\x1fx\n")
     rows = [tuple(r) for r in trees.commits(spark, f"{tmp_path}/log").collect()]
     assert rows == [("h1", "ann", 100, "one: two", ["a.go", "b/c.go"]), ("h2", "bob", None, "", [])]
+
+
+def test_a_content_is_analysed_once_a_run(spark, tmp_path):
+    """What the analyzers say is worked out once, however often it is read while it is merged."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        seen.add(1)
+        return text
+
+    def facts(contents):
+        return line_terms(contents.select("hash", F.udf(counted, "string").asNondeterministic()("text").alias("text")))
+
+    index = indexing.Index(spark, f"file://{tmp_path}/index", (indexing.Analyzer("terms", ("markdown",), facts),))
+    index.index(files(spark, [("a", "x.md", "One two"), ("a", "y.md", "Two One"), ("b", "x.md", "One two")]))
+    assert seen.value == 2
