@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -194,10 +195,12 @@ def impact_lines(edges: DataFrame | Adjacency, nodes: DataFrame, start: DataFram
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 40, damping: float = 0.85) -> DataFrame:
     """(node_id, score) after a fixed number of rounds; the mass of nodes without out-edges is spread evenly.
 
-    A node that nothing links to has the same score as all others of its kind, in every round: one number stands for them, and what
-    they give to a node is that number times a weight, worked out once. So rounds go over the nodes with links to them alone, often
-    few, and the links between those. Links are stored once in buckets of their source, scores and degrees in buckets of their
-    node, so a round meets them where they lie and shuffles one partial sum a target and task. Each round is written, the one
+    A node that nothing links to has the same score as all others of its kind, in every round: one number stands for them. A node
+    that only such nodes link to has in every round that number and a weight times the one of the round before, and so on: nodes are
+    taken off in levels, each level's with a weight for every round back, and what they give to the others is weights too. Levels go
+    on while one takes at least half of the nodes left. Rounds go over the rest alone, the nodes on circles and behind them, and the
+    links between those; where nothing is left, rounds are a few numbers. Links, nodes and scores are stored in buckets of their
+    source or node, so they meet where they lie and what is shuffled is one partial sum a target and task. Each round is written, the one
     before it is freed, and one number of it, the idle mass, comes to the driver as it is written.
     """
     spark = nodes.sparkSession
@@ -205,32 +208,60 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 40, damping: floa
     n = nodes.count()
     if not n:
         return nodes.select("node_id", F.lit(0.0).alias("score"))
-    links = edges.select("src", "dst")
+    links = scratch.write_bucketed(edges.select("src", "dst").repartition(width, "src"), "all-links", "src", width)
     degree = links.groupBy("src").agg(F.count("*").alias("degree"))
-    linked = links.select("dst").distinct().withColumn("linked", F.lit(True))
-    placed = nodes.select("node_id").join(degree, F.col("node_id") == F.col("src"), "left").join(linked, F.col("node_id") == F.col("dst"), "left")
-    placed = scratch.write_bucketed(placed.select("node_id", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("linked", F.lit(False)).alias("linked")).repartition(width, "node_id"), "placed", "node_id", width)
-    # links with what their source gives of its score; one whose source is no node gives nothing
-    given = placed.filter("degree > 0").select(F.col("node_id").alias("src"), (1.0 / F.col("degree")).alias("share"), "linked").join(links, "src")
-    weight = given.filter("not linked").groupBy(F.col("dst").alias("node_id")).agg(F.sum("share").alias("weight"))
-    start = placed.filter("linked").join(weight, "node_id", "left").select("node_id", "degree", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.lit(1.0 / n).alias("score"))
-    between = links.join(placed.filter("linked").select(F.col("node_id").alias("src")).distinct(), "src", "left_semi")
-    between = scratch.write_bucketed(between.repartition(width, "src"), "links", "src", width)
-    idle_of = lambda: F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("score"))), F.lit(0.0)).alias("idle")
-    idle_apart, apart = placed.filter("not linked and degree = 0").count(), 1.0 / n
+    rest = nodes.select("node_id").hint("merge").join(degree, F.col("node_id") == F.col("src"), "left").select("node_id", F.coalesce("degree", F.lit(0)).alias("degree"))
+    # levels: nodes with w0, w1, ..., what they get of an unlinked node's score one, two, ... rounds back; idle: what all of them keep idle of it
+    levels, idle, left, stored = [], [], n, ["all-links"]
+    while left:
+        back = len(levels)
+        linked = links.select(F.col("dst").alias("node_id")).distinct().withColumn("linked", F.lit(True))
+        placed = rest.hint("merge").join(linked, "node_id", "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+        placed = scratch.write_bucketed(placed, f"placed-{back}", "node_id", width)
+        for name in stored[:-1]:
+            scratch.drop(name)
+        stored = stored[-1:]
+        own = [F.lit(1.0), *[damping * F.col(f"w{i}") for i in range(back)]]
+        off = placed.filter("not linked").agg(F.count("*").alias("n"), *[F.coalesce(F.sum(F.when(F.col("degree") == 0, w)), F.lit(0.0)).alias(f"idle{i}") for i, w in enumerate(own)]).first()
+        if back and 2 * off["n"] < left:
+            rest = placed
+            break
+        levels.append(placed.filter("not linked").drop("linked"))
+        idle = [off[f"idle{i}"] + (idle[i] if i < len(idle) else 0.0) for i in range(back + 1)]
+        left -= off["n"]
+        if not left:
+            break
+        # a link whose source is no node gives nothing
+        shares = placed.filter("not linked and degree > 0").select(F.col("node_id").alias("src"), *[(w / F.col("degree")).alias(f"g{i}") for i, w in enumerate(own)])
+        given = links.hint("merge").join(shares, "src").groupBy(F.col("dst").alias("node_id")).agg(*[F.sum(f"g{i}").alias(f"g{i}") for i in range(back + 1)])
+        weights = [(F.coalesce(f"g{i}", F.lit(0.0)) + (F.col(f"w{i}") if i < back else 0.0)).alias(f"w{i}") for i in range(back + 1)]
+        rest = placed.filter("linked").hint("merge").join(given, "node_id", "left").select("node_id", "degree", *weights)
+        between = links.hint("merge").join(placed.filter("linked").select(F.col("node_id").alias("src")), "src", "left_semi")
+        stored.append(f"links-{back}" if back else "links")
+        links = scratch.write_bucketed(between, stored[-1], "src", width)
+    # an unlinked node's score after every round so far
+    apart, depth = [1.0 / n], len(levels)
+    before = lambda step, i: apart[step - 1 - i] if i < step else 0.0
+    given_back = lambda step, k: sum((F.col(f"w{i}") * before(step, i) for i in range(k)), F.lit(0.0))
+    idle_of = F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("score"))), F.lit(0.0)).alias("idle")
     for step in range(rounds + 1):
         if step:
-            part = scores.filter("degree > 0").select(F.col("node_id").alias("src"), (F.col("score") / F.col("degree")).alias("part"))
-            got = between.hint("merge").join(part, "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum("part").alias("got"))
-            base = (1 - damping) / n + damping * (seen.get["idle"] + idle_apart * apart) / n
-            new = base + damping * (F.coalesce("got", F.lit(0.0)) + F.col("weight") * apart)
-            start, apart = scores.hint("merge").join(got, "node_id", "left").select("node_id", "degree", "weight", new.alias("score")), base
-        seen = Observation(f"idle-{step}")
-        scores = scratch.write_bucketed(start.observe(seen, idle_of()), f"scores-{step}", "node_id", width)
-        if step:
-            scratch.drop(f"scores-{step - 1}")
-    scratch.drop("links")
-    return scores.select("node_id", "score").unionByName(placed.filter("not linked").select("node_id", F.lit(apart).alias("score")))
+            kept = (seen.get["idle"] if left else 0.0) + sum(x * before(step, i) for i, x in enumerate(idle))
+            apart.append((1 - damping) / n + damping * kept / n)
+        if left:
+            start = rest.select("node_id", "degree", *[f"w{i}" for i in range(depth)], F.lit(1.0 / n).alias("score"))
+            if step:
+                part = scores.filter("degree > 0").select(F.col("node_id").alias("src"), (F.col("score") / F.col("degree")).alias("part"))
+                got = links.hint("merge").join(part, "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum("part").alias("got"))
+                new = apart[step] + damping * (F.coalesce("got", F.lit(0.0)) + given_back(step, depth))
+                start = scores.hint("merge").join(got, "node_id", "left").select("node_id", "degree", *[f"w{i}" for i in range(depth)], new.alias("score"))
+            seen = Observation(f"idle-{step}")
+            scores = scratch.write_bucketed(start.observe(seen, idle_of), f"scores-{step}", "node_id", width)
+            if step:
+                scratch.drop(f"scores-{step - 1}")
+    scratch.drop(stored[-1])
+    parts = [level.select("node_id", (apart[rounds] + damping * given_back(rounds, k)).alias("score")) for k, level in enumerate(levels)]
+    return reduce(DataFrame.unionByName, parts + ([scores.select("node_id", "score")] if left else []))
 
 
 def by_name(nodes: DataFrame, names: DataFrame, kinds: list[str], limit: int = 100) -> DataFrame:

@@ -9,12 +9,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def could_fit(items: DataFrame, budget: int, *order: str | Column) -> DataFrame:
+    """items without those that cannot fit, whatever the others are; order is that in which a packet (packet, cost) is filled.
+
+    What is left of a budget never grows, so where an item is passed, all later ones of its cost are: of each cost c above 0 the
+    items that fit are among the first budget / c. A task keeps no more of each while it reads, so a packet of any length leaves a
+    few thousand rows.
+    """
+    first = F.row_number().over(Window.partitionBy("packet", "cost").orderBy(*order))
+    some = items.filter("cost > 0").withColumn("_k", first).filter(F.col("_k") <= budget).filter(F.col("_k") * F.col("cost") <= budget).drop("_k")
+    return some.unionByName(items.filter("cost <= 0"))
+
+
 def greedy_fill(items: DataFrame, budget: int) -> DataFrame:
     """(packet, seq, cost, used) of items that fit: each in order of seq, one over the budget is passed and the next tried.
 
-    items: packet, seq, cost; seq is unique within a packet. A running sum cannot say this, as what is passed costs nothing.
-    Packets are dealt to partitions and read in order; a task holds one batch and the budget used so far, however long a
-    packet is.
+    items: packet, seq, cost; seq is unique within a packet, a cost is 0 at least. A running sum cannot say this, as what is passed
+    costs nothing. What could fit is found by packet and cost in all tasks; those packets are dealt to partitions and read in order,
+    a task holds one batch and the budget used so far.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -22,6 +34,8 @@ def greedy_fill(items: DataFrame, budget: int) -> DataFrame:
         for batch in batches:
             keep, after = [], []
             for p, cost in zip(batch["packet"].tolist(), batch["cost"].tolist()):
+                if cost < 0:
+                    raise ValueError(f"packet {p} has an item that costs {cost}")
                 if p != packet:
                     packet, used = p, 0
                 fits = used + cost <= budget
@@ -31,7 +45,7 @@ def greedy_fill(items: DataFrame, budget: int) -> DataFrame:
             yield batch.assign(used=after)[keep]
 
     rows = items.filter("packet is not null and cost is not null").select(F.col("packet").cast("long"), F.col("seq").cast("long"), F.col("cost").cast("long"))
-    return rows.repartition("packet").sortWithinPartitions("packet", "seq").mapInPandas(run, "packet long, seq long, cost long, used long")
+    return could_fit(rows, budget, "seq").repartition("packet").sortWithinPartitions("packet", "seq").mapInPandas(run, "packet long, seq long, cost long, used long")
 
 
 def newest_within(items: DataFrame, budget: int) -> DataFrame:

@@ -66,8 +66,9 @@ def repo_map_ranked(spark, sf_dir):
 
     scores = graph.pagerank(T.nodes(spark, sf_dir), T.edges(spark, sf_dir)).select("node_id", F.round("score", 9).alias("score"))
     nodes = T.nodes(spark, sf_dir).filter("kind in ('nation', 'supplier', 'customer')").join(scores, "node_id")
-    order = Window.partitionBy("packet").orderBy(F.desc("score"), "fqn")
-    ranked = nodes.withColumn("packet", F.expr("node_id div 1000000000")).withColumn("seq", F.row_number().over(order).cast("long")).withColumn("cost", packets.map_entry_tokens(F.col("fqn")))
+    best = (F.desc("score"), F.col("fqn"))
+    nodes = packing.could_fit(nodes.withColumn("packet", F.expr("node_id div 1000000000")).withColumn("cost", packets.map_entry_tokens(F.col("fqn"))), 900, *best)
+    ranked = Scratch(spark, "ranked").write(nodes.withColumn("seq", F.row_number().over(Window.partitionBy("packet").orderBy(*best)).cast("long")), "ranked")
     return packing.greedy_fill(ranked, 900).join(ranked.select("packet", "seq", "node_id"), ["packet", "seq"]).select("packet", "node_id", "used")
 
 

@@ -111,8 +111,9 @@ def repo_map(spark, sf_dir):
     """Nodes by how much depends on them, as many as fit each kind's budget."""
     degree = T.edges(spark, sf_dir).groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("n"))
     nodes = T.nodes(spark, sf_dir).filter("kind in ('region', 'nation', 'supplier')").join(degree, "node_id", "left")
-    order = Window.partitionBy("packet").orderBy(F.desc(F.coalesce("n", F.lit(0))), "node_id")
-    ranked = nodes.withColumn("packet", F.expr("node_id div 1000000000")).withColumn("seq", F.row_number().over(order).cast("long")).withColumn("cost", F.expr("length(fqn) div 3 + 20"))
+    most = (F.desc(F.coalesce("n", F.lit(0))), F.col("node_id"))
+    nodes = packing.could_fit(nodes.withColumn("packet", F.expr("node_id div 1000000000")).withColumn("cost", F.expr("length(fqn) div 3 + 20")), 400, *most)
+    ranked = nodes.withColumn("seq", F.row_number().over(Window.partitionBy("packet").orderBy(*most)).cast("long"))
     return packing.greedy_fill(ranked, 400).join(ranked.select("packet", "seq", "node_id"), ["packet", "seq"]).select("packet", "node_id", "used")
 
 

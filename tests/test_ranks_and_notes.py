@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skeinwork.operators import graph, matching, results, retrieval
+from skeinwork.operators import graph, matching, packing, results, retrieval
 from skeinwork.sources import notes
 
 
@@ -47,6 +47,54 @@ def test_pagerank_rounds_go_over_linked_nodes_alone(spark, monkeypatch):
     assert [written[f"scores-{i}"] for i in range(4)] == [3] * 4 and written["links"] == 2
 
 
+@pytest.mark.parametrize("circle", [True, False])
+def test_pagerank_takes_off_levels(spark, monkeypatch, circle):
+    """Nodes that only levels before them link to are in no round; without a circle there is no round at all."""
+    written = {}
+
+    class Counted(graph.Scratch):
+        def write_bucketed(self, df, name, key, buckets):
+            out = super().write_bucketed(df, name, key, buckets)
+            written[name] = out.count()
+            return out
+
+    monkeypatch.setattr(graph, "Scratch", Counted)
+    links = [(i, 100 + i % 10) for i in range(35)] + [(i, 200) for i in range(100, 107)] + [(100, 201), (3, 200), (200, 201)] + [(201, 200)] * circle
+    nodes, out = [*range(35), *range(100, 110), 200, 201], {}
+    for s, d in links:
+        out.setdefault(s, []).append(d)
+    score = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(4):
+        new = dict.fromkeys(nodes, (0.15 + 0.85 * sum(score[n] for n in nodes if n not in out)) / len(nodes))
+        for s, ds in out.items():
+            for d in ds:
+                new[d] += 0.85 * score[s] / len(ds)
+        score = new
+    table = spark.createDataFrame([(n,) for n in nodes], "node_id long")
+    got = {r.node_id: r.score for r in graph.pagerank(table, spark.createDataFrame(links, "src long, dst long"), 4).collect()}
+    assert got == pytest.approx(score, rel=1e-12) and sum(got.values()) == pytest.approx(1)
+    assert [n for name, n in written.items() if name.startswith("scores")] == ([2] * 5 if circle else [])
+
+
+def test_greedy_fill_reads_what_could_fit(spark):
+    rng = random.Random(7)
+    rows = [(p, i, rng.choice([0, 3, 4, 9, 40, 101])) for p in range(3) for i in range(400)]
+    want = []
+    for p in range(3):
+        used = 0
+        for _, i, cost in rows[400 * p:400 * p + 400]:
+            if used + cost <= 100:
+                used += cost
+                want.append((p, i, cost, used))
+    items = spark.createDataFrame(rows, "packet long, seq long, cost long").repartition(5)
+    assert sorted(tuple(r) for r in packing.greedy_fill(items, 100).collect()) == want
+    left = packing.could_fit(items, 100, "seq")
+    most = {3: 33, 4: 25, 9: 11, 40: 2}
+    assert {(r.packet, r.cost): r.n for r in left.filter("cost > 0").groupBy("packet", "cost").agg(F.count("*").alias("n")).collect()} == {(p, c): n for p in range(3) for c, n in most.items()}
+    with pytest.raises(Exception, match="costs -1"):
+        packing.greedy_fill(spark.createDataFrame([(1, 1, -1)], "packet long, seq long, cost long"), 10).collect()
+
+
 @pytest.mark.parametrize("block", [3, 1000])
 def test_top_vectors(spark, block):
     rng = np.random.default_rng(2)
