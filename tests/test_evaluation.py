@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinwork.operators import checks, evalstats, journal
+from skeinwork.plans import evaluations
 
 #: task, arm, repetition, claimed, solved (fixed values)
 GOLDEN = [
@@ -52,6 +53,16 @@ def test_ladder_deals_its_draws(spark, golden):
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_short_draw_is_the_draw(spark):
+    """The draw of the queries in two long divisions gives what the SQL's gives in four, also where its parts are large."""
+    short = evaluations._short_draw().format(n="n")
+    assert short.count("% 2147483647") == 2
+    rows = [(b, slot, side, i, n) for b in (0, 1, 2147, 9999) for slot in (0, 19, 10**9) for side in (0, 1, 2) for i in (0, 7, 138, 10**5, 3 * 10**9) for n in (1, 20, 36_913, 2**31 - 1)]
+    got = spark.createDataFrame(rows, "b long, slot long, side int, i long, n long").selectExpr(f"{short} AS x", f"{evaluations._draw('n')} AS y").collect()
+    want = [(b * 1000003 + slot * 7919 + side * 104729 + i * 15485863 + 12345) * 48271 * 69621 % 2147483647 % n for b, slot, side, i, n in rows]
+    assert [r.x for r in got] == [r.y for r in got] == want
+
+
 def test_sign_test(spark):
     rows = spark.createDataFrame([(12, 0), (5, 5), (0, 0), (1, 0)], "won long, lost long")
     got = [r.p for r in rows.select(evalstats.exact_p(F.col("won"), F.col("lost")).alias("p")).collect()]
