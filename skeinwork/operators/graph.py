@@ -208,7 +208,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 40, damping: floa
     n = nodes.count()
     if not n:
         return nodes.select("node_id", F.lit(0.0).alias("score"))
-    links = scratch.write_bucketed(edges.select("src", "dst").repartition(width, "src"), "all-links", "src", width)
+    links = scratch.write_bucketed(edges.select("src", "dst").filter("src is not null").repartition(width, "src"), "all-links", "src", width)
     degree = links.groupBy("src").agg(F.count("*").alias("degree"))
     rest = nodes.select("node_id").hint("merge").join(degree, F.col("node_id") == F.col("src"), "left").select("node_id", F.coalesce("degree", F.lit(0)).alias("degree"))
     # levels: nodes with w0, w1, ..., what they get of an unlinked node's score one, two, ... rounds back; idle: what all of them keep idle of it
